@@ -120,8 +120,10 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
 
 def _listed(kinds) -> Column:
-    each = [F.transform(F.col(k), lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"].cast("string"), s["end"].cast("string"))) for k in kinds]
-    return F.array_join(F.concat(*each), ",")
+    def named(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
+
+    return F.array_join(F.concat(*[named(k) for k in kinds]), ",")
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
@@ -143,13 +145,12 @@ def redact(docs: DataFrame, mask: str = "[{kind}]") -> DataFrame:
     Spans of different kinds may overlap; the one that starts first, then the longer, is replaced.
     """
     held = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    spans = F.concat(*[
-        F.transform(
-            F.filter(_proposed(k, F.col("text")), lambda s, k=k: _confirmed(k, s["span"])),
-            lambda s, k=k: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(mask.format(kind=k)).alias("mask")),
-        )
-        for k in PATTERNS
-    ])
+
+    def masked(kind: str) -> Column:
+        kept = F.filter(_proposed(kind, F.col("text")), lambda s: _confirmed(kind, s["span"]))
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(mask.format(kind=kind)).alias("mask")))
+
+    spans = F.concat(*[masked(k) for k in PATTERNS])
 
     def add(done: Column, s: Column) -> Column:
         end = -s["back"]
