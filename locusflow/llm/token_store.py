@@ -31,6 +31,8 @@ from .word_tokens import encoder, id_lists
 STORE_SCHEMA = "doc_id long, file_no int, first_in_file long, n_tokens int, token_ids array<int>"
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 ROWS_A_PAGE = 1000
+#: The starts of so many files are broadcast; those of more are joined by shuffle.
+BROADCAST_FILES = 100_000
 
 
 def write_token_store(
@@ -87,6 +89,8 @@ def read_token_store(spark: SparkSession, path: str, columns: list[str] | None =
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     files = store.groupBy("file_no").agg(F.sum("n_tokens").alias("held"))
     starts = files.select(F.col("file_no").alias("of_file"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("ahead"))
+    if len(store.inputFiles()) <= BROADCAST_FILES:  # one row a file
+        starts = F.broadcast(starts)
     wanted = columns or ["doc_id", "n_tokens", "token_ids"]
     return store.join(starts, store.file_no == starts.of_file).select(
         *[c for c in wanted if c != "start"], (F.col("ahead") + F.col("first_in_file")).alias("start")
