@@ -1,8 +1,8 @@
 """Operator 9: toxicity from a lexicon trie, Levenshtein automata and context windows.
 
 learn() finds the lexicon on a bounded sample of labelled rows: words, and stems of four to six
-letters, that stand in many toxic texts and hardly any clean ones, counted over distinct texts so
-that copies don't vote twice. Each word of a text is looked up in the lexicon's trie: exactly, by
+letters, that stand in many toxic texts and hardly any clean ones, more often than chance and
+after many different words; distinct texts count, so that copies don't vote twice. Each word of a text is looked up in the lexicon's trie: exactly, by
 stem, or by running the word's Levenshtein automaton (one edit, words of five letters or more)
 down the trie. Misspellings that clean training texts use as words of their own are exempt. A
 window around each hit weighs it: less between quotation marks or near words of reporting, more
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import materialise, ship_package
 
 #: Labelled rows that learn() may use, taken by hash of the id.
 TRAIN_ROWS = 20_000
@@ -36,6 +36,10 @@ TRAIN_ROWS = 20_000
 LEXICON_ENTRIES, EXEMPT_ENTRIES = 2_000, 20_000
 #: An entry stands in this share of distinct toxic texts at least, and its odds are this much higher there.
 MIN_SHARE, MIN_LOG_ODDS = 0.01, 3.0
+#: Log-likelihood gain over chance, beyond the log of the number of terms tested.
+MIN_GAIN = 3.0
+#: Different words before an entry, as a share of the texts that hold it: copies have the same.
+MIN_VARIETY = 0.25
 STEMS = (4, 5, 6)
 FUZZY_LETTERS = 5
 FUZZY_FACTOR = 0.6
@@ -190,8 +194,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicMo
     spark = docs.sparkSession
     ship_package(spark)
     sample = training_sample(docs, labels, rows).where("length(text) > 0")
-    distinct = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.max("y").alias("y"))
-    sizes = {r.y: r.n for r in distinct.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    once = materialise(sample.groupBy("text").agg(F.max("y").alias("y")), "toxicity-sample")  # at most `rows` texts
+    sizes = {r.y: r.n for r in once.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
         return ToxicModel()
@@ -207,13 +211,35 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicMo
             terms = list(by_class[y])
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([y] * len(terms), pa.int32()), pa.array([by_class[y][t] for t in terms], pa.int64())], ["term", "y", "n"])
 
-    once = sample.groupBy("text").agg(F.max("y").alias("y"))
     counted = once.mapInArrow(count, "term string, y int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c")
     )
-    odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-    best = counted.where(F.col("t") >= max(3, math.ceil(MIN_SHARE * toxic))).withColumn("w", odds).where(F.col("w") >= MIN_LOG_ODDS)
-    entries = best.orderBy(F.desc("t"), "term").limit(LEXICON_ENTRIES).collect()
+    counted = counted.where(F.col("t") >= 3)
+    tested = counted.count()
+    t, c, share = F.col("t"), F.col("c"), toxic / max(1, toxic + clean)
+    odds = F.log((t + 0.5) / (toxic + 1.0)) - F.log((c + 0.5) / (clean + 1.0))
+    gain = t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0)
+    often = counted.where(t >= math.ceil(MIN_SHARE * toxic)).withColumn("w", odds)
+    often = often.where((F.col("w") >= MIN_LOG_ODDS) & (gain >= math.log(max(1, tested)) + MIN_GAIN))
+    found = often.orderBy(F.desc("t"), "term").limit(LEXICON_ENTRIES).collect()
+    proposed = frozenset(r.term for r in found)
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, str]] = set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                before = ""
+                for word in _WORD.findall(text.lower()):
+                    for term in (word, *(f"{word[:n]}*" for n in STEMS if len(word) >= n)):
+                        if term in proposed:
+                            seen.add((term, before))
+                    before = word
+        pairs = sorted(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["term", "before"])
+
+    varied = once.where("y = 1").mapInArrow(neighbours, "term string, before string").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    contexts = {r.term: r.n for r in varied.collect()}  # a row for each proposed entry
+    entries = [r for r in found if contexts.get(r.term, 0) >= max(3, MIN_VARIETY * r.t)]
     model = ToxicModel({r.term: r.w for r in entries if r.term[-1] != "*"}, {r.term[:-1]: r.w for r in entries if r.term[-1] == "*"})
 
     def near_misses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
