@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, packing, pii, preference, simhash, token_store, toxicity, url_filter
+from . import ann, decontamination, line_dedup, packing, pii, preference, simhash, token_store, toxicity, url_filter
 from .common import table
 from .oracle import ORACLE_SQL
 
@@ -43,6 +43,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_best_fit(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_line_dedup, op2_pii, op3_decontamination, op4_token_output, op5_preference, op6_packing, op8_simhash, op9_toxicity, op10_url_filter)
+        for f in (op1_line_dedup, op2_pii, op3_decontamination, op4_token_output, op5_preference, op6_packing, op7_neighbours, op8_simhash, op9_toxicity, op10_url_filter)
     }
 
 
