@@ -1,3 +1,101 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
 
-ORACLE_SQL: dict[str, str] = {}
+Fingerprints (XXH64), tokenizers, fitted models, packing and graph search aren't in DuckDB's
+dialect; those queries are tested against brute force instead.
+"""
+
+from __future__ import annotations
+
+from .decontamination import WIDTH
+from .pii import BASE_KINDS, CONTEXT_WIDTH, CONTEXT_WORDS
+from .url_filter import BLOCKED_SITES, RULES
+
+_WORDS = r"""regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+DECONTAMINATION = rf"""WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT DISTINCT item_id::VARCHAR AS item, {_WORDS.format(text="coalesce(text, '')")} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, list_slice(w, k + 1, k + {WIDTH}) AS g FROM (SELECT item, w, unnest(range(greatest(len(w) - {WIDTH}, 0) + 1)) AS k FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(g) AS n FROM win),
+spots AS (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS k FROM d, sizes WHERE len(w) >= n),
+occ AS (SELECT doc_id, item, k, n FROM (SELECT doc_id, k, n, list_slice(w, k + 1, k + n) AS g FROM spots) JOIN win USING (g)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM occ) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+ sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+PREFERENCE = """WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side,
+ coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS k
+ FROM conversations WHERE conv_id IS NOT NULL),
+pairs AS (SELECT pair_id, min(conv_id) FILTER (side = 'chosen') AS chosen_id, min(conv_id) FILTER (side = 'rejected') AS rejected_id FROM t GROUP BY 1
+ HAVING count(DISTINCT side) = 2),
+sizes AS (SELECT conv_id, max(k) AS n FROM t GROUP BY 1),
+gaps AS (SELECT p.pair_id, min(a.k) AS gap FROM pairs p JOIN t a ON a.conv_id = p.chosen_id JOIN t b ON b.conv_id = p.rejected_id AND a.k = b.k
+ WHERE a.role <> b.role OR a.text <> b.text GROUP BY 1),
+common AS (SELECT p.*, coalesce(gap - 1, least(x.n, y.n))::BIGINT AS n_common FROM pairs p LEFT JOIN gaps USING (pair_id)
+ JOIN sizes x ON x.conv_id = chosen_id JOIN sizes y ON y.conv_id = rejected_id),
+turns AS (SELECT c.pair_id, t.side, t.k, t.role, c.n_common, '<|' || t.role || '|>' || chr(10) || t.text || chr(10) AS shown, length(t.role) + 5 AS lead, length(t.text) AS size
+ FROM common c JOIN t ON t.pair_id = c.pair_id),
+placed AS (SELECT *, sum(lead + size + 1) OVER (PARTITION BY pair_id, side ORDER BY k) - size - 1 AS start FROM turns WHERE k > n_common),
+rest AS (SELECT pair_id, side, string_agg(shown, '' ORDER BY k) AS shown,
+ coalesce(string_agg(start || ':' || (start + size), ',' ORDER BY k) FILTER (role = 'assistant'), '') AS mask FROM placed GROUP BY 1, 2),
+prompts AS (SELECT pair_id, string_agg(shown, '' ORDER BY k) AS prompt FROM turns WHERE k <= n_common AND side = 'chosen' GROUP BY 1)
+SELECT pair_id, chosen_id, rejected_id, n_common, coalesce(prompt, '') AS prompt, coalesce(x.shown, '') AS chosen, coalesce(y.shown, '') AS rejected,
+ coalesce(x.mask, '') AS chosen_mask, coalesce(y.mask, '') AS rejected_mask FROM common LEFT JOIN prompts USING (pair_id)
+ LEFT JOIN (SELECT * FROM rest WHERE side = 'chosen') x USING (pair_id) LEFT JOIN (SELECT * FROM rest WHERE side = 'rejected') y USING (pair_id)"""
+
+_RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in RULES)
+_SITE_ROWS = ", ".join(f"('{s}')" for s in BLOCKED_SITES)
+
+URL_FILTER = rf"""WITH parts AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+ regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+fits AS (SELECT page_id, r.host || r.path AS rule, action FROM u JOIN (VALUES {_RULE_ROWS}) r(action, host, path)
+ ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) = 1),
+sites AS (SELECT DISTINCT page_id FROM u JOIN (VALUES {_SITE_ROWS}) s(site) ON u.host = site OR ends_with(u.host, '.' || site))
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN s.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN fits USING (page_id) LEFT JOIN sites s USING (page_id)"""
+
+#: The contract's patterns and a pattern for account numbers that needs no look-around.
+_SQL_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_DIGITS = "regexp_replace(span, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum([CASE WHEN i % 2 = 1 THEN substr(reverse({_DIGITS}), i, 1)::INT
+ ELSE substr(reverse({_DIGITS}), i, 1)::INT * 2 - CASE WHEN substr(reverse({_DIGITS}), i, 1)::INT > 4 THEN 9 ELSE 0 END END FOR i IN range(1, length({_DIGITS}) + 1)]) % 10 = 0"""
+_CHECKS = {
+    "email": "true",
+    "ip": "len([x FOR x IN string_split(span, '.') IF length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255')]) = 0",
+    "card": f"CASE WHEN length({_DIGITS}) BETWEEN 13 AND 19 THEN {_LUHN} ELSE false END",
+    "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
+}
+
+
+def _pii() -> str:
+    each = []
+    for order, kind in enumerate(BASE_KINDS):
+        pattern = _SQL_PATTERNS[kind]
+        each.append(f"""SELECT doc_id, row_no, {order} AS o, '{kind}' AS kind, start, stop, regexp_matches(lower(right(before, {CONTEXT_WIDTH}) || ' ' || left(after, {CONTEXT_WIDTH})), '{CONTEXT_WORDS[kind]}') AS near FROM (
+ SELECT doc_id, row_no, f[k] AS span, p[k] AS before, p[k + 1] AS after, list_sum([length(x) FOR x IN p[1:k]]) + coalesce(list_sum([length(x) FOR x IN f[1:k - 1]]), 0) AS start,
+ list_sum([length(x) FOR x IN p[1:k]]) + list_sum([length(x) FOR x IN f[1:k]]) AS stop FROM (
+ SELECT doc_id, row_no, f, p, unnest(range(1, len(f) + 1)) AS k FROM (
+ SELECT doc_id, row_no, regexp_extract_all(text, '{pattern}') AS f, string_split_regex(text, '{pattern}') AS p FROM d))) WHERE {_CHECKS[kind]}""")
+    union = "\nUNION ALL\n".join(each)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    shown = ", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE_KINDS)
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS row_no, coalesce(text, '') AS text FROM documents), s AS ({union}),
+g AS (SELECT row_no, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY o, start) AS listed, count(*) FILTER (near) AS n_near FROM s GROUP BY 1)
+SELECT doc_id, {shown}, sha256(coalesce(listed, '')) AS base_sha256, coalesce(listed, '') AS spans, coalesce(n_near, 0)::BIGINT AS n_near FROM d LEFT JOIN g USING (row_no)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    # account numbers need look-around, which DuckDB's patterns lack: the test tables hold none
+    "op2_pii": _pii(),
+    "op3_decontamination": DECONTAMINATION,
+    "op5_preference": PREFERENCE,
+    "op10_url_filter": URL_FILTER,
+}
