@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 _own_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(32 * 1024 * 1024)
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,7 +59,13 @@ def discard(frame: DataFrame) -> None:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, as --py-files would."""
+    """Make this package importable in the Python workers, as --py-files would.
+
+    Where the session has no bound on the bytes of an Arrow batch, it gets one: very long texts
+    would else meet by the thousand.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -126,8 +126,9 @@ def variant_keys(line: str) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with the columns that name a document here, beside all others."""
-    return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64(F.col("text").cast("string"))})
+    """row, all columns of docs as one, beside text and the columns _id and _hash that name a document here."""
+    text = F.col("text").cast("string")
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_hash"))
 
 
 def _line_entries(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
@@ -158,7 +159,7 @@ def _line_entries(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc_id", "doc_hash", "place", "a", "b", "length", *names])
 
     schema = "doc_id long, doc_hash long, place int, a long, b long, length int" + "".join(f", {n} long" for n in names)
-    held = _keyed(docs).select(F.col("_id").alias("doc_id"), F.col("_hash").alias("doc_hash"), F.col("text").cast("string").alias("text"))
+    held = _keyed(docs).select(F.col("_id").alias("doc_id"), F.col("_hash").alias("doc_hash"), "text")
     lines = held.mapInArrow(cut, schema)
     first = F.min(F.struct("doc_id", "doc_hash", "place")).alias("first")
     return lines.groupBy("a", "b").agg(first, F.min("length").alias("length"), *[F.min(n).alias(n) for n in names])
@@ -195,7 +196,7 @@ def _line_texts(docs: DataFrame, entries: DataFrame, wanted: DataFrame, broadcas
     named = materialise(named, "wanted-lines")
     places = named.groupBy(F.col("first.doc_id").alias("d"), F.col("first.doc_hash").alias("h")).agg(F.collect_list(F.struct("id", "b", "first")).alias("wanted"))
     places = F.broadcast(places) if named.count() <= broadcast_rows else places
-    held = _keyed(docs).select("_id", "_hash", F.col("text").cast("string").alias("text"))
+    held = _keyed(docs).select("_id", "_hash", "text")
     found = held.join(places, held._id.eqNullSafe(places.d) & (held._hash == places.h))
     lines = F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), w["b"].alias("b"), w["first"].alias("first"), F.get(F.split("text", "\n"), w["first"]["place"]).alias("line")))
     return materialise(found.select(F.explode(lines).alias("x")).select("x.*").dropDuplicates(["id", "b"]), "line-texts")
@@ -285,17 +286,18 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = True, **options) -> DataFr
     ship_package(docs.sparkSession)
     kept = kept_lines(docs, **options)
     keyed = _keyed(docs)
-    joined = keyed.join(kept, keyed._id.eqNullSafe(kept.kept_id) & (keyed._hash == kept.kept_hash), "left").select(*docs.columns, "kept_places")
-    at, lengths = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+    joined = keyed.join(kept, keyed._id.eqNullSafe(kept.kept_id) & (keyed._hash == kept.kept_hash), "left").select("row", "text", "kept_places")
+    names = docs.columns
+    at, lengths = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_rebuild(t, p) for t, p in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
-            columns = batch.columns[:-1]
+            made = [_rebuild(t, p) for t, p in zip(batch.column("text").to_pylist(), batch.column("kept_places").to_pylist(), strict=True)]
+            columns = batch.column("row").flatten()
             columns[at] = pa.array([m[0] for m in made], columns[at].type)
             if lengths >= 0:
                 columns[lengths] = pa.array([None if m[0] is None else len(m[0]) for m in made], columns[lengths].type)
-            out = pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+            out = pa.RecordBatch.from_arrays(columns, names)
             yield out.filter(pa.array([not (drop_emptied and m[1] and not m[2]) for m in made], pa.bool_()))
 
     return joined.mapInArrow(apply, docs.schema)
@@ -307,7 +309,7 @@ def line_report(docs: DataFrame, **options) -> DataFrame:
     kept = kept_lines(docs, **options)
     keyed = _keyed(docs)
     joined = keyed.join(kept, keyed._id.eqNullSafe(kept.kept_id) & (keyed._hash == kept.kept_hash), "left")
-    joined = joined.select(F.col("_id").alias("doc_id"), F.col("text").cast("string").alias("text"), "kept_places")
+    joined = joined.select(F.col("_id").alias("doc_id"), "text", "kept_places")
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,0 +1,622 @@
+"""Corpus operators against brute force on small fixtures, and their edge cases."""
+
+import hashlib
+import os
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+
+
+import corpus_pipeline
+from locusflow.llm import ann, components, decontamination, line_dedup, packing, pii, preference, simhash, token_store, toxicity, url_filter
+from locusflow.llm import queries as corpus_queries
+from locusflow.llm.oracle import ORACLE_SQL
+from locusflow.llm.word_tokens import WordEncoder
+
+DATA = "/root/testdata/sf0.001"
+VOCABULARY = corpus_queries.vocabulary()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, _id string, _hash string, row string, gone_id string, kept_places string, words string, d string, h string"
+EXTRA = ["x"] * 8
+FILLER = "the quick brown fox jumps over the lazy dog and runs far away from here while we all look on"
+
+
+def documents(spark, texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    rows = [(i, t, "en", "s", None if t is None else len(t), *EXTRA) for i, t in zip(ids, texts, strict=True)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Copies, near copies, personal data, blank and long texts, from a seeded generator."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeiourstln") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    made = ["\n".join(line(rng.randint(3, 14)) for _ in range(rng.randint(1, 8))) for _ in range(60)]
+    made += made[:8] + [made[9].replace("a", "e", 1), made[10] + " x"]
+    made += ["", " \n\t ", None, "a", FILLER * 400, "\n".join([FILLER] * 50), made[3] + "\n" + made[4]]
+    made += [FILLER + str(i) for i in range(60)]
+    return made
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+
+
+def collected(frame, key):
+    return {r[key]: r for r in frame.collect()}
+
+
+# line dedup
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def signed(text):
+    value = xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - ((value >> 63) << 64)
+
+
+def deduped(texts):
+    first = {}
+    for i, t in enumerate(texts):
+        for k, line in enumerate((t or "").split("\n")):
+            if line.strip():
+                first.setdefault(line, (i, signed(t), k))
+    order = sorted(first, key=first.get)
+    gone = set()
+    for n, b in enumerate(order):
+        if len(b) >= line_dedup.MIN_CHARS:
+            near = (a for a in order[:n] if len(a) >= line_dedup.MIN_CHARS and abs(len(a) - len(b)) <= 1)
+            if any(distance(a, b) <= 1 for a in near):
+                gone.add(b)
+    stay = {v for k, v in first.items() if k not in gone}
+    out = []
+    for i, t in enumerate(texts):
+        kept = [x for k, x in enumerate((t or "").split("\n")) if not x.strip() or (i, t and signed(t), k) in stay]
+        out.append((None if t is None else "\n".join(kept), sum(bool(x.strip()) for x in kept)))
+    return out
+
+
+@pytest.mark.parametrize(("hot", "broadcast_rows"), [(32, 50_000), (2, 0)])
+def test_line_dedup(spark, texts, hot, broadcast_rows):
+    short = [t if t is None or len(t) < 4000 else t[:2000] for t in texts]
+    wanted = deduped(short)
+    docs = documents(spark, short).repartition(3)
+    report = collected(line_dedup.line_report(docs, hot=hot, broadcast_rows=broadcast_rows), "doc_id")
+    for i, (text, kept) in enumerate(wanted):
+        assert report[i].n_kept == kept
+        assert report[i].text_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+    left = collected(line_dedup.dedup_lines(docs, hot=hot, broadcast_rows=broadcast_rows), "doc_id")
+    assert set(left) == {i for i, (_, kept) in enumerate(wanted) if kept or not (short[i] or "").strip()}
+    for i, row in left.items():
+        assert row.text == wanted[i][0] and row._id == "x" and row.n_chars == (None if row.text is None else len(row.text))
+
+
+def test_line_kernels():
+    rng = random.Random(0)
+    for _ in range(3000):
+        a = "".join(rng.choice("ab") for _ in range(rng.randint(0, 10)))
+        b = list(a)
+        for _ in range(rng.randint(0, 2)):
+            b[rng.randint(0, len(b)) : rng.randint(0, len(b))] = rng.choice(["", "a", "c"])
+        b = "".join(b)
+        d = distance(a, b)
+        for edits in (0, 1, 2, 3):
+            assert line_dedup.within_edits(a, b, edits) == (d <= edits)
+        for edits in (1, 2):
+            if a != b and d <= edits and min(len(a), len(b)) > edits:
+                (ia, pa), (ib, pb) = line_dedup.segment_keys(a, edits), line_dedup.segment_keys(b, edits)
+                assert {*ia} & {*ib, *pb} or {*ib} & {*pa}
+
+
+def test_line_edges(spark):
+    long = "y" * 300_000
+    docs = documents(spark, [long, long + "z", None, "", "\n\n", "same line here for everyone", "same line here for everyone"], [1, 2, 3, 4, 5, None, None])
+    rows = line_dedup.line_report(docs).collect()
+    assert len(rows) == 7
+    by_id = {r.doc_id: r.n_kept for r in rows if r.doc_id is not None}
+    assert by_id == {1: 1, 2: 0, 3: 0, 4: 0, 5: 0}
+    assert [r.n_kept for r in rows if r.doc_id is None] == [1, 1]  # one document twice
+    assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        line_dedup.line_report(docs, edits=2)
+
+
+# personal data
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii(spark):
+    rng = random.Random(1)
+    bits = ["a@b.c", "x.y@z-1.example.com_q@r.st", "@", ".", "1.2.3.4", "300.1.1.1", "1..2.3.4.5", "0001.2.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 1234-5678", "++12", "+1", " ", "\n", "é", "😀", "77", "-", "\u2028", "Kö@ü.de", "a_b@c.d.e.f"]
+    made = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    made += [None, "", "a" * 200_000, "1" * 200_000, "1 " * 100_000, "+1" + "(" * 100_000, "a@" * 50_000, "9." * 50_000]
+    for row in pii.pii_report(documents(spark, made)).collect():
+        spans = base_spans(made[row.doc_id])
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert row.base_sha256 == hashlib.sha256(listed.encode()).hexdigest(), made[row.doc_id][:200]
+        counts = Counter(k for k, _, _ in spans)
+        assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == tuple(counts[k] for k in PATTERNS)
+        assert row.spans.split(",iban")[0] == listed
+
+
+def test_pii_account_numbers_and_redaction(spark):
+    made = ["pay to bank DE89 3704 0044 0532 0130 00 now", "DE89 3704 0044 0532 0130 01", "mail a@b.cd or call +49 30 1234567"]
+    rows = collected(pii.pii_report(documents(spark, made)), "doc_id")
+    assert "iban:12:39" in rows[0].spans and rows[0].n_near >= 1 and "iban" not in rows[1].spans
+    left = collected(pii.redact(documents(spark, made)), "doc_id")
+    assert left[2].text == "mail [email] or call [phone]"
+    assert pii.pii_report(documents(spark, [])).count() == 0
+
+
+# decontamination
+
+
+def contamination(texts, items, width=13):
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
+    windows = {}
+    for item, text in items:
+        w = words(text)
+        n = min(width, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[k : k + n]), set()).add(item)
+    out = []
+    for t in texts:
+        w, hit, found = words(t), set(), set()
+        for n in {len(k) for k in windows}:
+            for k in range(len(w) - n + 1):
+                names = windows.get(tuple(w[k : k + n]))
+                if names is not None:
+                    hit |= set(range(k, k + n))
+                    found |= names
+        named = sorted(str(f) for f in found if f is not None)
+        out.append((len(w), len(hit), len(named), hashlib.sha256(",".join(named).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    return out
+
+
+@pytest.mark.parametrize("broadcast_rows", [50_000, 0])
+def test_decontamination(spark, texts, broadcast_rows):
+    def words(n, at):
+        return " ".join(re.findall(r"\w+", texts[n] or "")[at : at + 18])
+
+    items = [(1, words(0, 0)), (2, words(1, 3)), (3, "one two"), (4, None), (5, ""), (6, "!!"), (7, FILLER), (8, "a a a a a a a a a a a a a a a"), (9, words(0, 2)), (None, words(2, 0))]
+    mixed = [*texts, "One,two three one TWO", "a " * 40, "b " + "a " * 13 + "b", f"{FILLER[:40]} zzz {FILLER[40:]}", "ÀB one two"]
+    benchmark = spark.createDataFrame([(*i, "x", "y") for i in items], "item_id long, text string, words string, doc_id string")
+    rows = collected(decontamination.contamination_report(documents(spark, mixed), benchmark, broadcast_rows=broadcast_rows), "doc_id")
+    for i, wanted in enumerate(contamination(mixed, items)):
+        row = rows[i]
+        assert (row.n_words, row.n_hit, row.n_items, row.items_sha256, row.contaminated) == wanted, mixed[i]
+    left = decontamination.remove_contaminated(documents(spark, mixed), benchmark, broadcast_rows=broadcast_rows)
+    assert left.columns == documents(spark, []).columns
+    assert {r.doc_id for r in left.collect()} == {i for i, r in rows.items() if not r.contaminated}
+
+
+def test_decontamination_edges(spark):
+    benchmark = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
+    none = benchmark.where("item_id < 0")
+    docs = documents(spark, ["red green blue", "red green blue", "other", "red green blue"], [7, 7, 7, None])
+    assert sorted(r.n_hit for r in decontamination.contamination_report(docs, benchmark).collect()) == [0, 3, 3, 3]
+    assert sum(r.n_hit for r in decontamination.contamination_report(docs, none).collect()) == 0
+    assert decontamination.contamination_report(documents(spark, []), benchmark).count() == 0
+    assert decontamination.remove_contaminated(docs, benchmark).count() == 1
+
+
+def test_proximity(spark):
+    benchmark = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    docs = documents(spark, ["alpha beta", "alpha xx beta", "alpha far far far far beta", "beta alpha", "alpha"])
+    _, rarest, index = decontamination.index_benchmark(docs, benchmark)
+    found = {(r.doc_id, abs(r["shift"])) for r in decontamination.proximity_matches(rarest, index, 2).collect()}
+    assert found == {(0, 0), (1, 1), (3, 2)}
+
+
+# tokens and packing
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(VOCABULARY)
+
+
+def test_word_encoder(tokenizer):
+    rng = random.Random(1)
+    letters = [*" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u3000aAbB'sStTreEdD019.,!<|>", *"éÉàßÿÇ×÷µªº²İıſΣσςñ\u0301\u0308가ᄀ一🎉\u200d\u200b\x00", "<|endoftext|>", "'ll", "Don't "]
+    ours = WordEncoder(VOCABULARY)
+    for _ in range(5000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 14)))
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_token_store(spark, texts, tokenizer, encoding, tmp_path):
+    order = list(range(len(texts)))
+    random.Random(2).shuffle(order)
+    docs = documents(spark, [texts[i] for i in order], order)
+    path = f"file://{tmp_path}/store"
+    rows = collected(token_store.token_id_output(docs, VOCABULARY, path, encoding=encoding, files=3), "doc_id")
+    start = 0
+    for i, text in enumerate(texts):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (rows[i].start, rows[i].n_tokens, rows[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    some = token_store.slice_documents(spark, path, 5, 7)
+    assert sorted(r.doc_id for r in some.collect()) == [5, 6, 7]
+    with pytest.raises(ValueError):
+        token_store.write_token_store(docs, path, VOCABULARY, encoding="zip")
+
+
+def test_token_store_edges(spark, tmp_path):
+    assert token_store.token_id_output(documents(spark, []), VOCABULARY).count() == 0
+    rows = token_store.token_id_output(documents(spark, ["b", "a", None], [1, 1, None]), VOCABULARY).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, 1, 1] and [r.n_tokens for r in rows] == [1, 2, 2]
+
+
+def test_packing(spark, texts, tokenizer):
+    size = 64
+    rows = packing.pack_best_fit(documents(spark, texts).repartition(5), VOCABULARY, size).collect()
+    wanted = {}
+    for i, text in enumerate(texts):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        for piece, at in enumerate(range(0, len(ids), size)):
+            held = ids[at : at + size]
+            wanted[i, piece] = (at, len(held), zlib.crc32(np.array(held, "<u4").tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == wanted and len(rows) == len(wanted)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in sequences.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= size
+    total = sum(r.length for r in rows)
+    assert len(sequences) <= 1.05 * -(-total // size) + 1
+
+
+def test_packing_plan_and_edges(spark):
+    rng = np.random.default_rng(0)
+    for spread in (0.4, 1.2):
+        histogram = np.bincount(np.clip(rng.lognormal(4, spread, 5000).astype(int) + 1, 1, 256), minlength=257)
+        plan = packing.plan_sequences(histogram, 256)
+        used = np.zeros(257, int)
+        for pattern, n in plan:
+            assert sum(pattern) <= 256 and n > 0
+            for length in pattern:
+                used[length] += n
+        assert (used == histogram).all()
+        assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(histogram.copy(), 256)) + 1
+    assert packing.pack_best_fit(documents(spark, []), VOCABULARY).count() == 0
+    rows = packing.pack_best_fit(documents(spark, [None, "", "a"], [None, 4, 4]), VOCABULARY).collect()
+    assert len(rows) == 3 and len({r.sequence_id for r in rows}) == 1
+
+
+# preference pairs
+
+
+def turns(spark, rows):
+    return spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn int, role string, text string, side string")
+
+
+def test_preference(spark):
+    held = turns(spark, [
+        (0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "é?"), (1, 1, "assistant", "no"), (1, 0, "user", "hi"),
+        (2, 0, "user", "a"), (4, 0, "user", "a"), (5, 0, "user", "a"), (None, 0, "user", "z"), (6, 0, None, None), (7, 0, "assistant", ""), (7, 0, "assistant", ""),
+    ])
+    rows = collected(preference.preference_pairs(preference.adjacent_pairs(held)), "pair_id")
+    assert set(rows) == {0, 2, 3}
+    one = rows[0]
+    assert (one.n_common, one.prompt) == (1, "<|user|>\nhi\n")
+    assert one.chosen == "<|assistant|>\nyes\n<|user|>\né?\n" and one.rejected == "<|assistant|>\nno\n"
+    a, b = map(int, one.chosen_mask.split(":"))
+    assert one.chosen[a:b] == "yes" and one.rejected_mask == "14:16"
+    assert (rows[2].n_common, rows[2].chosen, rows[2].rejected, rows[2].chosen_mask) == (1, "", "", "")
+    assert rows[3].n_common == 0 and rows[3].rejected_mask == "14:14,29:29"
+    assert preference.preference_pairs(preference.adjacent_pairs(turns(spark, []))).count() == 0
+
+
+# nearest neighbours
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<double>, node string, x string")
+
+
+def exact(rows, k):
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v) and len(v) == 8]
+    out = {}
+    for q, x in good:
+        if q % 20 == 0:
+            scores = sorted((-float(np.dot(x, y)), i) for i, y in good if i != q)[:k]
+            out[q] = [(i, -s) for s, i in scores]
+    return out
+
+
+GRAPH = ann.GraphSettings(degree=12, tables=3, block=64, rounds=3)
+SEARCH = ann.SearchSettings(pool=64, open=8, hops=6, entries=8)
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, (rng.normal(size=8) * rng.uniform(0.5, 2)).tolist()) for i in range(300)]
+    rows += [(300 + i, rows[7][1]) for i in range(40)]
+    rows += [(400, None), (420, [0.0] * 8), (440, [float("nan")] * 8), (460, [1.0, None] * 4), (480, [1.0]), (None, rows[1][1]), (500, [float("inf")] * 8)]
+    held = vectors(spark, rows)
+    found = ann.nearest(held, held.where("vec_id % 20 = 0"), 10, graph_settings=GRAPH, search_settings=SEARCH).collect()
+    wanted = exact(rows, 10)
+    by_query = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        by_query.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(by_query) == set(wanted)
+    hits = sum(len({i for i, _ in by_query[q]} & {i for i, _ in wanted[q]}) for q in wanted)
+    assert hits >= 0.9 * 10 * len(wanted)
+    by_id = {i: np.array(v) for i, v in rows if i is not None and v}
+    for q, listed in by_query.items():
+        assert len(listed) == 10 and listed == sorted(listed, key=lambda e: (-e[1], e[0]))
+        assert all(abs(s - float(np.dot(by_id[q], by_id[i]))) < 1e-9 for i, s in listed)
+
+
+def test_nearest_edges(spark):
+    for rows, wanted in (([], 0), ([(0, [1.0, 2.0])], 0), ([(0, [1.0]), (1, [1.0]), (2, [-1.0])], 2)):
+        held = vectors(spark, rows)
+        found = ann.nearest(held, held.where("vec_id % 20 = 0"), 5, graph_settings=GRAPH, search_settings=SEARCH).orderBy("rank").collect()
+        assert len(found) == wanted
+    assert [r.vec_id for r in found] == [1, 2]
+
+
+# SimHash and components
+
+
+def simhash_of(text):
+    words = [w.encode() for w in re.findall("[^\x20\x09-\x0d]+", lower(text))]
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(spark, texts, monkeypatch):
+    monkeypatch.setattr(simhash, "SUBTREE", 8)  # many subtrees even on a small fixture
+    prints = [simhash_of(t) for t in texts]
+    labels = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(prints):
+            for j, b in enumerate(prints):
+                if (a ^ b).bit_count() <= 3 and labels[j] < labels[i]:
+                    labels[i], changed = labels[j], True
+    docs = documents(spark, texts).repartition(3)
+    rows = collected(simhash.simhash_components(docs), "doc_id")
+    for i, value in enumerate(prints):
+        assert (rows[i].fingerprint, rows[i].component_id) == (f"{value:016x}", labels[i])
+    left = simhash.keep_one_of_each(docs)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, c in enumerate(labels) if i == c}
+
+
+def test_trie_walk():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+
+    def near(n):
+        v = base[rng.integers(0, 60, n)].copy()
+        for _ in range(3):
+            v ^= np.where(rng.random(n) < 0.7, np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64), np.uint64(0))
+        return np.unique(v)
+
+    x, y = near(500), near(400)
+    found = {p for i, j in simhash.walk_pairs(x, y, 3) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    differ = np.bitwise_count(x[:, None] ^ y[None, :]) <= 3
+    assert found == set(zip(*(a.tolist() for a in np.nonzero(differ)), strict=True))
+
+
+def test_simhash_edges(spark):
+    rows = simhash.simhash_components(documents(spark, [None, "", "a b", "a b"], [5, 3, None, 9])).collect()
+    assert sorted((r.doc_id or -1, r.component_id) for r in rows) == [(-1, 9), (3, 3), (5, 3), (9, 9)]
+    assert simhash.simhash_components(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    chain = [(i, i + 1) for i in range(100, 140)]
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + chain + [(200, 200 + i) for i in range(1, 50)] + [(7, 7), (None, 3)]
+    label = {n: n for e in edges for n in e if n is not None}
+    for _ in label:
+        for a, b in edges:
+            if a is not None:
+                label[a] = label[b] = min(label[a], label[b])
+    frame = spark.createDataFrame(edges, "u long, v long")
+    found = {r.node: r.component for r in components.connected_components(frame).collect()}
+    linked = {n for a, b in edges if a is not None and a != b for n in (a, b)}
+    assert found == {n: label[n] for n in linked}
+
+
+# toxicity
+
+
+def toxic_corpus(n=400):
+    rng = random.Random(5)
+    plain = ["".join(rng.choice("aeiourstlnm") for _ in range(rng.randint(2, 7))) for _ in range(150)]
+    bad = ["wretchork", "scumbagel", "vilefrump"]
+    rows, labels = [], []
+    for i in range(n):
+        words = [rng.choice(plain) for _ in range(rng.randint(10, 40))]
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(3):
+                words.insert(rng.randint(0, len(words)), rng.choice(bad))
+        rows.append(" ".join(words))
+        labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def test_toxicity(spark):
+    texts, labels = toxic_corpus()
+    extra = ["such a wretchrok and vilefrumpp scumbagle, you", "he said \"wretchork\" is a word", None, ""]
+    docs = documents(spark, texts + extra)
+    table = spark.createDataFrame([(*row, "x") for row in labels] + [(9999, 1, "x"), (3, None, "x"), (None, 1, "x")], "doc_id long, toxic int, text string")
+    model = toxicity.learn(docs, table)
+    assert {"wretchork", "scumbagel", "vilefrump"} <= set(model.words)
+    rows = collected(toxicity.score_documents(docs, model), "doc_id")
+    held = collected(toxicity.toxicity(docs, table), "doc_id")
+    for i, toxic in labels:
+        assert rows[i].predicted == toxic
+        assert held[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= held[i].score <= 1
+    n = len(texts)
+    assert rows[n].score > rows[n + 2].score == rows[n + 3].score  # two edits apart or one: misspelled terms count
+    assert model.evidence("you vilefrump") > model.evidence("a vilefrump") > model.evidence('he wrote "vilefrump" here')
+    left = toxicity.keep_clean(docs, table)
+    assert left.columns == docs.columns and {r.doc_id for r in left.where(f"doc_id < {n}").collect()} == {i for i, t in labels if not t}
+
+
+def test_toxicity_ignores_held_out_labels(spark):
+    texts, labels = toxic_corpus(200)
+    flipped = [(i, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, t in labels]
+    docs = documents(spark, texts)
+    models = [toxicity.learn(docs, spark.createDataFrame(rows, "doc_id long, toxic int")) for rows in (labels, flipped)]
+    assert models[0].__getstate__() == models[1].__getstate__()
+
+
+def test_automaton():
+    trie = toxicity.Trie({"scumbag": 1.0, "vile": 2.0})
+    rng = random.Random(0)
+    for _ in range(2000):
+        word = list(rng.choice(["scumbag", "vile"]))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randint(0, len(word))
+            word[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "v"])
+        word = "".join(word)
+        near = {w for w in ("scumbag", "vile") if distance(w, word) <= 1}
+        found = trie.within_one_edit(word)
+        assert (found[0] if found else None) in near | ({None} if not near else set())
+
+
+def test_toxicity_edges(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    rows = toxicity.toxicity(documents(spark, [None, "a"], [None, 1]), none).collect()
+    assert [(r.score, r.predicted) for r in rows] == [(0.0, 0)] * 2
+    assert toxicity.toxicity(documents(spark, []), none).count() == 0
+
+
+# URL filters
+
+
+def test_urls(spark):
+    urls = ["http://Www.Example.com/en/1?x", "https://example.com/en/", "http://a.b.net/es/q", "net://net/fr/", "x://com", "http://notnet/es/", None, "", "no scheme", "://", "a://b?c#d", "http://spam-farm.example.org/x", "http://x.spam-farm.example.org/en/", "http://com/#a", "http://ÀB.COM/en", "http://.com//", "a://b://c/d"]
+    pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)] * 2, "page_id long, url string, host string, path string")
+    rows = url_filter.filter_urls(pages).collect()
+    assert len(rows) == 2 * len(urls)
+    for row in rows:
+        url = urls[row.page_id] or ""
+        host = path = ""
+        if "://" in url:
+            rest = url.split("://", 1)[1]
+            host, path = re.match("([^/?#]*)([^?#]*)", rest).groups()
+        host = lower(host)
+        fits = [(len(h + p), a, h + p) for a, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        blocked = any(host == s or host.endswith("." + s) for s in url_filter.BLOCKED_SITES)
+        rule, verdict = (max(fits)[2], max(fits)[1]) if fits else (None, "block" if blocked else "allow")
+        assert (row.host, row.path, row.rule, row.verdict) == (host, path, rule, verdict), url
+    assert url_filter.filter_urls(pages.where("page_id < 0")).count() == 0
+    assert {r.verdict for r in url_filter.filter_urls(pages, rules=(), blocked=()).collect()} == {"allow"}
+
+
+def test_digest_collisions(monkeypatch):
+    monkeypatch.setattr(url_filter, "key_of", lambda value: len(value))
+    array = url_filter.DigestArray.build(["aa", "bb", "ccc"])
+    assert array.contains([b"bb", b"aa", b"xx", b"ccc", b"cc"]).tolist() == [True, True, False, True, False]
+
+
+# queries and the pipeline
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the shared test tables")
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for file in os.listdir(DATA):
+        con.execute(f"create view {file[:-8]} as select * from read_parquet('{DATA}/{file}')")
+    frame = corpus_queries.queries()[name](spark, DATA)
+    cursor = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in cursor.description]
+    order = sorted(frame.columns)
+    assert order == sorted(names)
+    ours = sorted(tuple(str(r[c]) for c in order) for r in frame.collect())
+    assert ours == sorted(tuple(str(r[names.index(c)]) for c in order) for r in cursor.fetchall())
+
+
+def test_pipeline_stages(spark, tmp_path):
+    texts, labels = toxic_corpus(120)
+    clean = "\n".join(f"A sentence of its own about subject {i} and {i * 7}." for i in range(12))
+    passage = " ".join(f"term{i}" for i in range(20))
+    texts += [clean, clean + " more", passage, "", None]
+    docs = documents(spark, texts).select("doc_id", "text", "lang", "source", "n_chars")
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    n = len(texts) - 5
+    held, seen = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        held = stage(spark, held, folder)
+        held.write.parquet(f"{folder}/out-{name}")
+        held = spark.read.parquet(f"{folder}/out-{name}")
+        seen.append({r.doc_id for r in held.select("doc_id").collect()})
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert held.columns == docs.columns
+    assert seen[0] & {i for i, _ in labels} == {i for i, t in labels if not t}
+    assert n in seen[1] and n in seen[2] and n + 2 in seen[2] and n + 2 not in seen[3]
+    assert {i for i, t in labels if not t} - seen[4] == set()
+    assert sorted(map(str, corpus_pipeline.run(spark, folder).select("doc_id", "length").collect())) == sorted(map(str, held.select("doc_id", "length").collect()))
+
+
+def test_queries_cover_the_operators():
+    names = corpus_queries.queries()
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
+
