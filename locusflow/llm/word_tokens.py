@@ -24,8 +24,10 @@ _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]{1,200}")
 _PIECE = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+"
 )
-#: Entries kept in each of the two dictionaries of a worker.
+#: Entries kept in each of the two dictionaries of a worker. Frequent words come early and stay;
+#: after so many misses of full dictionaries they are emptied, in case the texts have changed.
 CACHE_ENTRIES = 300_000
+REFILL_AFTER = 3_000_000
 #: Texts longer than this are encoded chunk by chunk as well, but their chunks may be huge:
 #: chunks over the limit bypass the dictionaries.
 LONG_CHUNK = 200
@@ -48,6 +50,7 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._characters = _byte_characters()
+        self._missed = 0
         self._chunks: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
 
@@ -58,13 +61,14 @@ class WordEncoder:
         """Ids of one lower-case word, digit or run of signs, by the library's model."""
         found = self._pieces.get(word)
         if found is None:
-            if len(self._pieces) >= CACHE_ENTRIES:
-                self._pieces.clear()
             spelled = word
             if not word.isascii():
                 spelled = "".join([self._characters[b] for b in word.encode()])
             found = array("I", [token.id for token in self._model.tokenize(spelled)]).tobytes()
-            self._pieces[word] = found
+            if len(self._pieces) < CACHE_ENTRIES:
+                self._pieces[word] = found
+            elif not self._missed:  # the chunks have just been emptied, too
+                self._pieces.clear()
         return found
 
     def _chunk(self, chunk: str) -> bytes:
@@ -75,9 +79,13 @@ class WordEncoder:
         else:
             ids = b"".join([self._word(p) for p in _PIECE.findall(chunk.lower())])
         if len(chunk) <= LONG_CHUNK:
-            if len(self._chunks) >= CACHE_ENTRIES:
-                self._chunks.clear()
-            self._chunks[chunk] = ids
+            if len(self._chunks) < CACHE_ENTRIES:
+                self._chunks[chunk] = ids
+            else:
+                self._missed += 1
+                if self._missed > REFILL_AFTER:
+                    self._chunks.clear()
+                    self._missed = 0
         return ids
 
     def encode(self, text: str | None) -> bytes:
