@@ -113,7 +113,7 @@ ORACLE_SQL: dict[str, str] = {
     "ld_pairwise": _LD_PREFIX + f"SELECT {_LD_COLUMNS} FROM moments a JOIN moments b ON a.var_id < b.var_id",
     "ld_max_dist": _LD_PREFIX + f"SELECT {_LD_COLUMNS} FROM moments a JOIN moments b ON a.var_id < b.var_id AND a.chrom = b.chrom AND abs(a.pos - b.pos) <= 2000",
     "ld_matrix": _LD_PREFIX + f"""SELECT a.var_id AS var_id1, b.var_id AS var_id2, CASE WHEN a.var_id = b.var_id AND 32e0 * a.ss - a.s * a.s > 0 THEN 1e0 ELSE {_R} END AS r2,
- CASE WHEN a.chrom = b.chrom THEN abs(a.pos - b.pos) END AS dist_in_bp FROM moments a JOIN moments b ON a.var_id < 200 AND b.var_id < 200""",
+ CASE WHEN a.chrom = b.chrom THEN abs(a.pos - b.pos) END AS dist_in_bp FROM moments a CROSS JOIN moments b""",
     "ld_per_pop_min_dist": _with(_GT, _TWO, _COUNTS, _POP_LD) + f"""SELECT a.pop, a.var_id AS var_id1, b.var_id AS var_id2, {_R.replace('32e0', '16e0')} AS r2, abs(a.pos - b.pos) AS dist_in_bp
  FROM moments a JOIN moments b ON a.pop = b.pop AND a.var_id < b.var_id AND a.chrom = b.chrom AND abs(a.pos - b.pos) <= 2000 AND abs(a.pos - b.pos) > 500
  WHERE (16e0 * a.ss - a.s * a.s) * (16e0 * b.ss - b.s * b.s) > 0""",
@@ -124,12 +124,12 @@ ORACLE_SQL: dict[str, str] = {
  chain AS (SELECT min(var_id) AS v FROM kept UNION ALL SELECT nxt FROM chain JOIN nexts USING (v))
  SELECT var_id, chrom, pos FROM kept WHERE var_id IN (SELECT v FROM chain)""",
     "kosman_dists": _with(_GT, _GENO, _TRIANGLE) + "SELECT i, j, total / nullif(n, 0) AS dist FROM sums",
-    "kosman_min_snps": _with(_GT, _GENO.replace("FROM gt", "FROM gt WHERE var_id < 60"), _TRIANGLE) + "SELECT i, j, CASE WHEN n >= 55 THEN total / nullif(n, 0) END AS dist FROM sums",
+    "kosman_min_snps": _with(_GT, _GENO, _TRIANGLE) + "SELECT i, j, CASE WHEN n >= 455 THEN total / nullif(n, 0) END AS dist FROM sums",
     "kosman_rect": _with(_GT, _GENO, _KOSMAN.format(pairs="a.sample_idx < 4 AND b.sample_idx >= 16")) + "SELECT i, j, total / nullif(n, 0) AS dist FROM sums",
     "jost_dest_per_var": _with(_GT, _GENO, _THREE, _CALLED, _COUNTS, _OBS, _DEST) + "SELECT var_id, pop1, pop2, round(hs, 6) AS hs, round(ht, 6) AS ht FROM dest",
     "jost_dest": _with(_GT, _GENO, _THREE, _CALLED, _COUNTS, _OBS, _DEST) + """SELECT pop1, pop2, round(2 * (sum(ht) / count(hs) - sum(hs) / count(hs)) / nullif(1 - sum(hs) / count(hs), 0), 6) AS dest, count(hs) AS n_vars FROM dest GROUP BY ALL""",
     "euclidean_dists": """SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dist
- FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 300 AND b.vec_id < 300""",
+ FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id""",
     "dist_square_form": _with(_GT, _GENO, _TRIANGLE, _SQUARE) + "SELECT i, j, dist FROM square",
     "dist_triangle": _with(_GT, _GENO, _TRIANGLE, _SQUARE) + "SELECT i, round(sum(dist), 6) AS row_sum, count(*) AS n FROM square WHERE i >= j GROUP BY i",
     "pca_gram": _with(_GT, _ALL_MAJOR) + """, coded AS (SELECT g.var_id, sample_idx, count(*) FILTER (g.allele <> major) AS g FROM gt g JOIN majorallele USING (var_id) GROUP BY ALL),

@@ -19,7 +19,7 @@ SAMPLES = tuple(f"s{i}" for i in range(NUM_SAMPLES))
 TWO_POPS = {"p1": SAMPLES[:16], "p2": SAMPLES[16:]}
 THREE_POPS = {f"q{k}": tuple(s for i, s in enumerate(SAMPLES) if i % 3 == k) for k in range(3)}
 OVERLAPPING = {"o1": SAMPLES[:20], "o2": SAMPLES[12:]}
-MIN_SAMPLES, MAX_MAF, MAX_DIST = 5, 0.65, 2_000
+MIN_SAMPLES, MAX_MAF, MAX_DIST, MIN_SNPS = 5, 0.65, 2_000, 455
 
 
 def variants(spark: SparkSession, sf_dir: str) -> VariantFrame:
@@ -162,8 +162,7 @@ def ld_max_dist(spark, d):
 
 
 def ld_matrix(spark, d):
-    held = variants(spark, d).get_vars(slice(0, 200))
-    return ld.calc_rogers_huff_r2_matrix(held).withColumn("r2", F.round("r2", 6))
+    return ld.calc_rogers_huff_r2_matrix(variants(spark, d)).withColumn("r2", F.round("r2", 6))
 
 
 def ld_per_pop_min_dist(spark, d):
@@ -184,7 +183,7 @@ def kosman_dists(spark, d):
 
 
 def kosman_min_snps(spark, d):
-    return dists.calc_pairwise_kosman_dists(variants(spark, d).get_vars(slice(0, 60)), min_num_snps=55).df
+    return dists.calc_pairwise_kosman_dists(variants(spark, d), min_num_snps=MIN_SNPS).df
 
 
 def kosman_rect(spark, d):
@@ -202,8 +201,7 @@ def jost_dest(spark, d):
 
 
 def euclidean_dists(spark, d):
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 300")
-    rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
     return dists.euclidean_pairs(rows).withColumn("dist", F.round("dist", 6))
 
 
