@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import VariantFrame
 from ..functions import genotypes as G
 
+#: Ids in a stretch of the linkage scan.
+SCAN_CHUNK = 10_000
+SCAN_SCHEMA = "lane string, chunk long, kept array<long>, exit_id long, exit array<int>"
+
 
 def _keep(variants: VariantFrame, kind: str, condition) -> VariantFrame:
     after = variants.df.where(condition)
@@ -51,40 +53,60 @@ def signed_r(x: np.ndarray, y: np.ndarray) -> float | None:
     return top / bottom**0.5 if bottom > 0 else None
 
 
-def filter_by_ld_and_maf(variants: VariantFrame, min_allowed_r2: float = 0.1, max_allowed_maf: float = 0.95, by_chrom: bool = False) -> VariantFrame:
-    """Major-allele filter, then the greedy scan in input order.
-
-    The scan is a fold over the whole order by definition: variants stream through one task that
-    holds one vector at a time and returns the kept ids, two narrow columns wide. by_chrom
-    starts anew on each chromosome and runs them side by side.
+def _scan_chunk(group: pd.DataFrame, min_allowed_r2: float) -> pd.DataFrame:
+    """The greedy scan over one chunk, from the kept variant before it (entry), if there is one."""
+    rows = group.sort_values("var_id")
+    entry = rows["entry"].iloc[0]
+    last, last_id, kept = None, None, []
+    if entry is not None:
+        last, last_id = np.asarray(entry, dtype=np.int64), int(rows["entry_id"].iloc[0])
+    for var_id, held in zip(rows["var_id"].tolist(), rows["coded"], strict=True):
+        held = np.asarray(held, dtype=np.int64)
+        if last is not None:
+            r = signed_r(last, held)
+            if r is None or abs(r) >= min_allowed_r2:
+                continue
+        last, last_id = held, var_id
+        kept.append(var_id)
+    return pd.DataFrame({"lane": [rows["lane"].iloc[0]], "chunk": [rows["chunk"].iloc[0]], "kept": [kept], "exit_id": [last_id], "exit": [last.tolist()]})
+
+
+def filter_by_ld_and_maf(
+    variants: VariantFrame, min_allowed_r2: float = 0.1, max_allowed_maf: float = 0.95, by_chrom: bool = False, chunk_size: int = SCAN_CHUNK
+) -> VariantFrame:
+    """Major-allele filter, then the greedy scan in input order; by_chrom starts anew on each chromosome.
+
+    The scan is a fold over the whole order, made in parallel by rounds: stretches of chunk_size
+    ids are scanned side by side, each from what the stretch before it kept last in the round
+    before. Two scans of a stretch agree from the first variant that both keep, so what leaves a
+    stretch soon no longer depends on what entered it. Rounds end when nothing that leaves any
+    stretch has changed, which makes the result that of the scan from the beginning.
     """
     within = filter_by_maf(variants, max_allowed_maf)
     n, p = variants.num_samples, variants.ploidy
     major = G.major_allele(G.allele_counts(F.col("gts")))
-    coded = within.df.select("var_id", *(["chrom"] if by_chrom else []), G.coded_012(F.col("gts"), n, p, major).alias("coded"))
-    ordered = coded.repartition("chrom").sortWithinPartitions("chrom", "var_id") if by_chrom else coded.repartition(1).sortWithinPartitions("var_id")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                names = batch.column("chrom").to_pylist() if by_chrom else [None] * batch.num_rows
-                for chrom, var_id, held in zip(names, batch.column("var_id").to_pylist(), batch.column("coded").to_pylist(), strict=True):
-                    yield chrom, var_id, np.array(held, dtype=np.int64)
-
-        last_chrom, last, kept = None, None, []
-        for chrom, var_id, held in rows():
-            if last is not None and chrom == last_chrom:
-                r = signed_r(last, held)
-                if r is None or abs(r) >= min_allowed_r2:
-                    continue
-            last_chrom, last = chrom, held
-            kept.append(var_id)
-            if len(kept) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], ["kept_id"])
-                kept = []
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], ["kept_id"])
-
-    kept = ordered.mapInArrow(scan, "kept_id long")
+    lane = F.coalesce(F.col("chrom").cast("string"), F.lit("")) if by_chrom else F.lit("")
+    chunk = F.floor(F.col("var_id") / chunk_size).cast("long")
+    coded = within.df.select(lane.alias("lane"), chunk.alias("chunk"), F.col("var_id").cast("long").alias("var_id"), G.coded_012(F.col("gts"), n, p, major).alias("coded"))
+
+    def scan(entries: DataFrame | None) -> DataFrame:
+        if entries is None:
+            rows = coded.withColumns({"entry_id": F.lit(None).cast("long"), "entry": F.lit(None).cast("array<int>")})
+        else:
+            rows = coded.join(entries, ["lane", "chunk"])
+        return rows.groupBy("lane", "chunk").applyInPandas(lambda group: _scan_chunk(group, min_allowed_r2), SCAN_SCHEMA).persist()
+
+    state = scan(None)
+    in_order = Window.partitionBy("lane").orderBy("chunk")  # two narrow columns, a row a stretch
+    order = state.select("lane", "chunk", F.lag("chunk").over(in_order).alias("before"))
+    changing = not order.where("before is not null").isEmpty()
+    while changing:
+        exits = state.select("lane", F.col("chunk").alias("before"), F.col("exit_id").alias("entry_id"), F.col("exit").alias("entry"))
+        after = scan(order.join(exits, ["lane", "before"], "left").drop("before"))
+        moved = after.select("lane", "chunk", F.col("exit_id").alias("now")).join(state.select("lane", "chunk", "exit_id"), ["lane", "chunk"])
+        changing = not moved.where("now <> exit_id").isEmpty()
+        state = after
+    kept = state.select(F.explode("kept").alias("kept_id"))
     after = within.df.join(kept, within.df.var_id == kept.kept_id, "left_semi")
     return variants.with_df(after, ("ld_and_maf", variants.df, after))
 

@@ -133,6 +133,22 @@ def test_ld_filter(spark, gts, wanted):
     assert kept(filters.filter_by_ld_and_maf(held.with_df(held.df.repartition(3)), 0.1, 0.9)) == wanted
 
 
+@pytest.mark.parametrize("chunk_size", [1, 3, 7])
+def test_ld_filter_in_stretches(spark, chunk_size):
+    rng = np.random.default_rng(6)
+    sparse = np.repeat(rng.integers(0, 2, (8, 12, 2)), 4, axis=0)  # copies: whole stretches keep nothing
+    held = frame(spark, np.concatenate([sparse, rng.integers(0, 2, (10, 12, 2))]))
+    held = held.with_df(held.df.where("var_id not in (5, 6)"))
+    coded = {r.var_id: r.coded for r in ld.coded_variants(held).collect()}
+    last, wanted = None, []
+    for i in sorted(coded):
+        r = None if last is None else filters.signed_r(np.array(coded[last]), np.array(coded[i]))
+        if last is None or r is not None and abs(r) < 0.3:
+            last = i
+            wanted.append(i)
+    assert 2 < len(wanted) < len(coded) and kept(filters.filter_by_ld_and_maf(held, 0.3, 1.0, chunk_size=chunk_size)) == wanted
+
+
 def test_ld_filter_by_chrom(spark):
     held = frame(spark, [A, A, A, A], vars_info={"chrom": ["1", "1", "2", "2"], "pos": [1, 2, 1, 2]})
     assert kept(filters.filter_by_ld_and_maf(held, 0.1, 0.95, by_chrom=True)) == [0, 2]
