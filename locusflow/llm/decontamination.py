@@ -67,14 +67,15 @@ def _windows(items: DataFrame, width: int) -> DataFrame:
 
 def corpus_counts(docs: DataFrame, terms: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """term and n, its occurrences in all documents, for the given terms."""
-    words = _documents(docs).select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("term"))
+    # outer: else the optimizer splits each text once more to ask whether it has any words
+    words = _documents(docs).select(F.explode_outer("words").alias("word")).where("word is not null").select(F.xxhash64("word").alias("term"))
     return words.join(small(terms, broadcast_rows), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def postings(docs: DataFrame, terms: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The index: term, doc_id, text_hash and position of each occurrence of the given terms."""
-    words = _documents(docs).select("doc_id", "text_hash", F.posexplode("words").alias("position", "word"))
-    words = words.select("doc_id", "text_hash", "position", F.xxhash64("word").alias("term"))
+    words = _documents(docs).select("doc_id", "text_hash", F.posexplode_outer("words").alias("position", "word"))
+    words = words.where("word is not null").select("doc_id", "text_hash", "position", F.xxhash64("word").alias("term"))
     found = words.join(small(terms, broadcast_rows), "term").select("term", "doc_id", "text_hash", "position")
     return materialise(found, "postings")
 
