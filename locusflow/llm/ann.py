@@ -12,8 +12,11 @@ best are scored again in double precision on the original vectors, and nodes are
 their members.
 
 Nearness is the inner product. Vectors of different length are brought to one by an added
-component for the graph, which turns the largest product into the nearest direction; queries have
-zero there. Compared vectors are rounded to bytes; results are not.
+component for the graph, which turns the largest product into the least distance; queries have
+zero there. What the added component falls short of the common length is kept, as a float of its
+own, so that one very long vector takes no precision from the others. Compared vectors are rounded
+to bytes, each by its own scale; queries and results are not. A walk starts at a sample of the
+nodes and at the longest ones, which stand apart from all others in the graph.
 
 Vectors that are null or zero, hold null or non-finite components, or aren't of the most common
 length take no part, nor do rows without an id. Repeated rows are members of their own. With
@@ -55,7 +58,7 @@ class GraphSettings:
 
 @dataclass(frozen=True)
 class SearchSettings:
-    """pool: nodes kept for a query; open: expanded in a hop; hops; entries: common starting nodes."""
+    """pool: nodes kept for a query; open: expanded in a hop; hops; entries: common starting nodes, as many again of the longest."""
 
     pool: int = 256
     open: int = 16
@@ -63,18 +66,30 @@ class SearchSettings:
     entries: int = 64
 
 
-def pack_vectors(x: np.ndarray) -> list[bytes]:
-    """Each row as signed bytes and the float that scales them back."""
+#: Bytes of a packed vector beside its codes: the scale and the added component's shortfall.
+TAIL = 8
+
+
+def pack_vectors(x: np.ndarray, short: np.ndarray) -> list[bytes]:
+    """Each row as signed bytes, the float that scales them back, and short, a float of its own."""
     scale = np.maximum(np.abs(x).max(axis=1), 1e-30) / 127
     codes = np.rint(x / scale[:, None]).astype(np.int8)
-    tails = scale.astype("<f4").view(np.uint8).reshape(-1, 4)
+    tails = np.stack([scale, short], axis=1).astype("<f4").view(np.uint8).reshape(-1, TAIL)
     return [bytes(r) for r in np.concatenate([codes.view(np.uint8), tails], axis=1)]
 
 
 def unpack_vectors(joined: bytes, width: int) -> np.ndarray:
+    """The rows' components and, as the last column, what pack_vectors got as short."""
     raw = np.frombuffer(joined, dtype=np.uint8).reshape(-1, width)
-    scale = np.ascontiguousarray(raw[:, -4:]).view("<f4")
-    return np.ascontiguousarray(raw[:, :-4]).view(np.int8).astype(np.float32) * scale
+    tails = np.ascontiguousarray(raw[:, -TAIL:]).view("<f4")
+    codes = np.ascontiguousarray(raw[:, :-TAIL]).view(np.int8).astype(np.float32)
+    return np.concatenate([codes * tails[:, :1], tails[:, 1:]], axis=1)
+
+
+def nearness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Minus half the squared distance of unpacked rows: the product of the lengthened vectors, less their common squared length."""
+    half_x, half_y = (np.einsum("ij,ij->i", z, z) / 2 for z in (x, y))
+    return x @ y.T - half_x[:, None] - half_y[None, :]
 
 
 def usable(embeddings: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -100,20 +115,22 @@ def nodes_and_members(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]
 
 
 def packed_nodes(nodes: DataFrame) -> tuple[DataFrame, int]:
-    """node, vec (packed, with the added component) and the width of vec."""
+    """node, vec (packed, with the added component's shortfall), short and the width of vec."""
     ship_package(nodes.sparkSession)
     first = nodes.agg(F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("most"), F.max(F.size("x")).alias("d")).first()
-    most, width = first.most or 0.0, (first.d or 0) + 5
+    most, width = first.most or 0.0, (first.d or 0) + TAIL
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                added = np.sqrt(np.maximum(most - (x * x).sum(axis=1), 0.0))
-                made = pack_vectors(np.concatenate([x, added[:, None]], axis=1))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "vec"])
+                squares = (x * x).sum(axis=1)
+                # the common length less the added component, without the difference of large numbers
+                short = squares / np.maximum(math.sqrt(most) + np.sqrt(np.maximum(most - squares, 0.0)), 1e-300)
+                made = pack_vectors(x, short)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary()), pa.array(short)], ["node", "vec", "short"])
 
-    return materialise(nodes.mapInArrow(pack, "node long, vec binary"), "packed-nodes"), width
+    return materialise(nodes.mapInArrow(pack, "node long, vec binary, short double"), "packed-nodes"), width
 
 
 def _lists(ids: list[np.ndarray], sims: list[np.ndarray], extra: list[np.ndarray]) -> list[pa.Array]:
@@ -125,7 +142,7 @@ def _lists(ids: list[np.ndarray], sims: list[np.ndarray], extra: list[np.ndarray
 def first_graph(packed: DataFrame, width: int, n: int, s: GraphSettings) -> DataFrame:
     """u, vs, sims: for each node and table the best of its block."""
     bits = max(0, math.ceil(math.log2(max(1, 2 * n / s.block))))
-    planes = np.random.default_rng(s.seed).normal(size=(s.tables, width - 4, max(1, bits)))
+    planes = np.random.default_rng(s.seed).normal(size=(s.tables, width - TAIL + 1, max(1, bits)))
     middle = packed.orderBy(F.xxhash64("node"), "node").limit(1_000).collect()  # a bounded sample, to centre the planes
     mean = unpack_vectors(b"".join(bytes(r.vec) for r in middle), width).mean(axis=0) if middle else 0.0
     tables = s.tables if bits else 1
@@ -139,7 +156,7 @@ def first_graph(packed: DataFrame, width: int, n: int, s: GraphSettings) -> Data
                 key = ((x @ planes[t] > 0) @ (1 << np.arange(max(1, bits)))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(key), batch.column("node"), batch.column("vec")], ["t", "cell", "node", "vec"])
 
-    dealt = packed.mapInArrow(deal, "t int, cell long, node long, vec binary")
+    dealt = packed.select("node", "vec").mapInArrow(deal, "t int, cell long, node long, vec binary")
     sizes = dealt.groupBy(F.col("t").alias("t2"), F.col("cell").alias("c2")).agg(F.ceil(F.count(F.lit(1)) / s.block).alias("parts"))
     dealt = dealt.join(sizes, (F.col("t") == F.col("t2")) & (F.col("cell") == F.col("c2")))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node", "t"), F.col("parts")))
@@ -152,7 +169,7 @@ def first_graph(packed: DataFrame, width: int, n: int, s: GraphSettings) -> Data
             return pd.DataFrame({"u": ids, "vs": [np.zeros(0, np.int64)] * len(ids), "sims": [np.zeros(0, np.float32)] * len(ids)})
         vs, sims = [], []
         for at in range(0, len(ids), 512):
-            p = x[at : at + 512] @ x.T
+            p = nearness(x[at : at + 512], x)
             p[np.arange(len(p)), at + np.arange(len(p))] = -np.inf
             best = np.argpartition(-p, k - 1, axis=1)[:, :k]
             vs += list(ids[best])
@@ -222,7 +239,7 @@ def _proposals(graph: DataFrame, packed: DataFrame, width: int, s: GraphSettings
                 if not new.any() or len(ids) < 2:
                     continue
                 x = unpack_vectors(b"".join(vecs), width)
-                p = x @ x.T
+                p = nearness(x, x)
                 p[~((new[:, None] | new[None, :]) & (p > np.array(bars, np.float32)[:, None]) & (ids[:, None] != ids[None, :]))] = -np.inf
                 k = min(s.proposals, len(ids))
                 best = np.argpartition(-p, k - 1, axis=1)[:, :k]
@@ -256,14 +273,16 @@ def nn_descent(packed: DataFrame, width: int, s: GraphSettings = GraphSettings()
 
 
 def search_graph(graph: DataFrame, packed: DataFrame, width: int, queries: DataFrame, s: SearchSettings = SearchSettings()) -> DataFrame:
-    """node (of the query), ids: its pool after the last hop, best first. queries has the column node."""
+    """node (of the query), ids: its pool after the last hop, best first. queries has the columns node and x."""
     spark = packed.sparkSession
     sides = graph.select("u", F.explode("vs").alias("v")).join(packed.select(F.col("node").alias("v"), "vec"), "v")
     packs = sides.groupBy("u").agg(F.collect_list("v").alias("vs"), F.collect_list("vec").alias("vecs"))
     table = materialise(packs, "neighbour-vectors")
-    entries = packed.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(s.entries).collect()
-    entry_ids = np.array([r.node for r in entries], np.int64)
-    entry_vectors = unpack_vectors(b"".join(bytes(r.vec) for r in entries), width)[:, :-1]
+    starts = packed.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(s.entries).collect()
+    starts += packed.orderBy(F.desc("short"), "node").limit(s.entries).collect()
+    entries = {r.node: bytes(r.vec) for r in starts}
+    entry_ids = np.array(list(entries), np.int64)
+    entry_vectors = unpack_vectors(b"".join(entries.values()), width)[:, :-1]
 
     def pooled(ids: np.ndarray, sims: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((-done, ids, -sims))
@@ -275,32 +294,36 @@ def search_graph(graph: DataFrame, packed: DataFrame, width: int, queries: DataF
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for node, vec in zip(batch.column("node").to_pylist(), batch.column("vec").to_pylist(), strict=True):
-                q = unpack_vectors(vec, width)[0, :-1]
+            for node, q in zip(batch.column("node").to_pylist(), batch.column("q").to_pylist(), strict=True):
+                q = np.array(q, np.float32)
                 ids = np.concatenate([[node], entry_ids])
                 sims = np.concatenate([[np.inf], entry_vectors @ q])
                 rows.append(pooled(ids, sims, np.zeros(len(ids), np.int8)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("vec"), *_lists(*(list(c) for c in zip(*rows, strict=True)))] if rows else [batch.column("node"), batch.column("vec"), *_lists([], [], [])], ["node", "vec", "ids", "sims", "done"])
+            lists = _lists(*(list(c) for c in zip(*rows, strict=True))) if rows else _lists([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("q"), *lists], ["node", "q", "ids", "sims", "done"])
 
-    schema = "node long, vec binary, ids array<long>, sims array<float>, done array<tinyint>"
+    schema = "node long, q array<float>, ids array<long>, sims array<float>, done array<tinyint>"
 
     def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for vec, ids, sims, done, vs, vecs in zip(*(batch.column(c).to_pylist() for c in ("vec", "ids", "sims", "done", "vs", "vecs")), strict=True):
+            for q, ids, sims, done, vs, vecs in zip(*(batch.column(c).to_pylist() for c in ("q", "ids", "sims", "done", "vs", "vecs")), strict=True):
                 ids, sims, done = np.array(ids, np.int64), np.array(sims, np.float32), np.array(done, np.int8)
                 done[np.flatnonzero(done == 0)[: s.open]] = 1  # those that were expanded for this hop
                 if vs:
                     new, where = np.unique(np.array(vs, np.int64), return_index=True)
                     x = unpack_vectors(b"".join([vecs[k] for k in where]), width)[:, :-1]
-                    more = x @ unpack_vectors(vec, width)[0, :-1]
+                    more = x @ np.array(q, np.float32)
                     fresh = ~np.isin(new, ids)
                     ids, sims, done = pooled(np.concatenate([ids, new[fresh]]), np.concatenate([sims, more[fresh]]), np.concatenate([done, np.zeros(int(fresh.sum()), np.int8)]))
                 rows.append((ids, sims, done))
             lists = _lists(*(list(c) for c in zip(*rows, strict=True))) if rows else _lists([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("vec"), *lists], ["node", "vec", "ids", "sims", "done"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("q"), *lists], ["node", "q", "ids", "sims", "done"])
 
-    state = materialise(queries.join(packed, "node").select("node", "vec").mapInArrow(begin, schema), "search-0")
+    # a query's length leaves its order as it is; its largest component is made one
+    largest = F.array_max(F.transform("x", lambda v: F.abs(v)))
+    held = queries.select("node", F.transform("x", lambda v: (v / largest).cast("float")).alias("q"))
+    state = materialise(held.mapInArrow(begin, schema), "search-0")
     for hop in range(1, s.hops + 1):
         open_ = F.slice(F.filter(F.arrays_zip("ids", "done"), lambda e: e["done"] == 0), 1, s.open)
         frontier = materialise(state.select(F.col("node").alias("of"), F.explode(open_).alias("e")).select("of", F.col("e.ids").alias("u")), "frontier")
@@ -333,7 +356,7 @@ def nearest(
     graph = nn_descent(packed, width, graph_settings)
     asked = queries.select(F.col(id_column).cast("long").alias("query_id"), F.transform(F.col(vector_column), lambda v: v.cast("double")).alias("x"))
     asked = materialise(asked.where("query_id is not null").join(nodes, "x").select("query_id", "node"), "queries")
-    pools = search_graph(graph, packed, width, asked.select("node").distinct(), search_settings)
+    pools = search_graph(graph, packed, width, nodes.join(asked.select("node").distinct(), "node"), search_settings)
 
     product = F.aggregate(F.zip_with("qx", "x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     near = pools.select("node", F.explode(F.slice("ids", 1, 4 * k)).alias("found"))

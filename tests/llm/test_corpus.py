@@ -414,6 +414,23 @@ def test_nearest_edges(spark):
     assert [r.vec_id for r in found] == [1, 2]
 
 
+def test_nearest_beside_a_very_long_vector(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(30, 16)), 20, axis=0) + 0.3 * rng.normal(size=(600, 16))
+    x[123] *= 1_000
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    held = vectors(spark, rows)
+    found = ann.nearest(held, held.where("vec_id % 20 = 0"), 10, graph_settings=GRAPH, search_settings=SEARCH).collect()
+    near = {}
+    for r in found:
+        near.setdefault(r.query_id, set()).add(r.vec_id)
+    products = x @ x.T
+    np.fill_diagonal(products, -np.inf)
+    wanted = {q: set(np.argsort(-products[q])[:10].tolist()) for q in range(0, 600, 20)}
+    assert sum(len(near[q] & wanted[q]) for q in wanted) >= 0.9 * 10 * len(wanted)
+    assert all(123 in near[q] for q in wanted if 123 in wanted[q])
+
+
 # SimHash and components
 
 
