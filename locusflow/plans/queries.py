@@ -166,7 +166,7 @@ def ld_matrix(spark, d):
 
 
 def ld_per_pop_min_dist(spark, d):
-    found = ld.get_ld_and_dist_for_pops(variants(spark, d), TWO_POPS, max_dist=MAX_DIST, min_dist=500, max_allowed_maf=0.8, max_num_measures_to_keep=1_000_000)
+    found = ld.get_ld_and_dist_for_pops(variants(spark, d), TWO_POPS, max_dist=MAX_DIST, min_dist=500, max_allowed_maf=0.8, max_num_measures_to_keep=None)
     return found.withColumn("r2", F.round("r2", 6))
 
 

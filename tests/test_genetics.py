@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,7 @@ from locusflow.frame import VariantFrame
 from locusflow.functions import genotypes as G
 from locusflow.operators import dists, filters, ld, ordination, stats
 from locusflow.operators.pipeline import Pipeline
+from locusflow.plans import queries as genetics_queries
 
 M = [-1, -1]
 
@@ -309,3 +312,24 @@ def test_pipeline(spark):
     assert made.map_and_reduce(held).first().n == 3
     with pytest.raises(ValueError):
         made.map_chunks(held)
+
+
+def test_ld_per_pop_keeps_all_pairs(spark):
+    gts = np.random.default_rng(5).integers(0, 2, size=(40, 8, 2)).tolist()
+    held = frame(spark, gts)
+    held = held.with_df(held.df.withColumn("chrom", F.lit("1")).withColumn("pos", F.col("var_id") * 10))
+    options = {"max_dist": 100, "max_allowed_maf": 1.0}
+    whole = ld.get_ld_and_dist_for_pops(held, max_num_measures_to_keep=None, **options)
+    capped = ld.get_ld_and_dist_for_pops(held, max_num_measures_to_keep=50, **options)
+    found = {(r.var_id1, r.var_id2) for r in whole.collect()}
+    assert found > {(r.var_id1, r.var_id2) for r in capped.collect()} and capped.count() == 50
+    assert found == {(r.var_id1, r.var_id2) for r in ld.calc_pairwise_rogers_huff_r2(held, 100, None).where("r2 is not null and dist_in_bp > 1").collect()}
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the shared test tables")
+def test_ld_per_pop_min_dist_has_no_limit(spark):
+    plan = genetics_queries.ld_per_pop_min_dist(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Sort" not in plan
