@@ -18,13 +18,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Countries by the length of their account numbers; other codes may have any length.
+ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+KNOWN_COUNTRIES = "|".join(" ".join(ACCOUNT_LENGTHS.values()).split())
+
+
+def _account_pattern() -> str:
+    """Account numbers, grouped by four or not: of their country's length, or of any for other codes.
+
+    A word in capitals that follows belongs to the span only where no length is known.
+    """
+    known = []
+    for length, countries in ACCOUNT_LENGTHS.items():
+        fours, rest = divmod(length - 4, 4)
+        tail = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+        known.append(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{fours}}}{tail}")
+    other = rf"(?!{KNOWN_COUNTRIES})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(known)}|{other})(?![A-Za-z0-9])"
+
+
 #: Fixed values of the contract, in its order, each as a pattern that finds the same spans.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?:\G|(?<![0-9]))[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _account_pattern(),
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: A text without this has no span of the kind.
@@ -38,8 +62,9 @@ CONTEXT_WORDS = {
 }
 #: Code points on either side of a span that are searched for context words.
 CONTEXT_WIDTH = 40
-#: Scores: a validated span, what a context word adds, and the least score of an added kind.
-VALID_SCORE, CONTEXT_SCORE, LEAST_SCORE = 0.6, 0.4, 0.5
+#: Scores: a validated span, one whose country is not known (mod 97 alone lets one in 97 by), what a
+#: context word adds, and the least score of an added kind.
+VALID_SCORE, UNSURE_SCORE, CONTEXT_SCORE, LEAST_SCORE = 0.6, 0.3, 0.4, 0.5
 
 
 def _digits(span: Column) -> Column:
@@ -106,15 +131,26 @@ def _proposed(kind: str, text: Column) -> Column:
     return F.when(F.instr(text, NEEDS[kind]) > 0, spans).otherwise(none) if kind in NEEDS else spans
 
 
+def _score(kind: str, s: Column) -> Column:
+    valid = F.lit(VALID_SCORE)
+    if kind == "iban":
+        valid = F.when(F.regexp_like(s["span"], F.lit(f"^(?:{KNOWN_COUNTRIES})")), valid).otherwise(UNSURE_SCORE)
+    return valid + F.when(s["near"], CONTEXT_SCORE).otherwise(0.0)
+
+
+def _accepted(kind: str, text: Column) -> Column:
+    """Spans that are confirmed and, for an added kind, reach the least score."""
+    kept = F.filter(_proposed(kind, text), lambda s: _confirmed(kind, s["span"]))
+    return kept if kind in BASE_KINDS else F.filter(kept, lambda s: _score(kind, s) >= LEAST_SCORE)
+
+
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id and, for each kind, an array of confirmed spans with start, end, near and score."""
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def confirmed(kind: str) -> Column:
-        kept = F.filter(_proposed(kind, F.col("text")), lambda s: _confirmed(kind, s["span"]))
-        score = lambda s: F.lit(VALID_SCORE) + F.when(s["near"], CONTEXT_SCORE).otherwise(0.0)
-        scored = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["near"].alias("near"), score(s).alias("score")))
-        return scored if kind in BASE_KINDS else F.filter(scored, lambda s: s["score"] >= LEAST_SCORE)
+        kept = _accepted(kind, F.col("text"))
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["near"].alias("near"), _score(kind, s).alias("score")))
 
     return held.select("doc_id", *[confirmed(kind).alias(kind) for kind in PATTERNS])
 
@@ -147,7 +183,7 @@ def redact(docs: DataFrame, mask: str = "[{kind}]") -> DataFrame:
     held = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     def masked(kind: str) -> Column:
-        kept = F.filter(_proposed(kind, F.col("text")), lambda s: _confirmed(kind, s["span"]))
+        kept = _accepted(kind, F.col("text"))
         return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(mask.format(kind=kind)).alias("mask")))
 
     spans = F.concat(*[masked(k) for k in PATTERNS])

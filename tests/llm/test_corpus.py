@@ -368,6 +368,25 @@ def test_preference(spark):
 # nearest neighbours
 
 
+def account_number(country, rest):
+    turned = "".join(str(int(c, 36)) for c in rest + country + "00")
+    return f"{country}{98 - int(turned) % 97:02d}{rest}"
+
+
+def test_pii_account_numbers_before_words_in_capitals(spark):
+    numbers = ["BE68539007547034", "ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "DE89370400440532013000", "NO9386011117947"]
+    other = account_number("QQ", "ABCDEFGH123456")
+    made = [f"IBAN {n} BIC ABCDEFGH" for n in numbers] + [f"{n} BIC {n}" for n in numbers] + [f"part {other} here", f"my bank: {other} here"]
+    rows = collected(pii.pii_report(documents(spark, made)), "doc_id")
+    left = collected(pii.redact(documents(spark, made)), "doc_id")
+    for i in range(len(numbers)):
+        assert left[i].text == "IBAN [iban] BIC ABCDEFGH" and left[i + len(numbers)].text == "[iban] BIC [iban]"
+        assert f"iban:5:{5 + len(numbers[i])}" in rows[i].spans
+    # without a known country it takes a context word
+    assert "iban" not in rows[10].spans and left[10].text == made[10]
+    assert "iban:9:27" in rows[11].spans and left[11].text == "my bank: [iban] here"
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<double>, node string, x string")
 
