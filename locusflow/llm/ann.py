@@ -4,12 +4,16 @@ Equal vectors are one node. A first graph comes from hashed blocks: random plane
 to blocks of bounded size, several times over, and each block compares its own. NN-descent then
 improves it in rounds of Spark joins: every node gathers a sample of its neighbours and of the
 nodes it is a neighbour of, with their vectors, and compares them with one another; what comes
-nearer than a node's last neighbour is proposed to it. Rounds end when few proposals are taken.
+nearer than a node's last neighbour is proposed to it. Rounds end when few edges are left that
+no round has compared.
 
-Queries walk the graph together, a hop a join: each expands its best open nodes, meets their
-neighbours' vectors, which stand packed beside each node, and keeps a pool of the best. The pool's
-best are scored again in double precision on the original vectors, and nodes are replaced by
-their members.
+Queries walk the graph both ways: a node's list holds its own neighbours and, of the nodes that
+list it, the nearest and the longest, so its length is bounded. Long vectors answer many queries
+but few short ones have them as neighbours; the second half of the list leads to them. All queries
+walk together, a hop a join: each sends its vector to its best open nodes, whose lists stand with
+packed vectors in a table bucketed by node; what is nearer than the end of the query's pool comes
+back. Hops end when no pool has an open node. The pool's best are scored again in double precision
+on the original vectors, and nodes are replaced by their members.
 
 Nearness is the inner product. Vectors of different length are brought to one by an added
 component for the graph, which turns the largest product into the least distance; queries have
@@ -27,6 +31,7 @@ no rows. Further columns are ignored.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,34 +41,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, ship_package
+from .common import discard, materialise, scratch_path, ship_package
 
-#: Sent rows up to which a stored frontier is broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a stored frontier is broadcast.
+BROADCAST_BYTES = 16 * 1024 * 1024
+#: Rounds and hops after which a run is given up as one that doesn't settle.
+MOST_TURNS = 500
 
 
 @dataclass(frozen=True)
 class GraphSettings:
-    """degree: neighbours kept; tables, block: of the first graph; sample, proposals: of a round."""
+    """degree: neighbours kept; tables, block: of the first graph; sample, proposals: of a round;
+    enough: the share of edges not yet compared at which rounds end."""
 
     degree: int = 32
     tables: int = 12
     block: int = 2_048
     sample: int = 12
     proposals: int = 6
-    rounds: int = 4
     enough: float = 0.05
     seed: int = 7
 
 
 @dataclass(frozen=True)
 class SearchSettings:
-    """pool: nodes kept for a query; open: expanded in a hop; hops; entries: common starting nodes, as many again of the longest."""
+    """pool: nodes kept for a query; open: expanded in a hop; entries: common starting nodes, as many
+    again of the longest; near, long: nodes that list a node and that it gets in return."""
 
     pool: int = 256
-    open: int = 16
-    hops: int = 16
+    open: int = 32
     entries: int = 64
+    near: int = 16
+    long: int = 16
 
 
 #: Bytes of a packed vector beside its codes: the scale and the added component's shortfall.
@@ -228,7 +237,8 @@ def _proposals(graph: DataFrame, packed: DataFrame, width: int, s: GraphSettings
     met = chosen.select(F.col("u").alias("center"), F.col("v").alias("member"), "fresh").unionByName(back)
     last = graph.select(F.col("u").alias("node"), F.when(F.size("sims") >= s.degree, F.array_min("sims")).otherwise(F.lit(-math.inf)).cast("float").alias("bar"))
     known = packed.join(last, "node").select(F.col("node").alias("member"), "vec", "bar")
-    held = met.join(known, "member").groupBy("center").agg(*[F.collect_list(c).alias(c) for c in ("member", "fresh", "bar", "vec")])
+    held = met.join(known, "member").groupBy("center").agg(F.collect_list(F.struct("member", "fresh", "bar", "vec")).alias("met"))
+    held = held.select(*[F.col(f"met.{c}").alias(c) for c in ("member", "fresh", "bar", "vec")])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,25 +269,57 @@ def nn_descent(packed: DataFrame, width: int, s: GraphSettings = GraphSettings()
     n = packed.count()
     start = first_graph(packed, width, n, s).withColumn("states", F.transform("vs", lambda _: F.lit(NEW).cast("tinyint")))
     graph = materialise(merge_lists(start, s, 0), "graph-0")
-    for turn in range(1, s.rounds + 1):
-        if n <= s.block:  # one block held everyone: the graph is exact already
-            break
+    for turn in range(1, MOST_TURNS):
         kept = graph.select("u", "vs", "sims", F.transform("states", lambda f: F.when(f == NEW, NEW).otherwise(OLD).cast("tinyint")).alias("states"))
         after = materialise(merge_lists(kept.unionByName(_proposals(graph, packed, width, s, turn)), s, turn), f"graph-{turn}")
         fresh = after.agg(F.sum("taken").alias("n")).first().n or 0
         discard(graph)
         graph = after
-        if fresh < s.enough * n * s.degree:
-            break
-    return graph
+        if fresh <= s.enough * n * s.degree:
+            return graph
+    raise RuntimeError("the neighbour graph doesn't settle")
+
+
+def two_way_lists(graph: DataFrame, packed: DataFrame, s: SearchSettings = SearchSettings()) -> DataFrame:
+    """u and v: a node's own neighbours and, of the nodes that list it, the nearest and then the longest."""
+    edges = graph.select("u", F.explode(F.arrays_zip("vs", "sims")).alias("e")).select("u", F.col("e.vs").alias("v"), F.col("e.sims").alias("sim"))
+    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim").join(packed.select(F.col("node").alias("v"), "short"), "v")
+    by_sim = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
+    by_length = Window.partitionBy("u").orderBy(F.desc("short"), "v")
+    ranked = back.withColumns({"r": F.row_number().over(by_sim), "l": F.row_number().over(by_length)})
+    return edges.select("u", "v").unionByName(ranked.where((F.col("r") <= s.near) | (F.col("l") <= s.long)).select("u", "v")).distinct()
+
+
+def _bucketed(lists: DataFrame, packed: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """u, vs, vecs (their vectors, one after the other), as a table bucketed by u, so that no hop shuffles it; and its name."""
+    spark = packed.sparkSession
+    sides = lists.join(packed.select(F.col("node").alias("v"), "vec"), "v")
+    held = sides.groupBy("u").agg(F.collect_list(F.struct("v", "vec")).alias("e"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vecs = [b"".join(v) for v in batch.column("vecs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("vs"), pa.array(vecs, pa.binary())], ["u", "vs", "vecs"])
+
+    made = held.select("u", F.col("e.v").alias("vs"), F.col("e.vec").alias("vecs")).mapInArrow(join, "u long, vs array<long>, vecs binary")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, label)
+    name = os.path.basename(path).replace("-", "_")
+    made.repartition(buckets, "u").write.bucketBy(buckets, "u").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name), name
+
+
+def _numbers(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column, and where the lists begin and end among them."""
+    held = batch.column(column)
+    offsets = held.offsets.to_numpy()
+    return held.values.to_numpy(zero_copy_only=False), offsets
 
 
 def search_graph(graph: DataFrame, packed: DataFrame, width: int, queries: DataFrame, s: SearchSettings = SearchSettings()) -> DataFrame:
     """node (of the query), ids: its pool after the last hop, best first. queries has the columns node and x."""
     spark = packed.sparkSession
-    sides = graph.select("u", F.explode("vs").alias("v")).join(packed.select(F.col("node").alias("v"), "vec"), "v")
-    packs = sides.groupBy("u").agg(F.collect_list("v").alias("vs"), F.collect_list("vec").alias("vecs"))
-    table = materialise(packs, "neighbour-vectors")
+    table, name = _bucketed(two_way_lists(graph, packed, s), packed, "neighbour-vectors")
     starts = packed.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(s.entries).collect()
     starts += packed.orderBy(F.desc("short"), "node").limit(s.entries).collect()
     entries = {r.node: bytes(r.vec) for r in starts}
@@ -291,55 +333,81 @@ def search_graph(graph: DataFrame, packed: DataFrame, width: int, queries: DataF
         once = np.sort(once)[: s.pool]
         return ids[once], sims[once], done[once]
 
+    def stored(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
+        lists = _lists(*(list(c) for c in zip(*rows, strict=True))) if rows else _lists([], [], [])
+        return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("q"), *lists], ["node", "q", "ids", "sims", "done"])
+
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for node, q in zip(batch.column("node").to_pylist(), batch.column("q").to_pylist(), strict=True):
-                q = np.array(q, np.float32)
                 ids = np.concatenate([[node], entry_ids])
-                sims = np.concatenate([[np.inf], entry_vectors @ q])
+                sims = np.concatenate([[np.inf], entry_vectors @ np.frombuffer(q, "<f4")])
                 rows.append(pooled(ids, sims, np.zeros(len(ids), np.int8)))
-            lists = _lists(*(list(c) for c in zip(*rows, strict=True))) if rows else _lists([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("q"), *lists], ["node", "q", "ids", "sims", "done"])
-
-    schema = "node long, q array<float>, ids array<long>, sims array<float>, done array<tinyint>"
+            yield stored(batch, rows)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each list met, what is nearer to the query than the end of its pool."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                (vs, offsets), sizes = _numbers(batch, "vs"), np.diff(batch.column("vs").offsets.to_numpy())
+                vs = vs[offsets[0] : offsets[-1]]
+                x = unpack_vectors(b"".join(batch.column("vecs").to_pylist()), width)[:, :-1]
+                q = np.frombuffer(b"".join(batch.column("q").to_pylist()), "<f4").reshape(batch.num_rows, -1)
+                sims = np.einsum("ij,ij->i", x, np.repeat(q, sizes, axis=0))
+                better = sims > np.repeat(batch.column("bar").to_numpy(), sizes)
+                left = np.add.reduceat(np.append(better, 0), np.append(0, np.cumsum(sizes))[:-1]) * (sizes > 0)
+                ends = pa.array(np.append(0, np.cumsum(left)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v[better].astype(t))) for v, t in ((vs, np.int64), (sims, np.float32))]
+                yield pa.RecordBatch.from_arrays([batch.column("of"), *lists], ["of", "vs", "ps"])
 
     def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for q, ids, sims, done, vs, vecs in zip(*(batch.column(c).to_pylist() for c in ("q", "ids", "sims", "done", "vs", "vecs")), strict=True):
-                ids, sims, done = np.array(ids, np.int64), np.array(sims, np.float32), np.array(done, np.int8)
+            columns = {c: _numbers(batch, c) for c in ("ids", "sims", "done", "vs", "ps")}
+            for k in range(batch.num_rows):
+                ids, sims, done, vs, ps = (v[o[k] : o[k + 1]] for v, o in columns.values())
+                done = done.copy()
                 done[np.flatnonzero(done == 0)[: s.open]] = 1  # those that were expanded for this hop
-                if vs:
-                    new, where = np.unique(np.array(vs, np.int64), return_index=True)
-                    x = unpack_vectors(b"".join([vecs[k] for k in where]), width)[:, :-1]
-                    more = x @ np.array(q, np.float32)
-                    fresh = ~np.isin(new, ids)
-                    ids, sims, done = pooled(np.concatenate([ids, new[fresh]]), np.concatenate([sims, more[fresh]]), np.concatenate([done, np.zeros(int(fresh.sum()), np.int8)]))
-                rows.append((ids, sims, done))
-            lists = _lists(*(list(c) for c in zip(*rows, strict=True))) if rows else _lists([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("q"), *lists], ["node", "q", "ids", "sims", "done"])
+                fresh = ~np.isin(vs, ids)
+                vs, ps = vs[fresh], ps[fresh]
+                rows.append(pooled(np.concatenate([ids, vs]), np.concatenate([sims, ps]), np.concatenate([done, np.zeros(len(vs), np.int8)])))
+            yield stored(batch, rows)
 
+    schema = "node long, q binary, ids array<long>, sims array<float>, done array<tinyint>"
     # a query's length leaves its order as it is; its largest component is made one
     largest = F.array_max(F.transform("x", lambda v: F.abs(v)))
-    held = queries.select("node", F.transform("x", lambda v: (v / largest).cast("float")).alias("q"))
+
+    def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = [np.array(v, "<f4").tobytes() for v in batch.column("q").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(q, pa.binary())], ["node", "q"])
+
+    held = queries.select("node", F.transform("x", lambda v: v / largest).alias("q")).mapInArrow(as_bytes, "node long, q binary")
     state = materialise(held.mapInArrow(begin, schema), "search-0")
-    for hop in range(1, s.hops + 1):
+    none = {"vs": F.expr("cast(array() as array<bigint>)"), "ps": F.expr("cast(array() as array<float>)")}
+    for hop in range(1, MOST_TURNS):
         open_ = F.slice(F.filter(F.arrays_zip("ids", "done"), lambda e: e["done"] == 0), 1, s.open)
-        frontier = materialise(state.select(F.col("node").alias("of"), F.explode(open_).alias("e")).select("of", F.col("e.ids").alias("u")), "frontier")
+        bar = F.when(F.size("ids") >= s.pool, F.element_at("sims", -1)).otherwise(F.lit(-math.inf)).cast("float")
+        frontier = materialise(state.select(F.col("node").alias("of"), "q", bar.alias("bar"), F.explode(open_).alias("e")).select("of", "q", "bar", F.col("e.ids").alias("u")), "frontier")
         size = frontier.count()
         if not size:
-            break
-        side = F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier
-        met = table.join(side, "u").groupBy("of").agg(F.flatten(F.collect_list("vs")).alias("vs"), F.flatten(F.collect_list("vecs")).alias("vecs"))
-        joined = state.join(met, state.node == met["of"], "left").drop("of")
+            for done in (frontier, table):
+                discard(done)
+            spark.sql(f"DROP TABLE {name}")
+            return state.select("node", "ids")
+        side = F.broadcast(frontier) if size * (4 * width + 32) <= BROADCAST_BYTES else frontier.hint("shuffle_hash")
+        met = table.join(side, "u").select("of", "q", "bar", "vs", "vecs").mapInArrow(score, "of long, vs array<long>, ps array<float>")
+        met = met.where(F.size("vs") > 0).groupBy("of").agg(F.flatten(F.collect_list("vs")).alias("vs"), F.flatten(F.collect_list("ps")).alias("ps"))
+        joined = state.join(met, state.node == met["of"], "left").drop("of").withColumns({c: F.coalesce(c, e) for c, e in none.items()})
         after = materialise(joined.mapInArrow(advance, schema), f"search-{hop}")
         discard(state)
         discard(frontier)
         state = after
         # shuffle files of the hops before go once the driver drops its references
         spark.sparkContext._jvm.System.gc()
-    return state.select("node", "ids")
+    raise RuntimeError("the search doesn't end")
 
 
 def nearest(

@@ -401,8 +401,42 @@ def exact(rows, k):
     return out
 
 
-GRAPH = ann.GraphSettings(degree=12, tables=3, block=64, rounds=3)
-SEARCH = ann.SearchSettings(pool=64, open=8, hops=6, entries=8)
+GRAPH = ann.GraphSettings(degree=12, tables=3, block=64)
+SEARCH = ann.SearchSettings(pool=64, open=8, entries=8, near=6, long=6)
+
+
+def recall(found, wanted):
+    by_query = {}
+    for r in found:
+        by_query.setdefault(r.query_id, set()).add(r.vec_id)
+    return sum(len(by_query.get(q, set()) & {i for i, _ in listed}) for q, listed in wanted.items()) / sum(map(len, wanted.values()))
+
+
+@pytest.mark.parametrize("kind", ["unit", "mixed", "clusters"])
+def test_nearest_recall_with_production_settings(spark, kind, monkeypatch):
+    rng = np.random.default_rng(11)
+    n = 1_500
+    if kind == "clusters":
+        x = np.repeat(rng.normal(size=(25, 8)), n // 25, axis=0) + 0.2 * rng.normal(size=(n, 8))
+        x[rng.integers(0, n, 600)] = x[17]  # copies
+    else:
+        x = rng.normal(size=(n, 8))
+        x *= (1 if kind == "unit" else rng.uniform(0.2, 3, size=(n, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    turns, merge = [], ann.merge_lists
+    monkeypatch.setattr(ann, "merge_lists", lambda lists, s, turn: turns.append(turn) or merge(lists, s, turn))
+    held = vectors(spark, rows)
+    found = ann.nearest(held, held.where("vec_id % 20 = 0"), 20).collect()
+    scores = x[::20] @ x.T
+    scores[np.arange(len(scores)), np.arange(0, n, 20)] = -np.inf
+    wanted = {20 * q: [(int(i), 0) for i in sorted(range(n), key=lambda i: (-s[i], i))[:20]] for q, s in enumerate(scores)}
+    assert len(found) == sum(map(len, wanted.values()))
+    if kind == "clusters":  # equal vectors tie: the scores are compared
+        low = {q: scores[q // 20][listed[-1][0]] for q, listed in wanted.items()}
+        assert sum(r.score >= low[r.query_id] - 1e-9 for r in found) >= 0.95 * len(found)
+    else:
+        assert recall(found, wanted) >= 0.95
+    assert max(turns) >= 1  # rounds of NN-descent ran
 
 
 def test_nearest(spark):
