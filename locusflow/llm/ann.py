@@ -69,7 +69,7 @@ class SearchSettings:
     again of the longest; near, long: nodes that list a node and that it gets in return."""
 
     pool: int = 256
-    open: int = 32
+    open: int = 64
     entries: int = 64
     near: int = 16
     long: int = 16

@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark.n == 0 or (mark.n, mark.h) == seen:
-            break
+            leaves = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+            return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = (mark.n, mark.h)
         large = _star(_directed(now)).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.where(F.col("u") > F.col("v")).distinct()
@@ -42,5 +43,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         after = materialise(small.where(F.col("u") > F.col("v")).distinct(), "edges")
         discard(now)
         now = after
-    leaves = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    raise RuntimeError(f"components haven't settled in {MAX_ROUNDS} rounds")

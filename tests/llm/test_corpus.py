@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 
 import corpus_pipeline
@@ -496,8 +497,7 @@ def simhash_of(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_simhash(spark, texts, monkeypatch):
-    monkeypatch.setattr(simhash, "SUBTREE", 8)  # many subtrees even on a small fixture
+def test_simhash(spark, texts):
     prints = [simhash_of(t) for t in texts]
     labels = list(range(len(texts)))
     changed = True
@@ -508,10 +508,10 @@ def test_simhash(spark, texts, monkeypatch):
                 if (a ^ b).bit_count() <= 3 and labels[j] < labels[i]:
                     labels[i], changed = labels[j], True
     docs = documents(spark, texts).repartition(3)
-    rows = collected(simhash.simhash_components(docs), "doc_id")
+    rows = collected(simhash.simhash_components(docs, subtree=8), "doc_id")  # many subtrees even on a small fixture
     for i, value in enumerate(prints):
         assert (rows[i].fingerprint, rows[i].component_id) == (f"{value:016x}", labels[i])
-    left = simhash.keep_one_of_each(docs)
+    left = simhash.keep_one_of_each(docs, subtree=8)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, c in enumerate(labels) if i == c}
 
 
@@ -531,6 +531,44 @@ def test_trie_walk():
     assert found == set(zip(*(a.tolist() for a in np.nonzero(differ)), strict=True))
 
 
+@pytest.mark.parametrize("shared", [0, 40])
+def test_hamming_links_over_many_subtrees(spark, shared):
+    """shared: bits that all fingerprints have alike, so that subtrees must end beyond their part."""
+    rng = np.random.default_rng(shared)
+    values = rng.integers(0, 2**64, 300, dtype=np.uint64) & np.uint64(2 ** (64 - shared) - 1)
+    for _ in range(3):
+        values = np.concatenate([values, values[:150] ^ (np.uint64(1) << rng.integers(0, 64 - shared, 150).astype(np.uint64))])
+    values = np.unique(values)
+    entries = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    links = simhash.hamming_links(entries, 3, subtree=4).collect()
+    forest = simhash.Forest(len(values))
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 3
+    for i, j in zip(*np.nonzero(near), strict=True):
+        forest.join(int(i), int(j))
+    at = {int(v): k for k, v in enumerate(values.view(np.int64))}
+    found = simhash.Forest(len(values))
+    for r in links:
+        assert near[at[r.u], at[r.v]]
+        found.join(at[r.u], at[r.v])
+    assert len(found.links) == len(forest.links)
+    assert all(found.root(i) == found.root(j) for i, j in forest.links)
+
+
+def test_entries_are_dealt_a_fixed_number_of_times(spark):
+    entries = spark.range(200_000).select(F.xxhash64("id").alias("fp"))
+    dealt, _ = simhash.dealt_entries(entries, 3, subtree=256)
+    assert dealt.count() == 4 * 200_000
+    assert dealt.groupBy("pair").count().agg(F.max("count")).first()[0] <= 256
+
+
+def test_keep_one_of_each_tells_rows_of_one_id_apart(spark):
+    a, b, c = FILLER, "something else altogether that nobody wrote before in this place", "a third text of no kin to the others here"
+    ids, made = [2, 5, 5, 7, 7, None, None, None], [a, a, b, c, c, a, FILLER[:40], FILLER[:40]]
+    left = simhash.keep_one_of_each(documents(spark, made, ids))
+    assert sorted((r.doc_id or -1, r.text) for r in left.collect()) == sorted([(2, a), (5, b), (7, c), (-1, FILLER[:40])])
+    assert simhash.keep_one_of_each(documents(spark, [])).count() == 0
+
+
 def test_simhash_edges(spark):
     rows = simhash.simhash_components(documents(spark, [None, "", "a b", "a b"], [5, 3, None, 9])).collect()
     assert sorted((r.doc_id or -1, r.component_id) for r in rows) == [(-1, 9), (3, 3), (5, 3), (9, 9)]
