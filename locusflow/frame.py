@@ -21,8 +21,8 @@ class VariantFrame:
     """variants: var_id (input order), gts (sample-major alleles, -1 missing), and info columns
     such as chrom, pos, id, qual and alleles.
 
-    steps lists the filters applied so far as (kind, frame before, frame after), for
-    gather_filtering_stats.
+    steps lists the filters applied so far as (kind, frame before, frame after, condition on a row
+    or None), for gather_filtering_stats.
     """
 
     df: DataFrame

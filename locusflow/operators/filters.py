@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..frame import VariantFrame
 from ..functions import genotypes as G
+from ..scratch import discard, materialise
 
 #: Ids in a stretch of the linkage scan.
 SCAN_CHUNK = 10_000
@@ -17,7 +18,7 @@ SCAN_SCHEMA = "lane string, chunk long, kept array<long>, exit_id long, exit arr
 
 def _keep(variants: VariantFrame, kind: str, condition) -> VariantFrame:
     after = variants.df.where(condition)
-    return variants.with_df(after, (kind, variants.df, after))
+    return variants.with_df(after, (kind, variants.df, after, condition))
 
 
 def filter_by_missing_data(variants: VariantFrame, max_allowed_missing_rate: float = 0.0) -> VariantFrame:
@@ -42,7 +43,7 @@ def filter_samples(variants: VariantFrame, samples) -> VariantFrame:
     if not kept:
         raise ValueError("no samples are left")
     after = variants.df.withColumn("gts", G.gathered(F.col("gts"), kept, variants.ploidy))
-    return VariantFrame(after, [variants.samples[i] for i in kept], variants.ploidy, (*variants.steps, ("sample", variants.df, after)))
+    return VariantFrame(after, [variants.samples[i] for i in kept], variants.ploidy, (*variants.steps, ("sample", variants.df, after, None)))
 
 
 def signed_r(x: np.ndarray, y: np.ndarray) -> float | None:
@@ -77,10 +78,11 @@ def filter_by_ld_and_maf(
     """Major-allele filter, then the greedy scan in input order; by_chrom starts anew on each chromosome.
 
     The scan is a fold over the whole order, made in parallel by rounds: stretches of chunk_size
-    ids are scanned side by side, each from what the stretch before it kept last in the round
-    before. Two scans of a stretch agree from the first variant that both keep, so what leaves a
-    stretch soon no longer depends on what entered it. Rounds end when nothing that leaves any
-    stretch has changed, which makes the result that of the scan from the beginning.
+    ids are scanned side by side, each from what the stretch before it kept last. Two scans of a
+    stretch agree from the first variant that both keep, so what leaves a stretch soon no longer
+    depends on what entered it. A round scans again those stretches alone whose entry the round
+    before has changed; rounds end when none has, which makes the result that of the scan from the
+    beginning. Coded genotypes and the state between rounds are stored as Parquet.
     """
     within = filter_by_maf(variants, max_allowed_maf)
     n, p = variants.num_samples, variants.ploidy
@@ -88,36 +90,59 @@ def filter_by_ld_and_maf(
     lane = F.coalesce(F.col("chrom").cast("string"), F.lit("")) if by_chrom else F.lit("")
     chunk = F.floor(F.col("var_id") / chunk_size).cast("long")
     coded = within.df.select(lane.alias("lane"), chunk.alias("chunk"), F.col("var_id").cast("long").alias("var_id"), G.coded_012(F.col("gts"), n, p, major).alias("coded"))
+    coded = materialise(coded, "ld-coded")
 
-    def scan(entries: DataFrame | None) -> DataFrame:
-        if entries is None:
-            rows = coded.withColumns({"entry_id": F.lit(None).cast("long"), "entry": F.lit(None).cast("array<int>")})
-        else:
-            rows = coded.join(entries, ["lane", "chunk"])
-        return rows.groupBy("lane", "chunk").applyInPandas(lambda group: _scan_chunk(group, min_allowed_r2), SCAN_SCHEMA).persist()
+    def scan(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("lane", "chunk").applyInPandas(lambda group: _scan_chunk(group, min_allowed_r2), SCAN_SCHEMA)
 
-    state = scan(None)
+    state = materialise(scan(coded.withColumns({"entry_id": F.lit(None).cast("long"), "entry": F.lit(None).cast("array<int>")})), "ld-scan")
     in_order = Window.partitionBy("lane").orderBy("chunk")  # two narrow columns, a row a stretch
-    order = state.select("lane", "chunk", F.lag("chunk").over(in_order).alias("before"))
-    changing = not order.where("before is not null").isEmpty()
-    while changing:
-        exits = state.select("lane", F.col("chunk").alias("before"), F.col("exit_id").alias("entry_id"), F.col("exit").alias("entry"))
-        after = scan(order.join(exits, ["lane", "before"], "left").drop("before"))
-        moved = after.select("lane", "chunk", F.col("exit_id").alias("now")).join(state.select("lane", "chunk", "exit_id"), ["lane", "chunk"])
-        changing = not moved.where("now <> exit_id").isEmpty()
+    order = materialise(state.select("lane", "chunk", F.lag("chunk").over(in_order).alias("before")).where("before is not null"), "ld-order")
+    moved = state.select("lane", "chunk")
+    while True:
+        exits = state.join(moved, ["lane", "chunk"], "left_semi").select("lane", F.col("chunk").alias("before"), F.col("exit_id").alias("entry_id"), F.col("exit").alias("entry"))
+        entries = materialise(order.join(exits, ["lane", "before"]).drop("before"), "ld-entries")
+        if entries.isEmpty():
+            break
+        again = scan(coded.join(entries, ["lane", "chunk"]))
+        after = materialise(again.unionByName(state.join(entries, ["lane", "chunk"], "left_anti")), "ld-scan")
+        both = after.select("lane", "chunk", F.col("exit_id").alias("now")).join(state.select("lane", "chunk", "exit_id"), ["lane", "chunk"])
+        moved = materialise(both.where("now <> exit_id").select("lane", "chunk"), "ld-moved")
+        discard(entries)
+        discard(state)
         state = after
+    discard(coded)
     kept = state.select(F.explode("kept").alias("kept_id"))
     after = within.df.join(kept, within.df.var_id == kept.kept_id, "left_semi")
-    return variants.with_df(after, ("ld_and_maf", variants.df, after))
+    return variants.with_df(after, ("ld_and_maf", variants.df, after, None))
 
 
 def gather_filtering_stats(variants: VariantFrame) -> DataFrame:
-    """kind, vars_processed, vars_kept: what each kind of filter has seen and kept, summed over steps."""
+    """kind, vars_processed, vars_kept: what each kind of filter has seen and kept, summed over steps.
+
+    Steps that follow one another and are conditions on a variant's own row are counted in one
+    pass over the first one's rows.
+    """
     spark = variants.df.sparkSession
+    runs: list[list[tuple]] = []
+    for step in variants.steps:
+        if runs and step[3] is not None and runs[-1][-1][3] is not None and runs[-1][-1][2] is step[1]:
+            runs[-1].append(step)
+        else:
+            runs.append([step])
     counted = None
-    for kind, before, after in variants.steps:
-        row = before.agg(F.count(F.lit(1)).alias("vars_processed")).crossJoin(after.agg(F.count(F.lit(1)).alias("vars_kept")))  # one row each
-        row = row.select(F.lit(kind).alias("kind"), "vars_processed", "vars_kept")
+    for run in runs:
+        if run[0][3] is None:
+            kind, before, after, _ = run[0]
+            row = before.agg(F.count(F.lit(1)).alias("n0")).crossJoin(after.agg(F.count(F.lit(1)).alias("n1")))  # one row each
+        else:
+            passed, sums = F.lit(True), [F.count(F.lit(1)).alias("n0")]
+            for k, step in enumerate(run, 1):
+                passed = passed & F.coalesce(step[3], F.lit(False))
+                sums.append(F.count(F.when(passed, 1)).alias(f"n{k}"))
+            row = run[0][1].agg(*sums)
+        each = [F.struct(F.lit(step[0]).alias("kind"), F.col(f"n{k}").alias("vars_processed"), F.col(f"n{k + 1}").alias("vars_kept")) for k, step in enumerate(run)]
+        row = row.select(F.inline(F.array(*each)))
         counted = row if counted is None else counted.unionByName(row)
     if counted is None:
         return spark.createDataFrame([], "kind string, vars_processed long, vars_kept long")

@@ -89,7 +89,10 @@ def gram_matrix(coded: DataFrame, num_samples: int) -> DataFrame:
 
 
 def do_pca_with_vars(variants: VariantFrame, transform_to_biallelic: bool = False) -> dict:
-    """Components of samples over standardised 012 genotypes; projections only need the Gram matrix."""
+    """Components of samples over standardised 012 genotypes; projections only need the Gram matrix.
+
+    princomps, as long as the variants are many, stays a DataFrame: var_id and its loadings.
+    """
     n = variants.num_samples
     coded = create_012_gt_matrix(variants, transform_to_biallelic)
     cells = gram_matrix(coded, n).toPandas()  # samples x samples
@@ -99,14 +102,13 @@ def do_pca_with_vars(variants: VariantFrame, transform_to_biallelic: bool = Fals
     values, vectors = np.linalg.eigh(gram)
     k = min(n, max(1, coded.limit(n).count()))
     values, vectors = np.clip(values[::-1][:k], 0, None), _signed(vectors[:, ::-1][:, :k])
-    return _result(values / (n - 1), vectors * np.sqrt(values), None, variants.samples, None)
+    found = _result(values / (n - 1), vectors * np.sqrt(values), None, variants.samples, None)
+    return {**found, "princomps": _loadings(coded, found["projections"], n)}
 
 
-def principal_axes(variants: VariantFrame, projections: pd.DataFrame, transform_to_biallelic: bool = False) -> DataFrame:
-    """var_id and loadings on each component, computed where the variants are."""
+def _loadings(coded: DataFrame, projections: pd.DataFrame, n: int) -> DataFrame:
     scores = projections.to_numpy()
     unit = scores / np.maximum((scores**2).sum(axis=0), 1e-300)
-    n = variants.num_samples
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,10 +116,14 @@ def principal_axes(variants: VariantFrame, projections: pd.DataFrame, transform_
             z = (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, keepdims=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((z @ unit).tolist(), pa.list_(pa.float64()))], ["var_id", "loadings"])
 
-    coded = create_012_gt_matrix(variants, transform_to_biallelic)
     return coded.select(F.col("var_id").cast("long").alias("var_id"), "coded").mapInArrow(load, "var_id long, loadings array<double>")
 
 
+def principal_axes(variants: VariantFrame, projections: pd.DataFrame, transform_to_biallelic: bool = False) -> DataFrame:
+    """var_id and loadings on each component, computed where the variants are."""
+    return _loadings(create_012_gt_matrix(variants, transform_to_biallelic), projections, variants.num_samples)
+
+
 def centered_matrix(dists: Distances) -> DataFrame:
     """i, j, f: -d**2/2 less the means of its row and column, plus the mean of all."""
     cells = dists.square_form().withColumn("e", -F.col("dist") * F.col("dist") / 2)

@@ -40,8 +40,8 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def _hist(column: str, source: str, pops: list[str], num_bins: int) -> str:
-    edges = histogram_edges(num_bins=num_bins)
+def _hist(column: str, source: str, pops: list[str], num_bins: int, **kwargs) -> str:
+    edges = histogram_edges(num_bins=num_bins, **kwargs)
     rows = ", ".join(f"({b}, CAST('{edges[b]!r}' AS DOUBLE), CAST('{edges[b + 1]!r}' AS DOUBLE))" for b in range(num_bins))
     names = ", ".join(f"('{p}')" for p in pops)
     return f"""SELECT p.pop, b.bin::INTEGER AS bin, count(s.{column})::BIGINT AS n FROM (VALUES {names}) p(pop) CROSS JOIN (VALUES {rows}) b(bin, lo, hi)
@@ -74,6 +74,10 @@ _DEST = """side AS (SELECT o.var_id, o.pop, n_called, obs_het, n_alleles FROM ob
  FROM pairs p JOIN raw USING (var_id, pop1, pop2)),
  dest AS (SELECT var_id, pop1, pop2, hs, CASE WHEN ax / 2e0 >= 5 AND ay / 2e0 >= 5 AND nx >= 5 AND ny >= 5 THEN rht + hs / (2 * h) - ho / (4 * h) END AS ht FROM d1)"""
 
+_Z = _with(_GT, _ALL_MAJOR) + """, standing AS (SELECT g.var_id, sample_idx, count(*) FILTER (g.allele <> major) AS g FROM gt g JOIN majorallele USING (var_id) GROUP BY ALL),
+ z AS (SELECT var_id, sample_idx, (g - avg(g) OVER w) / stddev_pop(g) OVER w AS z FROM standing WINDOW w AS (PARTITION BY var_id))
+ """
+
 _CHAIN = _with(_GT, _GENO, _ALL_MAJOR, _RATES) + """, step1 AS (SELECT * FROM rates WHERE miss <= 0.1e0),
  step2 AS (SELECT step1.* FROM step1 JOIN majorallele USING (var_id) WHERE CAST(n AS DOUBLE) / total <= 0.65e0), step3 AS (SELECT * FROM step2 WHERE het <= 0.5e0) """
 
@@ -126,15 +130,27 @@ ORACLE_SQL: dict[str, str] = {
     "kosman_dists": _with(_GT, _GENO, _TRIANGLE) + "SELECT i, j, total / nullif(n, 0) AS dist FROM sums",
     "kosman_min_snps": _with(_GT, _GENO, _TRIANGLE) + "SELECT i, j, CASE WHEN n >= 455 THEN total / nullif(n, 0) END AS dist FROM sums",
     "kosman_rect": _with(_GT, _GENO, _KOSMAN.format(pairs="a.sample_idx < 4 AND b.sample_idx >= 16")) + "SELECT i, j, total / nullif(n, 0) AS dist FROM sums",
-    "jost_dest_per_var": _with(_GT, _GENO, _THREE, _CALLED, _COUNTS, _OBS, _DEST) + "SELECT var_id, pop1, pop2, round(hs, 6) AS hs, round(ht, 6) AS ht FROM dest",
+    "jost_dest_per_var": _with(_GT, _GENO, _THREE, _CALLED, _COUNTS, _OBS, _DEST) + "SELECT var_id, pop1, pop2, round(hs, 6) + 0e0 AS hs, round(ht, 6) + 0e0 AS ht, round(2 * (ht - hs) / nullif(1 - hs, 0), 6) + 0e0 AS dest FROM dest",
     "jost_dest": _with(_GT, _GENO, _THREE, _CALLED, _COUNTS, _OBS, _DEST) + """SELECT pop1, pop2, round(2 * (sum(ht) / count(hs) - sum(hs) / count(hs)) / nullif(1 - sum(hs) / count(hs), 0), 6) AS dest, count(hs) AS n_vars FROM dest GROUP BY ALL""",
     "euclidean_dists": """SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dist
  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id""",
     "dist_square_form": _with(_GT, _GENO, _TRIANGLE, _SQUARE) + "SELECT i, j, dist FROM square",
     "dist_triangle": _with(_GT, _GENO, _TRIANGLE, _SQUARE) + "SELECT i, round(sum(dist), 6) AS row_sum, count(*) AS n FROM square WHERE i >= j GROUP BY i",
-    "pca_gram": _with(_GT, _ALL_MAJOR) + """, coded AS (SELECT g.var_id, sample_idx, count(*) FILTER (g.allele <> major) AS g FROM gt g JOIN majorallele USING (var_id) GROUP BY ALL),
- z AS (SELECT var_id, sample_idx, (g - avg(g) OVER w) / stddev_pop(g) OVER w AS z FROM coded WINDOW w AS (PARTITION BY var_id))
- SELECT a.sample_idx AS i, b.sample_idx AS j, round(sum(a.z * b.z), 6) AS g FROM z a JOIN z b USING (var_id) WHERE a.sample_idx <= b.sample_idx GROUP BY ALL""",
+    "pca_gram": _Z + "SELECT a.sample_idx AS i, b.sample_idx AS j, round(sum(a.z * b.z), 6) AS g FROM z a JOIN z b USING (var_id) WHERE a.sample_idx <= b.sample_idx GROUP BY ALL",
+    "pca_products": _Z + "SELECT a.sample_idx AS i, b.sample_idx AS j, round(sum(a.z * b.z), 6) AS product FROM z a JOIN z b USING (var_id) WHERE a.sample_idx <= b.sample_idx GROUP BY ALL",
+    "pca_princomps": _Z + "SELECT var_id, sample_idx, round(z, 6) + 0e0 AS z FROM z",
+    "pca_table_products": _with(_GT, _GENO) + """, t AS (SELECT sample_idx, count(*) FILTER (is_missing) / CAST(count(*) AS DOUBLE) AS a, count(*) FILTER (is_het) / CAST(count(*) AS DOUBLE) AS b FROM geno GROUP BY ALL),
+ z AS (SELECT sample_idx, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b FROM t)
+ SELECT x.sample_idx AS i, y.sample_idx AS j, round(x.a * y.a + x.b * y.b, 6) AS product FROM z x JOIN z y ON x.sample_idx <= y.sample_idx""",
+    "pcoa_products": _with(_GT, _GENO, _TRIANGLE, _SQUARE) + """, e AS (SELECT i, j, -dist * dist / 2 AS e FROM square),
+ f AS (SELECT i, j, e - avg(e) OVER (PARTITION BY i) - avg(e) OVER (PARTITION BY j) + avg(e) OVER () AS f FROM e) SELECT i, j, round(f, 6) AS product FROM f WHERE i <= j""",
+    "obs_het_log_hist": _with(_GT, _GENO, _OVER, _OBS) + _hist("obs_het", "obs", ["o1", "o2"], 12, range=(-2.0, 0.0), bin_type="logarithmic"),
+    "ld_sample_sizes": _with(_GT, _TWO, _COUNTS, _POP_LD.replace("0.8e0", "0.95e0")) + """SELECT a.pop, least(count(*), 20)::BIGINT AS n, 0::BIGINT AS n_far
+ FROM moments a JOIN moments b ON a.pop = b.pop AND a.var_id < b.var_id AND a.chrom = b.chrom AND abs(a.pos - b.pos) <= 300
+ WHERE (16e0 * a.ss - a.s * a.s) * (16e0 * b.ss - b.s * b.s) > 0 GROUP BY 1""",
+    "vcf_scan": _with(_GT) + """SELECT chrom, pos, 'v' || var_id AS id, CASE WHEN var_id % 5 <> 0 THEN (var_id % 50)::DOUBLE END AS qual, 'A,C,GT' AS alleles,
+ string_agg((CASE WHEN var_id % 4 = 1 AND i = 1 THEN -1 ELSE allele END)::VARCHAR, ',' ORDER BY i) AS gts FROM gt GROUP BY ALL""",
+    "native_round_trip": _with(_GT) + "SELECT var_id, chrom, pos, string_agg(allele::VARCHAR, ',' ORDER BY i) AS gts FROM gt GROUP BY ALL",
     "pcoa_centered_matrix": _with(_GT, _GENO, _TRIANGLE, _SQUARE) + """, e AS (SELECT i, j, -dist * dist / 2 AS e FROM square)
  SELECT i, j, round(e - avg(e) OVER (PARTITION BY i) - avg(e) OVER (PARTITION BY j) + avg(e) OVER (), 6) AS f FROM e""",
     "map_reduce_missing": _with(_GT) + "SELECT chrom, count(*) FILTER (allele = -1) AS missing FROM gt GROUP BY chrom",

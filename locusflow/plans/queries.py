@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import LDCalcMethod
+from ..config import BinType, LDCalcMethod
 from ..frame import VariantFrame
 from ..functions import genotypes as G
 from ..operators import dists, filters, ld, ordination, stats
 from ..operators.pipeline import Pipeline
+from ..scratch import scratch_path
+from ..sources import native, vcf
 
 NUM_SAMPLES, PLOIDY = 32, 2
 SAMPLES = tuple(f"s{i}" for i in range(NUM_SAMPLES))
@@ -20,6 +23,7 @@ TWO_POPS = {"p1": SAMPLES[:16], "p2": SAMPLES[16:]}
 THREE_POPS = {f"q{k}": tuple(s for i, s in enumerate(SAMPLES) if i % 3 == k) for k in range(3)}
 OVERLAPPING = {"o1": SAMPLES[:20], "o2": SAMPLES[12:]}
 MIN_SAMPLES, MAX_MAF, MAX_DIST, MIN_SNPS = 5, 0.65, 2_000, 455
+LOG_RANGE, SAMPLED = (-2.0, 0.0), 20
 
 
 def variants(spark: SparkSession, sf_dir: str) -> VariantFrame:
@@ -70,6 +74,11 @@ def obs_het_hist(spark, d):
     return stats.calc_obs_het_stats_per_var(variants(spark, d), OVERLAPPING)["hist"].select("pop", "bin", "n")
 
 
+def obs_het_log_hist(spark, d):
+    kwargs = {"num_bins": 12, "range": LOG_RANGE, "bin_type": BinType.LOGARITHMIC}
+    return stats.calc_obs_het_stats_per_var(variants(spark, d), OVERLAPPING, hist_kwargs=kwargs)["hist"].select("pop", "bin", "n")
+
+
 def major_allele_freq_per_pop(spark, d):
     return stats.major_freq_per_var(variants(spark, d), THREE_POPS, MIN_SAMPLES)
 
@@ -174,6 +183,12 @@ def ld_per_pop_sampled(spark, d):
     return ld.get_ld_and_dist_for_pops(variants(spark, d), TWO_POPS, max_dist=MAX_DIST, method=LDCalcMethod.MATRIX, max_num_measures_to_keep=50)
 
 
+def ld_sample_sizes(spark, d):
+    """How many pairs the sample of each population holds, and their range of distances."""
+    found = ld.get_ld_and_dist_for_pops(variants(spark, d), TWO_POPS, max_dist=300, min_dist=0, max_num_measures_to_keep=SAMPLED)
+    return found.groupBy("pop").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("dist_in_bp") > 300).cast("int")).alias("n_far"))
+
+
 def ld_filter(spark, d):
     return filters.filter_by_ld_and_maf(variants(spark, d), 0.1, 0.95).df.select("var_id", "chrom", "pos")
 
@@ -193,7 +208,7 @@ def kosman_rect(spark, d):
 
 def jost_dest_per_var(spark, d):
     found = dists.dest_per_var(variants(spark, d), THREE_POPS, MIN_SAMPLES)
-    return found.select("var_id", "pop1", "pop2", *[F.round(c, 6).alias(c) for c in ("hs", "ht")])
+    return found.select("var_id", "pop1", "pop2", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("hs", "ht", "dest")])
 
 
 def jost_dest(spark, d):
@@ -232,6 +247,68 @@ def pcoa_projections(spark, d):
     return ordination.pca_frame(spark, ordination.do_pcoa_with_vars(variants(spark, d)))
 
 
+def _products(spark, found: dict, signs) -> DataFrame:
+    """i, j, product over all components, which doesn't depend on the components' own signs."""
+    scores = found["projections"].to_numpy()
+    square = (scores * signs) @ scores.T
+    rows = [(i, j, float(square[i, j])) for i in range(len(square)) for j in range(i, len(square))]
+    return spark.createDataFrame(rows, "i int, j int, product double").withColumn("product", F.round("product", 6))
+
+
+def pca_products(spark, d):
+    return _products(spark, ordination.do_pca_with_vars(variants(spark, d), transform_to_biallelic=True), 1.0)
+
+
+def pcoa_products(spark, d):
+    found = ordination.do_pcoa_with_vars(variants(spark, d))
+    return _products(spark, found, np.sign(found["explained_variance"].to_numpy()))
+
+
+def pca_table_products(spark, d):
+    """do_pca over a small table: the samples' rates."""
+    table = stats.calc_per_sample_stats(variants(spark, d)).orderBy("sample_idx").select("missing_gt_rate", "obs_het_rate").toPandas()
+    return _products(spark, ordination.do_pca(table), 1.0)
+
+
+def pca_princomps(spark, d):
+    """Projections times princomps give the standardised genotypes again."""
+    found = ordination.do_pca_with_vars(variants(spark, d), transform_to_biallelic=True)
+    scores = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in found["projections"].to_numpy()])
+    z = F.transform(scores, lambda row: F.aggregate(F.zip_with(row, "loadings", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+    long = found["princomps"].select("var_id", F.posexplode(z).alias("sample_idx", "z"))
+    return long.withColumn("z", F.round("z", 6) + F.lit(0.0))
+
+
+def _vcf_lines(held: VariantFrame) -> DataFrame:
+    """Records with two orders of the sample fields, phased and unphased, and haploid calls of the first sample."""
+    even = F.col("var_id") % 2 == 0
+    called = F.transform("gts", lambda a: F.when(a < 0, ".").otherwise(a.cast("string")))
+    pair = lambda k: F.concat(F.get(called, F.lit(2 * k)), F.when(even, "/").otherwise("|"), F.get(called, F.lit(2 * k + 1)))
+    calls = [F.when((F.col("var_id") % 4 == 1) & F.lit(k == 0), F.get(called, F.lit(0))).otherwise(pair(k)) for k in range(NUM_SAMPLES)]
+    fields = [F.when(even, F.concat(c, F.lit(":7"))).otherwise(F.concat(F.lit("7:"), c)) for c in calls]
+    names = [F.concat(F.lit("v"), F.col("var_id")), F.lit("A"), F.lit("C,GT")]
+    quality = F.when(F.col("var_id") % 5 == 0, ".").otherwise((F.col("var_id") % 50).cast("string"))
+    return held.df.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), *names, quality, F.lit("PASS"), F.lit("."), F.when(even, "GT:DP").otherwise("DP:GT"), *fields).alias("value"))
+
+
+def vcf_scan(spark, d):
+    """The variants written as VCF parts and read back."""
+    path = scratch_path(spark, "variants-vcf")
+    header = "##fileformat=VCFv4.5\n" + "\t".join([*vcf.COLUMNS, *SAMPLES])
+    head = spark.createDataFrame([(header,)], "value string").coalesce(1)
+    head.unionAll(_vcf_lines(variants(spark, d))).write.text(path)
+    held = vcf.vars_from_vcf(spark, path)
+    return held.df.select(
+        "chrom", "pos", "id", "qual", F.array_join("alleles", ",").alias("alleles"), F.array_join(F.transform("gts", lambda a: a.cast("string")), ",").alias("gts")
+    )
+
+
+def native_round_trip(spark, d):
+    path = scratch_path(spark, "variants-native")
+    native.write_vars(variants(spark, d), path)
+    return native.load_vars(spark, path).df.select("var_id", "chrom", "pos", F.array_join(F.transform("gts", lambda a: a.cast("string")), ",").alias("gts"))
+
+
 def kosman_embedding(spark, d):
     return dists.calc_pairwise_kosman_dists(variants(spark, d), use_approx_embedding_algorithm=True).df
 
@@ -253,7 +330,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         obs_het_hist, major_allele_freq_per_pop, maf_mean, maf_hist, exp_het_per_var, unbiased_exp_het_per_var, exp_het_mean, exp_het_hist,
         poly_ratio_per_pop, per_sample_stats, filter_missing, filter_maf, filter_obs_het, filter_samples, filter_chain, filtering_stats,
         limit_first_chunks, gt_012, gt_012_pca, ld_pairwise, ld_max_dist, ld_matrix, ld_per_pop_min_dist, ld_per_pop_sampled, ld_filter,
-        kosman_dists, kosman_min_snps, kosman_rect, jost_dest_per_var, jost_dest, euclidean_dists, dist_square_form, dist_triangle, pca_gram,
-        pcoa_centered_matrix, pca_projections, pcoa_projections, kosman_embedding, map_reduce_missing,
+        kosman_dists, kosman_min_snps, kosman_rect, jost_dest_per_var, jost_dest, obs_het_log_hist, ld_sample_sizes, euclidean_dists, dist_square_form, dist_triangle, pca_gram,
+        pcoa_centered_matrix, pca_projections, pcoa_projections, pca_products, pcoa_products, pca_table_products, pca_princomps, vcf_scan,
+        native_round_trip, kosman_embedding, map_reduce_missing,
     )
 }

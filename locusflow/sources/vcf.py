@@ -1,23 +1,31 @@
 """VCF files as VariantFrames.
 
-The driver reads the header and the first record through Spark; records are split and parsed by
-column expressions. Compressed files are recognised by their first bytes, whatever their name; a
-file that is compressed but not named .gz is inflated by one task as a stream of lines.
+The driver reads the header and the first record from the head of the file; records are split and
+parsed by column expressions. Compressed files are recognised by their first bytes, whatever their
+name. Spark's text reader goes by the name, so a file that is compressed but not named .gz is
+copied, as a stream, to one with that name in the folder for scratch tables.
+
+A path may also be a folder of parts, as a Spark job writes them: the first by name begins with the
+header, and var_id follows the order of lines within each part.
+
+Each sample has as many slots as the ploidy, which is the largest among the calls of the first
+record. A call with fewer alleles is filled up with missing ones, so that later samples keep their places;
+one with more alleles is an error. Fields left out at the end of a record count as missing.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
-from collections.abc import Iterator
+import zlib
 from enum import Enum
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MISSING_ALLELE
 from ..frame import VariantFrame
+from ..scratch import scratch_path
 
 #: Fixed columns of the format.
 COLUMNS = ("#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
@@ -41,37 +49,48 @@ def guess_kind(spark: SparkSession, path: str) -> VCFKind:
     raise ValueError(f"{path} is not a VCF file")
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The path, or of a folder the files with data, by name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.getFileStatus(at).isDirectory():
+        return [path]
+    return sorted(f.getPath().toString() for f in fs.listStatus(at) if f.getLen() and not f.getPath().getName().startswith(("_", ".")))
+
+
 def _head(spark: SparkSession, path: str, size: int) -> bytes:
-    """The first bytes of a file in any store that Spark reads."""
+    """The first bytes of a file, or of a folder's files in order, in any store that Spark reads."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    held = b""
+    for name in _files(spark, path):
+        at = jvm.org.apache.hadoop.fs.Path(name)
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            bounded = jvm.org.apache.commons.io.input.BoundedInputStream(stream, size - len(held))
+            held += bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(bounded))
+        finally:
+            stream.close()
+        if len(held) >= size:
+            break
+    return held
+
+
+def _named_gz(spark: SparkSession, path: str) -> str:
+    """A copy of a file under a name that ends in .gz, in the shared scratch folder."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(conf).open(at)
-    try:
-        bounded = jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(bounded))
-    finally:
-        stream.close()
+    source = jvm.org.apache.hadoop.fs.Path(path)
+    target = jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, 'lines')}.gz")
+    jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+    target.getFileSystem(conf).deleteOnExit(target)
+    return target.toString()
 
 
 def read_lines(spark: SparkSession, path: str, kind: VCFKind) -> DataFrame:
     """value (line) and line_no, which follows the file's order."""
-    if kind is VCFKind.VCF or path.endswith((".gz", ".bgz")):
-        # ids rise with the partition, and partitions of one file are in its order
-        return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no"))
-
-    def inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with gzip.open(io.BytesIO(content), "rt") as lines:
-                    held, first = [], 0
-                    for number, line in enumerate(lines):
-                        held.append(line.rstrip("\n"))
-                        if len(held) == 1_000:
-                            yield pd.DataFrame({"value": held, "line_no": range(first, number + 1)})
-                            held, first = [], number + 1
-                    yield pd.DataFrame({"value": held, "line_no": range(first, first + len(held))})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(inflate, "value string, line_no long")
+    if kind is VCFKind.GZIP and _files(spark, path) == [path] and not path.endswith((".gz", ".bgz")):
+        path = _named_gz(spark, path)
+    # ids rise with the partition, and partitions of one file are in its order
+    return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no"))
 
 
 def _fields(line: Column) -> Column:
@@ -85,12 +104,15 @@ def parse_records(lines: DataFrame, num_samples: int, ploidy: int) -> DataFrame:
     known = lambda c: F.when(c != ".", c)
     rows = rows.withColumn("gt_at", F.array_position(F.split(field(8), ":"), "GT"))
     all_missing = F.array_repeat(F.lit(MISSING_ALLELE), ploidy)
+    absent = F.array_repeat(F.lit("."), num_samples)
 
     def alleles_of(sample: Column) -> Column:
         gt = F.get(F.split(sample, ":"), (F.col("gt_at") - 1).cast("int"))
         parts = F.split(gt, r"[/|]")
         parsed = F.transform(parts, lambda a: F.when(a == ".", MISSING_ALLELE).otherwise(a.cast("int")))
-        return F.when(gt.isNull() | (gt == "."), all_missing).otherwise(parsed)
+        filled = F.slice(F.concat(parsed, all_missing), 1, ploidy)
+        too_many = F.raise_error(F.concat(F.lit(f"a call has more than {ploidy} alleles: "), gt)).cast("array<int>")
+        return F.when(gt.isNull() | (gt == "."), all_missing).when(F.size(parts) > ploidy, too_many).otherwise(filled)
 
     return rows.select(
         "line_no",
@@ -99,30 +121,54 @@ def parse_records(lines: DataFrame, num_samples: int, ploidy: int) -> DataFrame:
         known(field(2)).alias("id"),
         known(field(5)).cast("double").alias("qual"),
         F.when(field(4) == ".", F.array(field(3))).otherwise(F.concat(F.array(field(3)), F.split(field(4), ","))).alias("alleles"),
-        F.flatten(F.transform(F.slice("f", 10, num_samples), alleles_of)).alias("gts"),
+        F.flatten(F.transform(F.slice(F.concat("f", absent), 10, num_samples), alleles_of)).alias("gts"),
     )
 
 
-def read_metadata(lines: DataFrame) -> tuple[tuple[str, ...], int]:
-    """Sample names from the header and ploidy from the first record."""
-    header = lines.where(F.startswith("value", F.lit("#CHROM"))).orderBy("line_no").limit(1).collect()
-    if not header:
+def _head_lines(spark: SparkSession, path: str, kind: VCFKind) -> list[str]:
+    """Lines from the file's start up to its first record, if it has one, from as few bytes as hold them."""
+    size = 65_536
+    while True:
+        head = _head(spark, path, size)
+        text = head
+        if kind is VCFKind.GZIP:  # bgzip files are many members, one after the other
+            text, rest = b"", head
+            while rest[:2] == b"\x1f\x8b":
+                one = zlib.decompressobj(31)
+                text += one.decompress(rest)
+                rest = one.unused_data
+        lines = text.split(b"\n")
+        whole = lines if len(head) < size else lines[:-1]
+        for at, line in enumerate(whole):
+            if line.strip() and not line.startswith(b"#"):
+                return [x.decode() for x in whole[: at + 1]]
+        if len(head) < size:
+            return [x.decode() for x in whole]
+        size *= 8
+
+
+def read_metadata(spark: SparkSession, path: str, kind: VCFKind) -> tuple[tuple[str, ...], int]:
+    """Sample names from the header and ploidy from the first record, out of the head of the file."""
+    lines = _head_lines(spark, path, kind)
+    header = next((x for x in lines if x.startswith("#CHROM")), None)
+    if header is None:
         raise ValueError("the VCF file has no header line")
-    names = header[0].value.rstrip().split("\t")
+    names = header.rstrip().split("\t")
     if tuple(names[:9]) != COLUMNS:
         raise ValueError("the header line doesn't name the fixed columns")
-    first = lines.where(~F.startswith("value", F.lit("#")) & (F.length("value") > 0)).orderBy("line_no").limit(1).collect()
-    if not first:
+    first = next((x for x in lines if x.strip() and not x.startswith("#")), None)
+    if first is None:
         raise ValueError("Empty VCF file: it has no variants")
-    fields = first[0].value.rstrip().split("\t")
+    fields = first.rstrip().split("\t")
     at = fields[8].split(":").index("GT")
     gts = [s.split(":")[at] for s in fields[9:]]
-    full = next((g for g in gts if g != "."), "./.")
-    return tuple(names[9:]), full.count("/") + full.count("|") + 1
+    ploidy = max((1 + g.count("/") + g.count("|") for g in gts if g != "."), default=2)
+    return tuple(names[9:]), ploidy
 
 
 def vars_from_vcf(spark: SparkSession, path: str) -> VariantFrame:
     """Variants of a VCF file, var_id in the file's order."""
-    lines = read_lines(spark, path, guess_kind(spark, path))
-    samples, ploidy = read_metadata(lines)
+    kind = guess_kind(spark, path)
+    samples, ploidy = read_metadata(spark, path, kind)
+    lines = read_lines(spark, path, kind)
     return VariantFrame(parse_records(lines, len(samples), ploidy).withColumnRenamed("line_no", "var_id"), samples, ploidy)

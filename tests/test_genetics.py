@@ -216,7 +216,7 @@ def test_dest_is_symmetric_and_null_when_few(spark):
     one = dists.jost_dest(held, {"a": list(range(6)), "b": list(range(6, 12))}, 1).first()
     two = dists.jost_dest(held, {"b": list(range(6)), "a": list(range(6, 12))}, 1).first()
     assert abs(one.dest - two.dest) < 1e-12 and one.n_vars == 4
-    assert dists.calc_jost_dest_pop_dists(held, {"a": list(range(6)), "b": list(range(6, 12))}, 7).df.first().dist is None
+    assert dists.calc_jost_dest_pop_dists(held, {"a": list(range(6)), "b": list(range(6, 12))}, min_num_samples=7).df.first().dist is None
 
 
 def numpy_r(x, y):

@@ -36,6 +36,23 @@ def test_vcf(spark, tmp_path, name, zipped):
     assert [r.alleles for r in rows] == [["G", "A"], ["T", "A"], ["T"], ["AC", "G", "GTCT"]]
 
 
+def test_calls_of_fewer_alleles_keep_the_places_of_later_samples(spark, tmp_path):
+    rows = ["X\t1\t.\tG\tA\t.\t.\t.\tGT\t0\t1/1\t0/1", "X\t2\t.\tG\tA\t.\t.\t.\tGT\t1|0\t.\t1", "X\t3\t.\tG\tA\t.\t.\t.\tGT\t1|0"]
+    held = vars_from_vcf(spark, write(tmp_path / "x.vcf", HEAD + "\n".join(rows) + "\n"))
+    assert held.ploidy == 2
+    assert [r.gts for r in held.df.orderBy("pos").collect()] == [[0, -1, 1, 1, 0, 1], [1, 0, -1, -1, 1, -1], [1, 0, -1, -1, -1, -1]]
+    more = vars_from_vcf(spark, write(tmp_path / "y.vcf", HEAD + rows[1] + "\n" + rows[0].replace("1/1", "1/1/1") + "\n"))
+    with pytest.raises(Exception, match="more than 2 alleles"):
+        more.df.collect()
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_long_header(spark, tmp_path, zipped):
+    notes = "".join(f"##note={i}-{hash(str(i))}\n" for i in range(9_000))
+    held = vars_from_vcf(spark, write(tmp_path / "long", notes + HEAD + ROWS[0] + "\n", zipped))
+    assert held.samples == ("n1", "n2", "n3") and held.df.count() == 1
+
+
 @pytest.mark.parametrize("text", ["no header\n", HEAD, "##only\n", HEAD.replace("REF", "REV") + ROWS[0] + "\n"])
 def test_bad_vcf(spark, tmp_path, text):
     with pytest.raises(ValueError):
