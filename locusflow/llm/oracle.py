@@ -7,7 +7,7 @@ dialect; those queries are tested against brute force instead.
 from __future__ import annotations
 
 from .decontamination import WIDTH
-from .pii import BASE_KINDS, CONTEXT_WIDTH, CONTEXT_WORDS
+from .pii import BASE_KINDS, CONTEXT_SCORE, CONTEXT_WIDTH, CONTEXT_WORDS, KEY_PREFIXES, LEAST_SCORE, UNSURE_SCORE, VALID_SCORE
 from .url_filter import BLOCKED_SITES, RULES
 
 _WORDS = r"""regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -57,12 +57,13 @@ sites AS (SELECT DISTINCT page_id FROM u JOIN (VALUES {_SITE_ROWS}) s(site) ON u
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN s.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN fits USING (page_id) LEFT JOIN sites s USING (page_id)"""
 
-#: The contract's patterns and a pattern for account numbers that needs no look-around.
+#: The contract's patterns and the one for keys; account numbers need look-around.
 _SQL_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"[A-Za-z0-9_-]{20,}",
 }
 _DIGITS = "regexp_replace(span, '[^0-9]', '', 'g')"
 _LUHN = f"""list_sum([CASE WHEN i % 2 = 1 THEN substr(reverse({_DIGITS}), i, 1)::INT
@@ -72,24 +73,29 @@ _CHECKS = {
     "ip": "len([x FOR x IN string_split(span, '.') IF length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255')]) = 0",
     "card": f"CASE WHEN length({_DIGITS}) BETWEEN 13 AND 19 THEN {_LUHN} ELSE false END",
     "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
+    "secret": "regexp_matches(span, '[0-9]') AND regexp_matches(span, '[A-Za-z]')",
 }
 
 
 def _pii() -> str:
     each = []
-    for order, kind in enumerate(BASE_KINDS):
-        pattern = _SQL_PATTERNS[kind]
-        each.append(f"""SELECT doc_id, row_no, {order} AS o, '{kind}' AS kind, start, stop, regexp_matches(lower(right(before, {CONTEXT_WIDTH}) || ' ' || left(after, {CONTEXT_WIDTH})), '{CONTEXT_WORDS[kind]}') AS near FROM (
+    for order, (kind, pattern) in enumerate(_SQL_PATTERNS.items()):
+        valid = f"CASE WHEN regexp_matches(span, '^(?:{KEY_PREFIXES})') THEN {VALID_SCORE} ELSE {UNSURE_SCORE} END" if kind == "secret" else str(VALID_SCORE)
+        each.append(f"""SELECT * FROM (SELECT *, {valid} + CASE WHEN near THEN {CONTEXT_SCORE} ELSE 0 END AS score FROM (
+ SELECT doc_id, row_no, {order} AS o, '{kind}' AS kind, span, start, stop, regexp_matches(lower(right(before, {CONTEXT_WIDTH}) || ' ' || left(after, {CONTEXT_WIDTH})), '{CONTEXT_WORDS[kind]}') AS near FROM (
  SELECT doc_id, row_no, f[k] AS span, p[k] AS before, p[k + 1] AS after, list_sum([length(x) FOR x IN p[1:k]]) + coalesce(list_sum([length(x) FOR x IN f[1:k - 1]]), 0) AS start,
  list_sum([length(x) FOR x IN p[1:k]]) + list_sum([length(x) FOR x IN f[1:k]]) AS stop FROM (
  SELECT doc_id, row_no, f, p, unnest(range(1, len(f) + 1)) AS k FROM (
- SELECT doc_id, row_no, regexp_extract_all(text, '{pattern}') AS f, string_split_regex(text, '{pattern}') AS p FROM d))) WHERE {_CHECKS[kind]}""")
+ SELECT doc_id, row_no, regexp_extract_all(text, '{pattern}') AS f, string_split_regex(text, '{pattern}') AS p FROM d))) WHERE {_CHECKS[kind]})) WHERE score >= {0 if kind in BASE_KINDS else LEAST_SCORE}""")
     union = "\nUNION ALL\n".join(each)
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)
     shown = ", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE_KINDS)
+    place = "kind || ':' || start || ':' || stop, ',' ORDER BY o, start"
     return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS row_no, coalesce(text, '') AS text FROM documents), s AS ({union}),
-g AS (SELECT row_no, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY o, start) AS listed, count(*) FILTER (near) AS n_near FROM s GROUP BY 1)
-SELECT doc_id, {shown}, sha256(coalesce(listed, '')) AS base_sha256, coalesce(listed, '') AS spans, coalesce(n_near, 0)::BIGINT AS n_near FROM d LEFT JOIN g USING (row_no)"""
+g AS (SELECT row_no, {counts}, string_agg({place}) FILTER (o < {len(BASE_KINDS)}) AS base, string_agg({place}) AS listed, string_agg(score::VARCHAR, ',' ORDER BY o, start) AS scores,
+ count(*) AS n_spans, count(*) FILTER (near) AS n_near FROM s GROUP BY 1)
+SELECT doc_id, {shown}, sha256(coalesce(base, '')) AS base_sha256, coalesce(listed, '') AS spans, coalesce(scores, '') AS scores,
+ coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(n_near, 0)::BIGINT AS n_near FROM d LEFT JOIN g USING (row_no)"""
 
 
 ORACLE_SQL: dict[str, str] = {
