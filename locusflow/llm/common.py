@@ -6,56 +6,47 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..scratch import discard, materialise, scratch_path, scratch_root
 
-_own_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
 
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(32 * 1024 * 1024)
 
+__all__ = ["discard", "materialise", "scratch_path", "scratch_root", "ship_package", "small", "bytes_in", "ascii_lower", "table"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
+#: Bytes up to which a checked table is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 24 * 1024 * 1024
 
-    Where the setting is absent, a local session gets a temporary folder; any other master is
-    refused, because a machine-local folder would not be seen by the other machines.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if configured:
-        return f"{configured.rstrip('/')}/locusflow-{app}"
-    if app not in _own_scratch:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _own_scratch[app] = tempfile.mkdtemp(prefix="locusflow-")
-        atexit.register(shutil.rmtree, _own_scratch[app], ignore_errors=True)
-    return f"file://{_own_scratch[app]}"
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(frame: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it back, which cuts its lineage."""
-    spark = frame.sparkSession
-    path = scratch_path(spark, label)
-    frame.write.options(**options).parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
-def discard(frame: DataFrame) -> None:
-    """Delete the scratch table behind a frame that materialise() returned and nobody reads again."""
-    spark = frame.sparkSession
-    for name in {os.path.dirname(f) for f in frame.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+def _bytes_of(value: Column, kind: T.DataType) -> Column:
+    """About how much memory a value takes, from its length or those of its parts."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        each = F.aggregate(value, F.lit(16).cast("long"), lambda s, v: s + _bytes_of(v, kind.elementType))
+        return F.coalesce(each, F.lit(16).cast("long"))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes_of(value[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def bytes_in(frame: DataFrame) -> int:
+    row = sum((_bytes_of(F.col(f.name), f.dataType) for f in frame.schema.fields), F.lit(16).cast("long"))
+    return frame.agg(F.sum(row).alias("n")).first().n or 0
+
+
+def small(frame: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a stored table for broadcast if it takes few bytes; else leave the join to shuffle."""
+    return F.broadcast(frame) if bytes_in(frame) <= most else frame
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -6,7 +6,7 @@ dialect; those queries are tested against brute force instead.
 
 from __future__ import annotations
 
-from .decontamination import WIDTH
+from .decontamination import SLOP, WIDTH
 from .pii import BASE_KINDS, CONTEXT_SCORE, CONTEXT_WIDTH, CONTEXT_WORDS, KEY_PREFIXES, LEAST_SCORE, UNSURE_SCORE, VALID_SCORE
 from .url_filter import BLOCKED_SITES, RULES
 
@@ -14,15 +14,25 @@ _WORDS = r"""regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 
 DECONTAMINATION = rf"""WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
 b AS (SELECT DISTINCT item_id::VARCHAR AS item, {_WORDS.format(text="coalesce(text, '')")} AS w FROM benchmark),
-win AS (SELECT DISTINCT item, list_slice(w, k + 1, k + {WIDTH}) AS g FROM (SELECT item, w, unnest(range(greatest(len(w) - {WIDTH}, 0) + 1)) AS k FROM b WHERE len(w) > 0)),
+win AS (SELECT DISTINCT item, w AS item_w, list_slice(w, k + 1, k + {WIDTH}) AS g FROM (SELECT item, w, unnest(range(greatest(len(w) - {WIDTH}, 0) + 1)) AS k FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT len(g) AS n FROM win),
 spots AS (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS k FROM d, sizes WHERE len(w) >= n),
-occ AS (SELECT doc_id, item, k, n FROM (SELECT doc_id, k, n, list_slice(w, k + 1, k + n) AS g FROM spots) JOIN win USING (g)),
+occ AS (SELECT doc_id, item, item_w, k, n FROM (SELECT doc_id, k, n, list_slice(w, k + 1, k + n) AS g FROM spots) JOIN win USING (g)),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM occ) GROUP BY 1),
+placed AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS p FROM d),
+counts AS (SELECT term, count(*) AS n FROM placed GROUP BY 1),
+terms AS (SELECT item, w, k, spot, w[spot + 1] AS term FROM (SELECT item, w, k, unnest(range(k, k + least(len(w), {WIDTH}))) AS spot FROM
+ (SELECT item, w, unnest(range(greatest(len(w) - {WIDTH}, 0) + 1)) AS k FROM b WHERE len(w) > 0))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item, w, k ORDER BY n, spot) AS r FROM
+ (SELECT *, min(n) OVER (PARTITION BY item, w, k) AS least FROM (SELECT terms.*, coalesce(n, 0) AS n FROM terms LEFT JOIN counts USING (term))) WHERE least > 0),
+anchors AS (SELECT item, w, k, min(spot) AS at1, max(spot) AS at2, arg_min(term, spot) AS t1, arg_max(term, spot) AS t2 FROM ranked WHERE r <= 2 GROUP BY ALL HAVING count(*) = 2),
+near AS (SELECT doc_id, count(*) AS n_near FROM (SELECT DISTINCT x.doc_id, item, w FROM (SELECT DISTINCT item, w, at2 - at1 AS gap, t1, t2 FROM anchors) JOIN placed x ON x.term = t1
+ JOIN placed y ON y.doc_id = x.doc_id AND y.term = t2 AND y.p - x.p - gap BETWEEN -{SLOP} AND {SLOP} AND y.p - x.p <> gap) n
+ ANTI JOIN (SELECT DISTINCT doc_id, item, w FROM (SELECT doc_id, item, item_w AS w FROM occ)) o USING (doc_id, item, w) GROUP BY 1),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY 1)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 PREFERENCE = """WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side,
  coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS k

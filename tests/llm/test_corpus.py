@@ -270,23 +270,32 @@ def contamination(texts, items, width=13):
     return out
 
 
-@pytest.mark.parametrize("broadcast_rows", [50_000, 0])
-def test_decontamination(spark, texts, broadcast_rows):
+@pytest.mark.parametrize("most", [1 << 24, 0])
+def test_decontamination(spark, texts, most):
     def words(n, at):
         return " ".join(re.findall(r"\w+", texts[n] or "")[at : at + 18])
 
     items = [(1, words(0, 0)), (2, words(1, 3)), (3, "one two"), (4, None), (5, ""), (6, "!!"), (7, FILLER), (8, "a a a a a a a a a a a a a a a"), (9, words(0, 2)), (None, words(2, 0))]
     mixed = [*texts, "One,two three one TWO", "a " * 40, "b " + "a " * 13 + "b", f"{FILLER[:40]} zzz {FILLER[40:]}", "ÀB one two"]
     benchmark = spark.createDataFrame([(*i, "x", "y") for i in items], "item_id long, text string, words string, doc_id string")
-    rows = collected(decontamination.contamination_report(documents(spark, mixed), benchmark, broadcast_rows=broadcast_rows), "doc_id")
+    rows = collected(decontamination.contamination_report(documents(spark, mixed), benchmark, most=most), "doc_id")
     for i, wanted in enumerate(contamination(mixed, items)):
         row = rows[i]
         assert (row.n_words, row.n_hit, row.n_items, row.items_sha256, row.contaminated) == wanted, mixed[i]
-    left = decontamination.remove_contaminated(documents(spark, mixed), benchmark, broadcast_rows=broadcast_rows)
+    left = decontamination.remove_contaminated(documents(spark, mixed), benchmark, most=most)
     assert left.columns == documents(spark, []).columns
     assert {r.doc_id for r in left.collect()} == {i for i, r in rows.items() if not r.contaminated}
 
 
+def test_items_near_but_not_exact(spark):
+    items = [(1, "alpha beta gamma"), (2, FILLER), (3, "one two"), (4, ""), (5, None)]
+    mixed = ["alpha x beta gamma", "alpha beta gamma", f"{FILLER[:40]} zzz {FILLER[40:]}", "one x two one two", "one x x two", "one x x x x x two", "beta alpha", None, ""]
+    benchmark = spark.createDataFrame([(*i, "x", "y") for i in items], "item_id long, text string, words string, doc_id string")
+    found = collected(decontamination.contamination_report(documents(spark, mixed), benchmark), "doc_id")
+    assert [found[i].n_near for i in range(len(mixed))] == near_items(mixed, items)
+    assert any(r.n_near for r in found.values())
+
+
 def test_decontamination_edges(spark):
     benchmark = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
     none = benchmark.where("item_id < 0")
@@ -305,6 +314,31 @@ def test_proximity(spark):
     assert found == {(0, 0), (1, 1), (3, 2)}
 
 
+def near_items(texts, items, width=13, slop=3):
+    """For each text how many items stand near in it but not exactly, from all pairs of places."""
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
+    held = [words(t) for t in texts]
+    counts = Counter(w for t in held for w in t)
+    out = []
+    for w in held:
+        n = 0
+        for item in {(i, tuple(words(t))) for i, t in items}:
+            size = min(width, len(item[1]))
+            windows = [item[1][k : k + size] for k in range(len(item[1]) - size + 1)] if size else []
+            if any(tuple(w[k : k + size]) == g for g in windows for k in range(len(w) - size + 1)):
+                continue
+            near = False
+            for g in windows:
+                if min(counts[x] for x in g) == 0 or size < 2:
+                    continue
+                x, y = sorted(sorted(range(size), key=lambda k: (counts[g[k]], k))[:2])
+                shifts = {q - p - (y - x) for p in range(len(w)) if w[p] == g[x] for q in range(len(w)) if w[q] == g[y]}
+                near = near or any(0 < abs(v) <= slop for v in shifts)
+            n += near
+        out.append(n)
+    return out
+
+
 # tokens and packing
 
 
