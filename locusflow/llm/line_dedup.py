@@ -1,41 +1,46 @@
 """Operator 1: line dedup by a segment-partition edit join.
 
 Lines are the pieces of a text between line feeds. A line goes if it repeats an earlier line, or
-if an earlier different line is within max_edits insertions, deletions and substitutions of it;
-earlier is by doc_id, then text hash, then place. Equal lines are one entry, known by a 128-bit
-digest. Near lines: an entry is cut into max_edits + 1 segments, one of which an entry within
-max_edits edits must hold unchanged, near its place. Segments are the keys of an index by length;
-each entry probes the indexes of its own and of slightly shorter lengths. Entries that share a
-key are compared by a banded bit-parallel edit distance on the texts themselves.
-
-A key that many entries share would give the square of their number of comparisons. Such entries
-are met through their one-deletion variants instead, which only lines one edit apart share, and
-each is compared with the first of its group alone: all others of a group are then that near as
-well, so the same lines go. This holds for max_edits 1, the largest allowed here.
-
-Blank lines always stay, and so do null texts. Lines shorter than min_chars only go if repeated
-exactly. Rows that share doc_id and text are treated alike, as one document. A null doc_id comes
-before all others. Texts may be of any length. An empty table gives no rows; columns of other
-names are carried.
+if an earlier different line is within its edit budget of insertions, deletions and substitutions;
+earlier is by doc_id, then text hash, then place. The budget grows with the length, in classes; of
+two lines the shorter one's holds. Equal lines are one entry, known by a 128-bit digest. Near
+lines: an entry is cut into budget + 1 segments, one of which an entry within the budget must hold
+unchanged, near its place. Segments are the keys of an index by length; each entry probes the
+indexes of its own and of slightly shorter lengths. Entries that share a key are compared by a
+banded bit-parallel edit distance on the texts themselves.
+
+A key that many entries share would give the square of their number of candidate pairs. At a
+budget of one edit such entries are met through their one-deletion variants instead, which only
+lines one edit apart share, and each is compared with the first of its group alone: all others of
+a group are then that near as well, so the same lines go. At larger budgets they are dealt out to
+pairs of blocks of bounded size; a task compares counts of characters first, which no edit changes
+by more than two, then distances until a line has met an earlier one that is near. Such a key
+costs the square of its lines in comparisons of counts, but sends no pairs.
+
+Blank lines always stay, and so do null texts. Lines shorter than the first class only go if
+repeated exactly. Rows that share doc_id and text are treated alike, as one document. A null
+doc_id comes before all others. Texts may be of any length. An empty table gives no rows; columns
+of other names are carried.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship_package
+from .common import BROADCAST_BYTES, materialise, ship_package, small
 
-MAX_EDITS, MIN_CHARS = 1, 20
-#: Entries under a key that are still compared pair by pair.
-HOT = 32
-#: Rows up to which a stored table is broadcast.
-BROADCAST_ROWS = 50_000
+#: Classes of lines: the least length and the edits allowed from there on, three at most.
+BUDGETS = ((20, 1), (60, 2))
+#: Entries under a key that are still compared pair by pair; lines in a block of a key of more.
+HOT, BLOCK = 32, 2_048
+#: Kinds of characters that are counted, and lines whose counts are compared with a block at once.
+KINDS, STEP = 32, 64
 
 #: Odd base of the rolling hash over code points, and its inverse modulo 2 ** 64.
 _BASE = 0x9E3779B97F4A7C15
@@ -49,23 +54,33 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), s) for i, s in enumerate(sizes)]
 
 
-def segment_keys(line: str, edits: int) -> tuple[list[int], list[int]]:
-    """Index keys of a line, and the keys it probes for lines as long or shorter."""
+def budget_of(length: int, budgets: Sequence[tuple[int, int]] = BUDGETS) -> int:
+    """The edits allowed for a line of this length; 0 below the first class."""
+    return max((edits for least, edits in budgets if length >= least), default=0)
+
+
+def segment_keys(line: str, budgets: Sequence[tuple[int, int]] = BUDGETS) -> tuple[list[int], list[int]]:
+    """Index keys of a line, and the keys it probes for lines as long or shorter; a key's last two bits are its budget."""
     import xxhash
 
-    def key(length: int, i: int, held: str) -> int:
-        return xxhash.xxh64_intdigest(held.encode("utf-8", "surrogatepass"), (length << 4 | i) & (2**64 - 1)) - 2**63
+    raw, n = line.encode("utf-32-le", "surrogatepass"), len(line)
+
+    def key(length: int, edits: int, i: int, at: int, size: int) -> int:
+        found = xxhash.xxh64_intdigest(raw[4 * at : 4 * (at + size)], (length << 4 | i) & (2**64 - 1))
+        return (found & ~3 | edits) - 2**63
 
-    n = len(line)
-    index = [key(n, i, line[a : a + s]) for i, (a, s) in enumerate(segments(n, edits))]
-    probe = []
-    for length in range(n - edits, n + 1):
-        more = n - length
+    own = budget_of(n, budgets)
+    index = [key(n, own, i, a, s) for i, (a, s) in enumerate(segments(n, own))] if own else []
+    probe = set()
+    for length in range(max(1, n - max((e for _, e in budgets), default=0)), n + 1):
+        edits, more = budget_of(length, budgets), n - length
+        if more > edits or not edits:
+            continue
         for i, (a, s) in enumerate(segments(length, edits)):
             low = max(0, a - i, a + more - (edits - i))
             high = min(n - s, a + i, a + more + (edits - i))
-            probe += [key(length, i, line[k : k + s]) for k in range(low, high + 1)]
-    return index, sorted(set(probe) - set(index))
+            probe.update(key(length, edits, i, k, s) for k in range(low, high + 1))
+    return index, sorted(probe - set(index))
 
 
 def within_edits(a: str, b: str, edits: int) -> bool:
@@ -131,75 +146,62 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_hash"))
 
 
-def _line_entries(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """A row for each line that isn't blank: document, place, digest and segment keys."""
-    # as many keys as a line without repeats has, which is the most
-    n_index, n_probe = map(len, segment_keys("".join(map(chr, range(200, 216))), edits))
-    names = [*(f"i{k}" for k in range(n_index)), *(f"p{k}" for k in range(n_probe))]
+def _line_entries(docs: DataFrame) -> DataFrame:
+    """A row for each different line that isn't blank: digest, first place and the line itself."""
+    schema = "doc_id long, doc_hash long, place int, a long, b long, line string"
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            rows: list[list] = [[] for _ in range(6 + len(names))]
+            rows: list[list] = [[] for _ in names]
             for doc_id, doc_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for place, line in enumerate((text or "").split("\n")):
                     if not line or line.isspace():
                         continue
                     digest = xxhash.xxh128_intdigest(line.encode("utf-8", "surrogatepass"))
-                    keys: list = [None] * len(names)
-                    if len(line) >= min_chars:
-                        index, probe = segment_keys(line, edits)
-                        keys[: len(index)] = index
-                        keys[n_index : n_index + len(probe)] = probe
-                    values = (doc_id, doc_hash, place, (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, len(line), *keys)
+                    values = (doc_id, doc_hash, place, (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, line)
                     for column, value in zip(rows, values, strict=True):
                         column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * len(names)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc_id", "doc_hash", "place", "a", "b", "length", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names)
 
-    schema = "doc_id long, doc_hash long, place int, a long, b long, length int" + "".join(f", {n} long" for n in names)
     held = _keyed(docs).select(F.col("_id").alias("doc_id"), F.col("_hash").alias("doc_hash"), "text")
-    lines = held.mapInArrow(cut, schema)
     first = F.min(F.struct("doc_id", "doc_hash", "place")).alias("first")
-    return lines.groupBy("a", "b").agg(first, F.min("length").alias("length"), *[F.min(n).alias(n) for n in names])
+    return held.mapInArrow(cut, schema).groupBy("a", "b").agg(first, F.first("line").alias("line"))
 
 
-def _small(frame: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(frame) if frame.count() <= rows else frame
+def _keys(entries: DataFrame, budgets: Sequence[tuple[int, int]]) -> DataFrame:
+    """key, id and indexed (1, or 0 for a probe) of each entry."""
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids, indexed = [], [], []
+            for id_, line in zip(batch.column("a").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                index, probe = segment_keys(line, budgets)
+                keys += index + probe
+                ids += [id_] * (len(index) + len(probe))
+                indexed += [1] * len(index) + [0] * len(probe)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(indexed, pa.int32())], ["key", "id", "indexed"])
 
-def _shared_keys(entries: DataFrame, hot: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (u, v) of digests under keys of few entries, and the entries of hot keys (u)."""
-    index, probe = ([n for n in entries.columns if n[0] == c and n[1:].isdigit()] for c in "ip")
+    return entries.select("a", "line").mapInArrow(make, "key long, id long, indexed int")
 
-    def rows(names: list[str], is_index: int) -> DataFrame:
-        return entries.select(F.explode(F.array(*names)).alias("key"), F.lit(is_index).alias("indexed"), F.col("a").alias("id"))
 
-    keys = rows(index, 1)
-    keys = (keys.unionByName(rows(probe, 0)) if probe else keys).where("key is not null")
+def _shared_keys(entries: DataFrame, budgets: Sequence[tuple[int, int]], hot: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (u, v) of digests under keys of few entries, and members (key, n, id, indexed, edits) of hot keys."""
+    keys = _keys(entries, budgets)
     counted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("indexed").alias("n_index"), F.min("id").alias("u"), F.max("id").alias("v"))
     shared = materialise(counted.where("n > 1 and n_index > 0 and u <> v"), "shared-keys")
     twos = shared.where("n = 2").select("u", "v")
-    more = shared.where("n > 2").select("key", "n")
-    members = materialise(keys.join(_small(more, broadcast_rows), "key"), "shared-members")
+    more = materialise(shared.where("n > 2").select("key", "n"), "crowded-keys")
+    members = materialise(keys.join(small(more, most), "key"), "shared-members")
     groups = members.where(F.col("n") <= hot).groupBy("key").agg(F.collect_set(F.struct("id", "indexed")).alias("m"))
     one = groups.select("m", F.explode("m").alias("x")).where("x.indexed = 1")
     pairs = one.select(F.col("x.id").alias("u"), F.explode("m.id").alias("v")).where("u <> v")
     pairs = twos.unionByName(pairs).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    return materialise(pairs, "line-pairs"), materialise(members.where(F.col("n") > hot).select(F.col("id").alias("u")).distinct(), "hot-lines")
-
-
-def _line_texts(docs: DataFrame, entries: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
-    """id, first and line of the entries with the wanted digests (u)."""
-    named = entries.join(_small(wanted, broadcast_rows), entries.a == wanted.u, "left_semi").select(F.col("a").alias("id"), "b", "first")
-    named = materialise(named, "wanted-lines")
-    places = named.groupBy(F.col("first.doc_id").alias("d"), F.col("first.doc_hash").alias("h")).agg(F.collect_list(F.struct("id", "b", "first")).alias("wanted"))
-    places = F.broadcast(places) if named.count() <= broadcast_rows else places
-    held = _keyed(docs).select("_id", "_hash", "text")
-    found = held.join(places, held._id.eqNullSafe(places.d) & (held._hash == places.h))
-    lines = F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), w["b"].alias("b"), w["first"].alias("first"), F.get(F.split("text", "\n"), w["first"]["place"]).alias("line")))
-    return materialise(found.select(F.explode(lines).alias("x")).select("x.*").dropDuplicates(["id", "b"]), "line-texts")
+    crowded = members.where(F.col("n") > hot).withColumn("edits", F.pmod("key", F.lit(4)).cast("int"))
+    return materialise(pairs, "line-pairs"), materialise(crowded, "hot-members")
 
 
 def _hot_pairs(texts: DataFrame, hot: DataFrame) -> DataFrame:
@@ -228,40 +230,94 @@ def _hot_pairs(texts: DataFrame, hot: DataFrame) -> DataFrame:
     return same.unionByName(longer).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def near_links(docs: DataFrame, entries: DataFrame, edits: int = MAX_EDITS, hot: int = HOT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compared pairs within edits: a_first, b_first, the places of the first lines of both kinds.
+def character_counts(lines: Sequence[str]) -> np.ndarray:
+    """How often characters of each kind, by the last bits of their code, stand in each line."""
+    out = np.zeros((len(lines), KINDS), np.int32)
+    for k, line in enumerate(lines):
+        out[k] = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") % KINDS, minlength=KINDS)
+    return out
+
 
-    Every pair under a key of few entries is compared; under hot keys a group is represented by
-    its first line.
+def _block_links(members: DataFrame, texts: DataFrame, budgets: Sequence[tuple[int, int]], block: int) -> DataFrame:
+    """a_first, b_first: for each line of a hot key that has an earlier near one under it, one such pair a block pair."""
+    first = "struct<doc_id:bigint,doc_hash:bigint,place:int>"
+    lines = members.join(texts.select(F.col("id").alias("of"), "first", "line"), F.col("id") == F.col("of"))
+    lines = lines.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    dealt = lines.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "indexed", "first", "line")
+
+    def meet(group: pa.Table) -> pa.Table:
+        firsts, held = group.column("first").combine_chunks(), group.column("line").to_pylist()
+        own, indexed = group.column("own").to_numpy(), group.column("indexed").to_numpy().astype(bool)
+        apart = group.column("x")[0].as_py() != group.column("y")[0].as_py()
+        places = [(f["doc_id"] is not None, f["doc_id"] or 0, f["doc_hash"], f["place"]) for f in firsts.to_pylist()]
+        order = np.array(sorted(range(len(held)), key=places.__getitem__))
+        held, own, indexed = [held[k] for k in order], own[order], indexed[order]
+        counts, sizes = character_counts(held), np.array([len(x) for x in held])
+        edits = np.array([budget_of(n, budgets) for n in sizes])
+        found: list[tuple[int, int]] = []
+        for at in range(0, len(held), STEP):
+            late = np.arange(at, min(at + STEP, len(held)))
+            early = np.arange(late[-1] + 1)
+            allowed = np.minimum(edits[late][:, None], edits[early][None, :])
+            near = np.abs(counts[late][:, None, :] - counts[early][None, :, :]).sum(axis=2) <= 2 * allowed
+            near &= (early[None, :] < late[:, None]) & (indexed[late][:, None] | indexed[early][None, :])
+            if apart:
+                near &= own[late][:, None] != own[early][None, :]
+            for k, row in zip(late.tolist(), near, strict=True):
+                for j in np.flatnonzero(row).tolist():
+                    if held[j] != held[k] and within_edits(held[j], held[k], int(min(edits[j], edits[k]))):
+                        found.append((j, k))
+                        break
+        a, b = (pa.array([int(order[pair[side]]) for pair in found], pa.int64()) for side in (0, 1))
+        return pa.table({"a_first": firsts.take(a), "b_first": firsts.take(b)})
+
+    return dealt.groupBy("key", "x", "y").applyInArrow(meet, f"a_first {first}, b_first {first}")
+
+
+def near_links(entries: DataFrame, budgets: Sequence[tuple[int, int]] = BUDGETS, hot: int = HOT, block: int = BLOCK, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Pairs within the budget: a_first, b_first, the places of the first lines of both kinds.
+
+    Every pair under a key of few entries is compared; under hot keys each line that goes is in
+    some pair.
     """
-    pairs, hot_ids = _shared_keys(entries, hot, broadcast_rows)
-    wanted = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).unionByName(hot_ids).distinct()
-    texts = _line_texts(docs, entries, materialise(wanted, "wanted"), broadcast_rows)
-    if hot_ids.count():
-        pairs = pairs.unionByName(_hot_pairs(texts, hot_ids)).distinct()
+    pairs, crowded = _shared_keys(entries, budgets, hot, most)
+    wanted = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).unionByName(crowded.select(F.col("id").alias("u"))).distinct()
+    wanted = small(materialise(wanted, "wanted"), most)
+    texts = entries.join(wanted, entries.a == wanted.u, "left_semi").select(F.col("a").alias("id"), "first", "line")
+    texts = materialise(texts, "line-texts")
+    varied = crowded.where("edits = 1").select(F.col("id").alias("u")).distinct()
+    if not varied.isEmpty():
+        pairs = pairs.unionByName(_hot_pairs(texts, varied)).distinct()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [within_edits(a, b, edits) for a, b in zip(batch.column("a_line").to_pylist(), batch.column("b_line").to_pylist(), strict=True)]
+            lines = zip(batch.column("a_line").to_pylist(), batch.column("b_line").to_pylist(), strict=True)
+            near = [within_edits(a, b, budget_of(min(len(a), len(b)), budgets)) for a, b in lines]
             yield batch.filter(pa.array(near, pa.bool_())).select(["a_first", "b_first"])
 
     sides = [texts.select(F.col("id").alias(c), F.col("first").alias(f"{n}_first"), F.col("line").alias(f"{n}_line")) for c, n in (("u", "a"), ("v", "b"))]
     held = pairs.join(sides[0], "u").join(sides[1], "v").select("a_first", "a_line", "b_first", "b_line")
     first = "struct<doc_id:bigint,doc_hash:bigint,place:int>"
-    return held.mapInArrow(compare, f"a_first {first}, b_first {first}")
+    links = held.mapInArrow(compare, f"a_first {first}, b_first {first}")
+    blocked = crowded.where("edits > 1")
+    return links if blocked.isEmpty() else links.unionByName(_block_links(blocked, texts, budgets, block))
 
 
-def kept_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, hot: int = HOT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """kept_id, kept_hash and the sorted places of the lines that stay, for documents that have any."""
-    if edits not in (0, 1):
-        raise ValueError("max_edits may be 0 or 1")
+def kept_lines(docs: DataFrame, budgets: Sequence[tuple[int, int]] = BUDGETS, hot: int = HOT, block: int = BLOCK, most: int = BROADCAST_BYTES) -> DataFrame:
+    """kept_id, kept_hash and the sorted places of the lines that stay, for documents that have any.
+
+    Without budgets only exact repeats go.
+    """
+    if any(not 1 <= edits <= 3 for _, edits in budgets) or list(budgets) != sorted(budgets) or any(least <= edits for least, edits in budgets):
+        raise ValueError("budgets must rise with the length, be from 1 to 3 and shorter than their lines")
     ship_package(docs.sparkSession)
-    entries = materialise(_line_entries(docs, edits, min_chars if edits else 1 << 60), "line-entries")
+    entries = materialise(_line_entries(docs), "line-entries", compression="zstd")
     stay = entries.select("first")
-    if edits:
-        links = near_links(docs, entries, edits, hot, broadcast_rows)
+    if budgets:
+        links = near_links(entries, budgets, hot, block, most)
         gone = materialise(links.select(F.greatest("a_first", "b_first").alias("first")).distinct(), "near-lines")
-        stay = stay.join(_small(gone, broadcast_rows), "first", "left_anti")
+        stay = stay.join(small(gone, most), "first", "left_anti")
     places = F.array_sort(F.collect_list("first.place")).alias("kept_places")
     return stay.groupBy(F.col("first.doc_id").alias("kept_id"), F.col("first.doc_hash").alias("kept_hash")).agg(places)
 

@@ -71,7 +71,7 @@ def signed(text):
     return value - ((value >> 63) << 64)
 
 
-def deduped(texts):
+def deduped(texts, budgets=line_dedup.BUDGETS):
     first = {}
     for i, t in enumerate(texts):
         for k, line in enumerate((t or "").split("\n")):
@@ -80,10 +80,11 @@ def deduped(texts):
     order = sorted(first, key=first.get)
     gone = set()
     for n, b in enumerate(order):
-        if len(b) >= line_dedup.MIN_CHARS:
-            near = (a for a in order[:n] if len(a) >= line_dedup.MIN_CHARS and abs(len(a) - len(b)) <= 1)
-            if any(distance(a, b) <= 1 for a in near):
+        for a in order[:n]:
+            edits = line_dedup.budget_of(min(len(a), len(b)), budgets)
+            if edits and abs(len(a) - len(b)) <= edits and sum(((Counter(a) - Counter(b)) | (Counter(b) - Counter(a))).values()) <= 2 * edits and distance(a, b) <= edits:
                 gone.add(b)
+                break
     stay = {v for k, v in first.items() if k not in gone}
     out = []
     for i, t in enumerate(texts):
@@ -92,16 +93,29 @@ def deduped(texts):
     return out
 
 
-@pytest.mark.parametrize(("hot", "broadcast_rows"), [(32, 50_000), (2, 0)])
-def test_line_dedup(spark, texts, hot, broadcast_rows):
-    short = [t if t is None or len(t) < 4000 else t[:2000] for t in texts]
+def changed(rng, line, edits):
+    line = list(line)
+    for _ in range(edits):
+        k = rng.randrange(len(line))
+        line[k : k + rng.randint(0, 1)] = rng.choice(["", "q", "7", line[k]])
+    return "".join(line)
+
+
+@pytest.mark.parametrize(("hot", "block", "most"), [(32, 2_048, 1 << 24), (3, 4, 0)])
+def test_line_dedup(spark, texts, hot, block, most):
+    rng = random.Random(8)
+    short = [t if t is None or len(t) < 1000 else t[:700] for t in texts[:40] + texts[60:]]
+    long = [FILLER + " " + FILLER[: 10 * k] for k in range(1, 5)]
+    short += [changed(rng, line, rng.randint(0, 5)) for line in [FILLER[:30], FILLER[:70], *long] for _ in range(12)]
+    short += [f"a template of one hundred and twenty characters or more, in which nothing but a number changes: it is {rng.randint(1, 99_999):05d} this time round" for _ in range(40)]
     wanted = deduped(short)
     docs = documents(spark, short).repartition(3)
-    report = collected(line_dedup.line_report(docs, hot=hot, broadcast_rows=broadcast_rows), "doc_id")
+    options = {"hot": hot, "block": block, "most": most}
+    report = collected(line_dedup.line_report(docs, **options), "doc_id")
     for i, (text, kept) in enumerate(wanted):
-        assert report[i].n_kept == kept
+        assert report[i].n_kept == kept, short[i]
         assert report[i].text_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
-    left = collected(line_dedup.dedup_lines(docs, hot=hot, broadcast_rows=broadcast_rows), "doc_id")
+    left = collected(line_dedup.dedup_lines(docs, **options), "doc_id")
     assert set(left) == {i for i, (_, kept) in enumerate(wanted) if kept or not (short[i] or "").strip()}
     for i, row in left.items():
         assert row.text == wanted[i][0] and row._id == "x" and row.n_chars == (None if row.text is None else len(row.text))
@@ -118,9 +132,9 @@ def test_line_kernels():
         d = distance(a, b)
         for edits in (0, 1, 2, 3):
             assert line_dedup.within_edits(a, b, edits) == (d <= edits)
-        for edits in (1, 2):
+        for edits in (1, 2, 3):
             if a != b and d <= edits and min(len(a), len(b)) > edits:
-                (ia, pa), (ib, pb) = line_dedup.segment_keys(a, edits), line_dedup.segment_keys(b, edits)
+                (ia, pa), (ib, pb) = (line_dedup.segment_keys(x, ((edits + 1, edits),)) for x in (a, b))
                 assert {*ia} & {*ib, *pb} or {*ib} & {*pa}
 
 
@@ -134,7 +148,8 @@ def test_line_edges(spark):
     assert [r.n_kept for r in rows if r.doc_id is None] == [1, 1]  # one document twice
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
     with pytest.raises(ValueError):
-        line_dedup.line_report(docs, edits=2)
+        line_dedup.line_report(docs, budgets=((20, 4),))
+    assert {r.n_kept for r in line_dedup.line_report(docs, budgets=()).collect() if r.doc_id in (1, 2)} == {1}
 
 
 # personal data
