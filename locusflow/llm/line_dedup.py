@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,18 +60,11 @@ def budget_of(length: int, budgets: Sequence[tuple[int, int]] = BUDGETS) -> int:
     return max((edits for least, edits in budgets if length >= least), default=0)
 
 
-def segment_keys(line: str, budgets: Sequence[tuple[int, int]] = BUDGETS) -> tuple[list[int], list[int]]:
-    """Index keys of a line, and the keys it probes for lines as long or shorter; a key's last two bits are its budget."""
-    import xxhash
-
-    raw, n = line.encode("utf-32-le", "surrogatepass"), len(line)
-
-    def key(length: int, edits: int, i: int, at: int, size: int) -> int:
-        found = xxhash.xxh64_intdigest(raw[4 * at : 4 * (at + size)], (length << 4 | i) & (2**64 - 1))
-        return (found & ~3 | edits) - 2**63
-
+@lru_cache(maxsize=4_096)
+def _key_plan(n: int, budgets: tuple[tuple[int, int], ...]) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """How many index keys a line of length n has, and (start, end, seed, edits) of each key, those first; in bytes."""
     own = budget_of(n, budgets)
-    index = [key(n, own, i, a, s) for i, (a, s) in enumerate(segments(n, own))] if own else []
+    index = [(4 * a, 4 * (a + s), n << 4 | i, own) for i, (a, s) in enumerate(segments(n, own))] if own else []
     probe = set()
     for length in range(max(1, n - max((e for _, e in budgets), default=0)), n + 1):
         edits, more = budget_of(length, budgets), n - length
@@ -79,8 +73,18 @@ def segment_keys(line: str, budgets: Sequence[tuple[int, int]] = BUDGETS) -> tup
         for i, (a, s) in enumerate(segments(length, edits)):
             low = max(0, a - i, a + more - (edits - i))
             high = min(n - s, a + i, a + more + (edits - i))
-            probe.update(key(length, edits, i, k, s) for k in range(low, high + 1))
-    return index, sorted(probe - set(index))
+            probe.update((4 * k, 4 * (k + s), length << 4 | i, edits) for k in range(low, high + 1))
+    return len(index), index + sorted(probe - set(index))
+
+
+def segment_keys(line: str, budgets: Sequence[tuple[int, int]] = BUDGETS) -> tuple[list[int], list[int]]:
+    """Index keys of a line, and the keys it probes for lines as long or shorter; a key's last two bits are its budget."""
+    from xxhash import xxh64_intdigest
+
+    raw = line.encode("utf-32-le", "surrogatepass")
+    n_index, plan = _key_plan(len(line), tuple(budgets))
+    keys = [(xxh64_intdigest(raw[start:end], seed) & ~3 | edits) - 2**63 for start, end, seed, edits in plan]
+    return keys[:n_index], keys[n_index:]
 
 
 def within_edits(a: str, b: str, edits: int) -> bool:
