@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, scratch_path, ship_package
+from .common import discard, materialise, release, scratch_path, ship_package
 
 #: Bytes up to which a stored frontier is broadcast.
 BROADCAST_BYTES = 16 * 1024 * 1024
@@ -275,6 +275,7 @@ def nn_descent(packed: DataFrame, width: int, s: GraphSettings = GraphSettings()
         fresh = after.agg(F.sum("taken").alias("n")).first().n or 0
         discard(graph)
         graph = after
+        release(packed.sparkSession)
         if fresh <= s.enough * n * s.degree:
             return graph
     raise RuntimeError("the neighbour graph doesn't settle")
@@ -405,8 +406,7 @@ def search_graph(graph: DataFrame, packed: DataFrame, width: int, queries: DataF
         discard(state)
         discard(frontier)
         state = after
-        # shuffle files of the hops before go once the driver drops its references
-        spark.sparkContext._jvm.System.gc()
+        release(spark)
     raise RuntimeError("the search doesn't end")
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialise, ship_package, small
+from .common import BROADCAST_BYTES, materialise, release, ship_package, small
 
 #: Classes of lines: the least length and the edits allowed from there on, three at most.
 BUDGETS = ((20, 1), (60, 2))
@@ -197,6 +197,8 @@ def _shared_keys(entries: DataFrame, budgets: Sequence[tuple[int, int]], hot: in
     keys = _keys(entries, budgets)
     counted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("indexed").alias("n_index"), F.min("id").alias("u"), F.max("id").alias("v"))
     shared = materialise(counted.where("n > 1 and n_index > 0 and u <> v"), "shared-keys")
+    del counted
+    release(entries.sparkSession)
     twos = shared.where("n = 2").select("u", "v")
     more = materialise(shared.where("n > 2").select("key", "n"), "crowded-keys")
     members = materialise(keys.join(small(more, most), "key"), "shared-members")
@@ -317,10 +319,13 @@ def kept_lines(docs: DataFrame, budgets: Sequence[tuple[int, int]] = BUDGETS, ho
         raise ValueError("budgets must rise with the length, be from 1 to 3 and shorter than their lines")
     ship_package(docs.sparkSession)
     entries = materialise(_line_entries(docs), "line-entries", compression="zstd")
+    release(docs.sparkSession)
     stay = entries.select("first")
     if budgets:
         links = near_links(entries, budgets, hot, block, most)
         gone = materialise(links.select(F.greatest("a_first", "b_first").alias("first")).distinct(), "near-lines")
+        del links
+        release(docs.sparkSession)
         stay = stay.join(small(gone, most), "first", "left_anti")
     places = F.array_sort(F.collect_list("first.place")).alias("kept_places")
     return stay.groupBy(F.col("first.doc_id").alias("kept_id"), F.col("first.doc_hash").alias("kept_hash")).agg(places)
