@@ -1,8 +1,8 @@
 """Operator 10: URL rules in a sorted digest array.
 
 A list of rules or blocked sites becomes an array of sorted 64-bit XXH64 keys and, beside it, the
-full strings in the same order. Spark sends the files to every executor, where tasks map them
-into memory instead of loading them. A URL is asked for under each suffix of its host and each
+full strings in the same order. A list of sites is a table: Spark sorts it by digest and stores the
+parts, executors fetch them, and tasks map the array into memory instead of loading it. A URL is asked for under each suffix of its host and each
 path length that occurs in the list; a vectorised binary search finds equal keys and the stored
 string confirms them, so a collision of keys can't change a verdict.
 
@@ -17,20 +17,19 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
 import tempfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, ship_package
+from .common import ascii_lower, scratch_path, ship_package
 
 #: Fixed values of the query's contract: (action, host, path).
 RULES = (
@@ -48,17 +47,18 @@ BLOCKED_SITES = (
     "free-bets.example.com", "free-bets.example.net", "free-bets.example.org",
     "spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org",
 )
-#: Seed of the digest keys.
-SEED = 0
+#: Seed of the digest keys, that of Spark's own XXH64.
+SEED = 42
+#: Entries in a part of a stored array.
+PART = 2_000_000
 
 
 @dataclass(frozen=True)
 class DigestFiles:
-    """Names of the files of one digest array, as the executors know them."""
+    """A stored array's name and its parts in the order of their keys, as the executors know them."""
 
-    keys: str
-    ends: str
-    strings: str
+    name: str
+    parts: tuple[str, ...]
 
 
 class DigestArray:
@@ -73,20 +73,30 @@ class DigestArray:
         ends = np.cumsum([len(s) for _, s in rows], dtype=np.int64) if rows else np.zeros(0, np.int64)
         return DigestArray(np.array([k for k, _ in rows], dtype=np.uint64), ends, np.frombuffer(b"".join(s for _, s in rows), dtype=np.uint8))
 
-    def save(self, folder: str, name: str) -> DigestFiles:
-        files = DigestFiles(f"{name}.keys.npy", f"{name}.ends.npy", f"{name}.strings.npy")
-        for file, array in ((files.keys, self._keys), (files.ends, self._ends), (files.strings, self._strings)):
-            np.save(os.path.join(folder, file), array)
-        return files
-
     @staticmethod
     def open(files: DigestFiles) -> DigestArray:
-        def mapped(name: str) -> np.ndarray:
-            full = SparkFiles.get(name)
-            empty = os.path.getsize(full) <= 128  # a header alone can't be mapped
-            return np.load(full, mmap_mode=None if empty else "r")
-
-        return DigestArray(mapped(files.keys), mapped(files.ends), mapped(files.strings))
+        """Map the array into memory; the first task of an executor puts the parts together on its own disk."""
+        folder = os.path.join(tempfile.gettempdir(), files.name)
+        names = ("keys", "ends", "strings")
+        if not os.path.isdir(folder):
+            own = tempfile.mkdtemp(prefix=files.name)
+            at = 0
+            with open(f"{own}/keys", "wb") as keys, open(f"{own}/ends", "wb") as ends, open(f"{own}/strings", "wb") as strings:
+                for part in files.parts:
+                    for batch in pq.ParquetFile(SparkFiles.get(part)).iter_batches(columns=["key", "entry"]):
+                        keys.write(batch.column("key").to_numpy().view(np.uint64).tobytes())
+                        held = [e.encode() for e in batch.column("entry").to_pylist()]
+                        last = at + np.cumsum([len(e) for e in held], dtype=np.int64)
+                        ends.write(last.tobytes())
+                        strings.write(b"".join(held))
+                        at = int(last[-1]) if held else at
+            try:
+                os.rename(own, folder)
+            except OSError:  # another task was first
+                folder = folder if os.path.isdir(folder) else own
+        kinds = (np.uint64, np.int64, np.uint8)
+        full = [f"{folder}/{n}" for n in names]
+        return DigestArray(*(np.memmap(f, k, "r") if os.path.getsize(f) else np.zeros(0, k) for f, k in zip(full, kinds, strict=True)))
 
     def contains(self, probes: Sequence[bytes]) -> np.ndarray:
         """Which of the probes are in the array, strings compared."""
@@ -113,14 +123,26 @@ def key_of(value: bytes) -> int:
     return xxhash.xxh64_intdigest(value, SEED)
 
 
-def ship_array(spark: SparkSession, strings: Sequence[str], name: str) -> DigestFiles:
-    """Build the array on the driver and hand its files to every executor."""
-    folder = tempfile.mkdtemp(prefix="locusflow-digest-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    files = DigestArray.build(strings).save(folder, f"{name}-{os.path.basename(folder)[-8:]}")
-    for file in (files.keys, files.ends, files.strings):
-        spark.sparkContext.addFile(os.path.join(folder, file))
-    return files
+def ship_array(entries: DataFrame, name: str) -> DigestFiles:
+    """Sort a table of strings (its only column) by digest with Spark, store it and hand the parts to every executor.
+
+    Keys are ranged unsigned: the top bit is turned for Spark's signed order. The parts are fetched
+    by the executors from the folder for scratch tables; the driver sees their names alone.
+    """
+    spark = entries.sparkSession
+    entry = F.col(entries.columns[0]).cast("string")
+    keyed = entries.select(entry.alias("entry")).where("entry is not null").distinct().withColumn("key", F.xxhash64("entry"))
+    keyed = keyed.withColumn("place", F.col("key").bitwiseXOR(F.lit(-(2**63))))
+    parts = max(1, -(-keyed.count() // PART))
+    path = scratch_path(spark, f"digest-{name}")
+    keyed.repartitionByRange(parts, "place").sortWithinPartitions("place", "entry").select("key", "entry").write.parquet(path)
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    files = sorted(f.getPath().toString() for f in found if f.getPath().getName().startswith("part-"))
+    for file in files:
+        spark.sparkContext.addFile(file)
+    return DigestFiles(os.path.basename(path), tuple(os.path.basename(f) for f in files))
 
 
 def host_and_path(url):
@@ -146,24 +168,28 @@ def host_suffixes(host: str) -> list[str]:
 def filter_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]] = RULES,
-    blocked: Sequence[str] = BLOCKED_SITES,
+    blocked: DataFrame | Sequence[str] = BLOCKED_SITES,
     id_column: str = "page_id",
     url_column: str = "url",
 ) -> DataFrame:
-    """page_id, host, path, rule, verdict for every row of pages."""
+    """page_id, host, path, rule, verdict for every row of pages.
+
+    blocked: site names, as a table of one column or, if few, a sequence. rules are few.
+    """
     spark = pages.sparkSession
     ship_package(spark)
     actions = {host + path: action for action, host, path in rules}
-    rule_files = ship_array(spark, list(actions), "rules")
-    site_files = ship_array(spark, blocked, "sites")
+    sites = blocked if isinstance(blocked, DataFrame) else spark.createDataFrame([(s,) for s in blocked], "site string")
+    site_files = ship_array(sites, "sites")
     path_lengths = sorted({len(path) for _, _, path in rules}, reverse=True)
-    labels = max([s.count(".") + 1 for s in [*blocked, *(host for _, host, _ in rules)]], default=1)
+    longest = sites.agg(F.max(F.size(F.split(F.col(sites.columns[0]).cast("string"), r"\."))).alias("n")).first().n or 1
+    labels = max([longest, *(host.count(".") + 1 for _, host, _ in rules)])
 
     host, path = host_and_path(F.col(url_column).cast("string"))
     wanted = pages.select(F.col(id_column).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rule_array, site_array = DigestArray.open(rule_files), DigestArray.open(site_files)
+        rule_array, site_array = DigestArray.build(list(actions)), DigestArray.open(site_files)
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             suffixes = {h: host_suffixes(h)[-labels:] for h in set(hosts)}

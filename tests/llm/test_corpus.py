@@ -776,6 +776,19 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.filter_urls(pages, rules=(), blocked=()).collect()} == {"allow"}
 
 
+def test_sites_from_a_table(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "PART", 20_000)  # many parts
+    sites = spark.range(100_000).select(F.concat(F.lit("site"), F.col("id") * 3, F.lit(".example")).alias("name"))
+    files = url_filter.ship_array(sites, "many")
+    array = url_filter.DigestArray.open(files)
+    assert len(files.parts) > 1 and len(array._keys) == 100_000 and (np.diff(array._keys) > 0).all()
+    found = array.contains([f"site{i}.example".encode() for i in range(3_000)])
+    assert found.tolist() == [i % 3 == 0 for i in range(3_000)]
+    pages = spark.createDataFrame([(i, f"http://a.site{i}.example/x") for i in range(30)], "page_id long, url string")
+    rows = collected(url_filter.filter_urls(pages, rules=(), blocked=sites), "page_id")
+    assert [rows[i].verdict == "block" for i in range(30)] == [i % 3 == 0 for i in range(30)]
+
+
 def test_digest_collisions(monkeypatch):
     monkeypatch.setattr(url_filter, "key_of", lambda value: len(value))
     array = url_filter.DigestArray.build(["aa", "bb", "ccc"])
