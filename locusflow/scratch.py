@@ -7,9 +7,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_scratch: dict[str, str] = {}
 
 
@@ -35,11 +40,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def shuffles_end_with_queries(spark: SparkSession) -> Iterator[None]:
+    """A stored result is read again from its table, so the shuffle files behind it needn't stay on the executors' disks."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialise(frame: DataFrame, label: str, **options: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back, which cuts its lineage."""
     spark = frame.sparkSession
     path = scratch_path(spark, label)
-    frame.write.options(**options).parquet(path)
+    with shuffles_end_with_queries(spark):
+        frame.write.options(**options).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
