@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, release, scratch_path, ship_package
+from .common import discard, materialise, scratch_path, ship_package, shuffles_end_with_queries
 
 #: Bytes up to which a stored frontier is broadcast.
 BROADCAST_BYTES = 16 * 1024 * 1024
@@ -275,7 +275,6 @@ def nn_descent(packed: DataFrame, width: int, s: GraphSettings = GraphSettings()
         fresh = after.agg(F.sum("taken").alias("n")).first().n or 0
         discard(graph)
         graph = after
-        release(packed.sparkSession)
         if fresh <= s.enough * n * s.degree:
             return graph
     raise RuntimeError("the neighbour graph doesn't settle")
@@ -306,7 +305,8 @@ def _bucketed(lists: DataFrame, packed: DataFrame, label: str) -> tuple[DataFram
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, label)
     name = os.path.basename(path).replace("-", "_")
-    made.repartition(buckets, "u").write.bucketBy(buckets, "u").option("path", path).format("parquet").saveAsTable(name)
+    with shuffles_end_with_queries(spark):
+        made.repartition(buckets, "u").write.bucketBy(buckets, "u").option("path", path).format("parquet").saveAsTable(name)
     return spark.table(name), name
 
 
@@ -406,7 +406,6 @@ def search_graph(graph: DataFrame, packed: DataFrame, width: int, queries: DataF
         discard(state)
         discard(frontier)
         state = after
-        release(spark)
     raise RuntimeError("the search doesn't end")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
@@ -13,23 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import discard, materialise, scratch_path, scratch_root
+from ..scratch import discard, materialise, scratch_path, scratch_root, shuffles_end_with_queries
 
 _shipped: set[str] = set()
 
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(32 * 1024 * 1024)
 
-__all__ = ["discard", "materialise", "release", "scratch_path", "scratch_root", "ship_package", "small", "bytes_in", "ascii_lower", "table"]
+__all__ = ["discard", "materialise", "shuffles_end_with_queries", "scratch_path", "scratch_root", "ship_package", "small", "bytes_in", "ascii_lower", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def release(spark: SparkSession) -> None:
-    """Let go the shuffle files of jobs whose results are stored: they stay until the driver drops its references."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Bytes up to which a checked table is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 24 * 1024 * 1024
 
