@@ -135,10 +135,8 @@ def exact_matches(docs: DataFrame, items: DataFrame, rarest: DataFrame, index: D
     by_item = F.struct("item_key", "item_id", "item_words", "origins")
     by_document = places.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(by_item).alias("places"))
     by_document = small(materialise(by_document, "places-by-document"), most)
-    text = F.col("text").cast("string")
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    held = _documents(docs)  # words are split below the join: above it, each use would split the text again
     joined = held.join(by_document, held.doc_id.eqNullSafe(F.col("d")) & (held.text_hash == F.col("h")), "left")
-    joined = joined.select("doc_id", "text_hash", words_of(F.col("text")).alias("words"), "places")
 
     def occurrences(p: Column) -> Column:
         """Positions in the document of the words of the item's windows that stand there."""
