@@ -16,7 +16,7 @@ from ..scratch import discard, materialise, scratch_path, scratch_root, shuffles
 
 _shipped: set[str] = set()
 
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(32 * 1024 * 1024)
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 * 1024 * 1024)
 
 __all__ = ["discard", "materialise", "shuffles_end_with_queries", "scratch_path", "scratch_root", "ship_package", "small", "bytes_in", "ascii_lower", "table"]
 

@@ -60,7 +60,7 @@ def budget_of(length: int, budgets: Sequence[tuple[int, int]] = BUDGETS) -> int:
     return max((edits for least, edits in budgets if length >= least), default=0)
 
 
-@lru_cache(maxsize=4_096)
+@lru_cache(maxsize=1_024)
 def _key_plan(n: int, budgets: tuple[tuple[int, int], ...]) -> tuple[int, list[tuple[int, int, int, int]]]:
     """How many index keys a line of length n has, and (start, end, seed, edits) of each key, those first; in bytes."""
     own = budget_of(n, budgets)
