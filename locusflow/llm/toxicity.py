@@ -4,7 +4,8 @@ learn() finds the lexicon on a bounded sample of labelled rows: words, and stems
 letters, that stand in many toxic texts and hardly any clean ones, more often than chance and
 after many different words; distinct texts count, so that copies don't vote twice. Each word of a text is looked up in the lexicon's trie: exactly, by
 stem, or by running the word's Levenshtein automaton (one edit, words of five letters or more)
-down the trie. Misspellings that clean training texts use as words of their own are exempt. A
+down the trie. A digit or one of * @ $ _ between letters hides a letter: such a word goes through the
+automaton as a whole. Misspellings that clean training texts use as words of their own are exempt. A
 window around each hit weighs it: less between quotation marks or near words of reporting, more
 near words that address the reader. A logistic curve fitted on the sample turns the summed
 evidence into a score from 0 to 1.
@@ -50,6 +51,7 @@ HELD_OUT_REMAINDER = 2
 CACHE_ENTRIES = 400_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+_MASK = re.compile(r"(?<=[^\W\d_])[0-9*@$_](?=[^\W\d_])")
 _QUOTES = "\"“”„«»‘’‹›"
 _REPORTING = frozenset("said says wrote quoted quote called calls according term word sagte schrieb dit écrit dijo escribió".split())
 _ADDRESS = frozenset("you your yours u ur du dich dein tu toi vous votre eres usted tú".split())
@@ -105,6 +107,7 @@ class ToxicModel:
 
     def __post_init__(self) -> None:
         self._trie = Trie({w: v for w, v in self.words.items() if len(w) >= FUZZY_LETTERS})
+        self._longest = max((len(w) for w in self.words), default=0)
         self._seen: dict[str, tuple[float, bool]] = {}
 
     def __getstate__(self) -> dict:
@@ -130,11 +133,27 @@ class ToxicModel:
         stem = max((self.stems[word[:n]] for n in STEMS if word[:n] in self.stems and len(word) >= n), default=0.0)
         if stem:
             return stem, False
-        if FUZZY_LETTERS <= len(word) <= 40 and word not in self.exempt:
-            near = self._trie.within_one_edit(word)
-            if near:
-                return FUZZY_FACTOR * near[1], True
-        return 0.0, False
+        near = self.weigh_misspelt(word)
+        return near, near > 0
+
+    def weigh_misspelt(self, word: str) -> float:
+        """The word's weight as a misspelling; one longer than every entry plus a letter is none."""
+        if not FUZZY_LETTERS <= len(word) <= self._longest + 1 or word in self.exempt:
+            return 0.0
+        near = self._trie.within_one_edit(word)
+        return FUZZY_FACTOR * near[1] if near else 0.0
+
+    def masked(self, low: str) -> Iterator[tuple[int, int]]:
+        """Start and end of the words with a hidden letter that are short enough for an entry."""
+        most = self._longest + 1
+        for found in _MASK.finditer(low):
+            start, end = found.span()
+            while start and end - start <= most and _is_letter(low[start - 1]):
+                start -= 1
+            while end < len(low) and end - start <= most and _is_letter(low[end]):
+                end += 1
+            if end - start <= most:
+                yield start, end
 
     def evidence(self, text: str | None) -> float:
         """Summed weights of the hits in a text, each under its context."""
@@ -143,12 +162,14 @@ class ToxicModel:
         low = text.lower()
         weigh = self.weigh
         hits = {w: v[0] for w in set(_WORD.findall(low)) if (v := weigh(w))[0]}
-        if not hits:
+        hidden = [(start, end, weight) for start, end in self.masked(low) if (weight := self.weigh_misspelt(low[start:end]))]
+        if not hits and not hidden:
             return 0.0
-        total = 0.0
+        total = sum(weight * context_factor(low, start, end) for start, end, weight in hidden)
+        inside = {at for start, end, _ in hidden for at in range(start, end)}  # runs of letters in them don't count again
         for found in _WORD.finditer(low):
             weight = hits.get(found.group())
-            if weight:
+            if weight and found.start() not in inside:
                 total += weight * context_factor(low, found.start(), found.end())
         return total
 
@@ -159,6 +180,10 @@ class ToxicModel:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, base + slope * math.log1p(self.evidence(text))))))
 
 
+def _is_letter(sign: str) -> bool:
+    return sign.isalnum() and not sign.isdecimal()
+
+
 def context_factor(low: str, start: int, end: int) -> float:
     """How much a hit counts: quotation and reporting lower it, address raises it."""
     before, after = low[max(0, start - WINDOW) : start], low[end : end + WINDOW]
@@ -246,7 +271,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicMo
         found: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found.update(w for w in set(_WORD.findall(text.lower())) if model.weigh(w)[1])
+                low = text.lower()
+                found.update(w for w in set(_WORD.findall(low)) if model.weigh(w)[1])
+                found.update(w for w in {low[start:end] for start, end in model.masked(low)} if model.weigh_misspelt(w))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
     clean_rows = once.where("y = 0")

@@ -746,6 +746,19 @@ def test_automaton():
         assert (found[0] if found else None) in near | ({None} if not near else set())
 
 
+def test_masked_and_long_words():
+    model = toxicity.ToxicModel({"scumbag": 1.0, "x" * 45: 2.0}, curve=(-2.0, 3.0))
+    plain = model.evidence("scumbag")
+    for text in ("sc*mbag", "scumb4g", "such a s_umbag.", "scu*bag", "scum$ag it"):
+        assert 0 < model.evidence(text) < plain, text
+    for text in ("sc**bag", "s*c*mbag", "*umbag*", "co2 level_one", "a_b" * 1000, "_" * 1000, "y" * 100_000 + "_umbag"):
+        assert model.evidence(text) == 0, text
+    assert model.evidence("s_cumbag") == model.evidence("cumbag") > 0  # once, though its end is a misspelling too
+    assert model.evidence("x" * 44) > 0 == model.evidence("x" * 47)
+    exempt = toxicity.ToxicModel({"scumbag": 1.0}, exempt=frozenset(["sc*mbag"]))
+    assert exempt.evidence("sc*mbag") == 0 < exempt.evidence("scu*bag")
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     rows = toxicity.toxicity(documents(spark, [None, "a"], [None, 1]), none).collect()
