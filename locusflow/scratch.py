@@ -27,7 +27,14 @@ def scratch_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if configured:
-        return f"{configured.rstrip('/')}/locusflow-{app}"
+        root = f"{configured.rstrip('/')}/locusflow-{app}"
+        if app not in _own_scratch:  # what is still there when the application ends goes with it
+            at = spark._jvm.org.apache.hadoop.fs.Path(root)
+            fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+            fs.mkdirs(at)
+            fs.deleteOnExit(at)
+            _own_scratch[app] = root
+        return root
     if app not in _own_scratch:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
