@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import discard, materialise, scratch_path, scratch_root, shuffles_end_with_queries
-
-_shipped: set[str] = set()
-
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 * 1024 * 1024)
+from ..shipping import ship_package
 
 __all__ = ["discard", "materialise", "shuffles_end_with_queries", "scratch_path", "scratch_root", "ship_package", "small", "bytes_in", "ascii_lower", "table"]
 
@@ -49,31 +40,6 @@ def small(frame: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(frame) if bytes_in(frame) <= most else frame
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, as --py-files would.
-
-    Where the session has no bound on the bytes of an Arrow batch, it gets one: very long texts
-    would else meet by the thousand.
-    """
-    if spark.conf.get(BATCH_SETTING, None) is None:
-        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="locusflow-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = os.path.join(folder, "locusflow.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-        for top, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(top, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
-
-
 def ascii_lower(column):
     """Lower-case A-Z and nothing else."""
     return F.translate(column, UPPER, LOWER)
