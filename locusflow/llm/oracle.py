@@ -108,10 +108,48 @@ SELECT doc_id, {shown}, sha256(coalesce(base, '')) AS base_sha256, coalesce(list
  coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(n_near, 0)::BIGINT AS n_near FROM d LEFT JOIN g USING (row_no)"""
 
 
+_WHOLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0"
+
+HARD_NEGATIVES = f"""WITH held AS (SELECT row_number() OVER () AS u, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+ list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_WHOLE}),
+scored AS (SELECT a.u AS au, a.vec_id AS anchor_id, a.label = b.label AS same, b.u, b.vec_id, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+ FROM held a JOIN held b ON a.u <> b.u WHERE a.vec_id % 100 = 0),
+positive AS (SELECT au, anchor_id, u AS pu, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY au ORDER BY score DESC, vec_id, u) <= 5),
+negative AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.au, p.pu ORDER BY s.score DESC, s.vec_id, s.u) AS rank
+ FROM positive p JOIN scored s ON p.au = s.au AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 5"""
+
+
+def _lloyd(rounds: int) -> str:
+    """Rounds of assigning all parts and averaging, each a pair of tables."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, p, any_value(v) AS v, min(CAST(list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c) AS BIGINT) * 256 + e) AS best
+ FROM parts JOIN b{k} USING (p) GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.c, o.c) AS c FROM b{k} o LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS c FROM
+ (SELECT p, best % 256 AS e, i, floor(sum(v[i]) / count(*)) AS c FROM a{k}, range(1, (SELECT w + 1 FROM width)) t(i) GROUP BY ALL) GROUP BY ALL) n USING (p, e))""")
+    return ",\n".join(steps)
+
+
+VECTOR_CODES = f"""WITH whole AS (SELECT vec_id, label, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)) AS x FROM embeddings WHERE {_WHOLE}),
+held AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS r, * FROM whole),
+width AS (SELECT len(any_value(x)) // 4 AS w FROM held),
+parts AS MATERIALIZED (SELECT r, p, x[p * w + 1 : (p + 1) * w] AS v FROM held, width, range(4) t(p)),
+b0 AS (SELECT p, r AS e, v AS c FROM parts WHERE r < 256),
+{_lloyd(4)},
+coded AS (SELECT r, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM a4 GROUP BY r),
+named AS (SELECT vec_id, label, code, error FROM held JOIN coded USING (r)),
+sums AS (SELECT label, sum(error)::BIGINT AS label_error FROM named GROUP BY label),
+books AS (SELECT sha256(string_agg(c[i]::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM b4, range(1, (SELECT w + 1 FROM width)) t(i))
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM named JOIN sums ON named.label IS NOT DISTINCT FROM sums.label CROSS JOIN books"""
+
 ORACLE_SQL: dict[str, str] = {
     # account numbers need look-around, which DuckDB's patterns lack: the test tables hold none
     "op2_pii": _pii(),
     "op3_decontamination": DECONTAMINATION,
     "op5_preference": PREFERENCE,
     "op10_url_filter": URL_FILTER,
+    "op11_hard_negatives": HARD_NEGATIVES,
+    "op12_vector_codes": VECTOR_CODES,
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, decontamination, line_dedup, packing, pii, preference, simhash, token_store, toxicity, url_filter
+from . import ann, decontamination, language_id, line_dedup, negatives, packing, pii, preference, simhash, token_store, toxicity, url_filter, vector_codes
 from .common import table
 from .oracle import ORACLE_SQL
 
@@ -60,10 +61,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.detect_languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_line_dedup, op2_pii, op3_decontamination, op4_token_output, op5_preference, op6_packing, op7_neighbours, op8_simhash, op9_toxicity, op10_url_filter)
+        for f in (op1_line_dedup, op2_pii, op3_decontamination, op4_token_output, op5_preference, op6_packing, op7_neighbours, op8_simhash, op9_toxicity, op10_url_filter, op11_hard_negatives, op12_vector_codes, op13_language)
     }
 
 
