@@ -7,12 +7,15 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import config
 
+#: Places of a list up to which they are broadcast.
+MOST_BROADCAST = 1_000_000
 INFO_TYPES = (T.StringType, T.FloatType, T.DoubleType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -86,18 +89,48 @@ class VariantFrame:
         """The first num_chunks chunks in input order."""
         return self.with_df(self.df.orderBy("var_id").limit(num_chunks * chunk_size))
 
-    def get_vars(self, condition) -> VariantFrame:
-        """Rows by a Column condition, a slice of var_id, or a list of var_id."""
-        if isinstance(condition, slice):
-            chosen = F.col("var_id") >= (condition.start or 0)
-            if condition.stop is not None:
-                chosen &= F.col("var_id") < condition.stop
-            if condition.step not in (None, 1):
-                chosen &= (F.col("var_id") - (condition.start or 0)) % condition.step == 0
-            condition = chosen
-        elif isinstance(condition, Sequence):
-            condition = F.col("var_id").isin([int(i) for i in condition])
-        return self.with_df(self.df.where(condition))
+    def get_vars(self, index) -> VariantFrame:
+        """Rows by a Column condition, or by place in the order of var_id: a slice, a mask, or a list of places.
+
+        Slices and negative places count as Python's do; a mask has a value for each row. Rows keep
+        their var_id, so a list's order and repeats leave no trace; a place beyond the rows is an
+        IndexError. Frames whose var_id is 0..n-1, as sources give them, need no numbering for it;
+        others (after a filter, say) are numbered by counts of ranges.
+        """
+        if isinstance(index, Column):
+            return self.with_df(self.df.where(index))
+        df, place, rows = self._placed()
+        if isinstance(index, slice):
+            chosen = range(rows)[index]
+            low, high = (min(chosen[0], chosen[-1]), max(chosen[0], chosen[-1])) if len(chosen) else (0, -1)
+            kept = df.where(place.between(low, high) & (F.pmod(place - low, F.lit(abs(chosen.step))) == 0))
+        else:
+            wanted = self._places(index, rows)
+            few = self.df.sparkSession.createDataFrame(pd.DataFrame({"wanted_place": wanted}), "wanted_place long")
+            kept = df.join(F.broadcast(few) if len(wanted) <= MOST_BROADCAST else few, place == F.col("wanted_place"), "left_semi")
+        return self.with_df(kept.select(*self.df.columns))
+
+    @staticmethod
+    def _places(index, rows: int) -> np.ndarray:
+        """Distinct places from 0 of a mask or a list, which is the caller's own and so fits here."""
+        given = np.asarray(index)
+        if given.ndim != 1 or (given.size and given.dtype != bool and not np.issubdtype(given.dtype, np.integer)):
+            raise TypeError("rows are chosen by a condition, a slice, a mask or a list of whole numbers")
+        if given.dtype == bool:
+            if len(given) != rows:
+                raise IndexError(f"the mask has {len(given)} values for {rows} rows")
+            return np.flatnonzero(given)
+        if given.size and (given.min() < -rows or given.max() >= rows):
+            raise IndexError(f"a place is outside of the {rows} rows")
+        return np.unique(np.where(given < 0, given + rows, given).astype(np.int64))
+
+    def _placed(self) -> tuple[DataFrame, Column, int]:
+        """The rows with their place in the order of var_id, and how many there are."""
+        found = self.df.agg(F.count(F.lit(1)).alias("n"), F.min("var_id").alias("low"), F.max("var_id").alias("high")).first()
+        if not found.n or (found.low == 0 and found.high == found.n - 1):
+            return self.df, F.col("var_id"), found.n
+        numbered = numbered_in_order(self.df, "var_id", "place_")
+        return numbered, F.col("place_"), found.n
 
     def sample_indexes(self, names: Sequence | slice) -> list[int]:
         """Indexes of the samples in their own order; unknown names are passed over."""
@@ -116,6 +149,21 @@ class VariantFrame:
         return {pop: [at[s] for s in pops[pop]] for pop in sorted(pops, key=str)}
 
 
+def numbered_in_order(df: DataFrame, by: str, name: str, width: int = 65_536) -> DataFrame:
+    """df with a column name: 0..n-1 in the order of by, a column of distinct numbers.
+
+    Rows are counted by stretches of width numbers; the counts' running sum, over a row a stretch,
+    says where each stretch begins, and rows are numbered within their own.
+    """
+    stretch = F.floor(F.col(by) / width)
+    counts = df.groupBy(stretch.alias("stretch_")).agg(F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(Window.orderBy("stretch_").rowsBetween(Window.unboundedPreceding, -1))  # two numbers a stretch
+    starts = counts.select("stretch_", F.coalesce(before, F.lit(0)).alias("before_"))
+    within = F.row_number().over(Window.partitionBy("stretch_").orderBy(by))
+    each = df.withColumn("stretch_", stretch).join(starts, "stretch_")
+    return each.withColumn(name, F.col("before_") + within - 1).drop("stretch_", "before_")
+
+
 def _info_type(values: list) -> T.DataType:
     held = [v for v in values if v is not None and v == v]
     if all(isinstance(v, str) for v in held):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def ratio(top: Column, bottom: Column) -> Column:
     return top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once a row: inside a lambda it would be evaluated for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def genotype(gts: Column, sample: Column, ploidy: int) -> Column:
     return F.slice(gts, sample * ploidy + 1, F.lit(ploidy))
 
@@ -52,12 +59,12 @@ def num_het(gts: Column, num_samples: int, ploidy: int) -> Column:
 
 def allele_counts(gts: Column) -> Column:
     """array of (allele, n), alleles in order, missing ones left out."""
-    called = F.filter(gts, lambda a: a != MISSING_ALLELE)
 
-    def counted(allele: Column) -> Column:
-        return F.struct(allele.alias("allele"), F.size(F.filter(called, lambda x: x == allele)).cast("long").alias("n"))
+    def counted(called: Column) -> Column:
+        each = lambda allele: F.struct(allele.alias("allele"), F.size(F.filter(called, lambda x: x == allele)).cast("long").alias("n"))
+        return F.transform(F.array_sort(F.array_distinct(called)), each)
 
-    return F.transform(F.array_sort(F.array_distinct(called)), counted)
+    return bound(F.filter(gts, lambda a: a != MISSING_ALLELE), counted)
 
 
 def major_allele(counts: Column) -> Column:
@@ -85,11 +92,14 @@ def coded_012(gts: Column, num_samples: int, ploidy: int, major: Column, keep_mi
     different from the major one.
     """
 
-    def code(gt: Column) -> Column:
-        other = F.size(F.filter(gt, lambda a: a != major))
-        return F.when(is_missing(gt), F.lit(-1)).otherwise(other) if keep_missing else other
+    def coded(known: Column) -> Column:
+        def code(gt: Column) -> Column:
+            other = F.size(F.filter(gt, lambda a: a != known))
+            return F.when(is_missing(gt), F.lit(-1)).otherwise(other) if keep_missing else other
+
+        return F.transform(genotypes(gts, num_samples, ploidy), code)
 
-    return F.transform(genotypes(gts, num_samples, ploidy), code)
+    return bound(major, coded)
 
 
 def pop_summaries(variants: VariantFrame, pops=None) -> DataFrame:

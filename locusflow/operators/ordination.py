@@ -18,11 +18,10 @@ from .dists import Distances, calc_pairwise_kosman_dists
 def create_012_gt_matrix(variants: VariantFrame, transform_to_biallelic: bool = False) -> DataFrame:
     """var_id and coded: alleles other than the variant's major one, missing alleles among them."""
     counts = G.allele_counts(F.col("gts"))
-    checks = variants.df.select(F.size(counts).alias("k"), F.transform(counts, lambda c: c["allele"]).alias("alleles"))
-    summed = checks.agg(F.min("k").alias("least"), F.max("k").alias("most"), F.array_distinct(F.flatten(F.collect_set("alleles"))).alias("seen")).first()
-    if summed.least == 0:
+    if not variants.df.where(F.size(counts) == 0).isEmpty():
         raise ValueError("there are variants without any called allele")
-    if not transform_to_biallelic and summed.seen is not None and len(summed.seen) > 2:
+    alleles = variants.df.select(F.explode(F.transform(counts, lambda c: c["allele"])).alias("allele")).distinct()
+    if not transform_to_biallelic and len(alleles.limit(3).collect()) > 2:
         raise ValueError("there are more than two alleles; ask for transform_to_biallelic")
     coded = G.coded_012(F.col("gts"), variants.num_samples, variants.ploidy, G.major_allele(counts), keep_missing=False)
     return variants.df.select("var_id", coded.alias("coded"))

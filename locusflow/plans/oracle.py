@@ -118,9 +118,14 @@ ORACLE_SQL: dict[str, str] = {
     "ld_max_dist": _LD_PREFIX + f"SELECT {_LD_COLUMNS} FROM moments a JOIN moments b ON a.var_id < b.var_id AND a.chrom = b.chrom AND abs(a.pos - b.pos) <= 2000",
     "ld_matrix": _LD_PREFIX + f"""SELECT a.var_id AS var_id1, b.var_id AS var_id2, CASE WHEN a.var_id = b.var_id AND 32e0 * a.ss - a.s * a.s > 0 THEN 1e0 ELSE {_R} END AS r2,
  CASE WHEN a.chrom = b.chrom THEN abs(a.pos - b.pos) END AS dist_in_bp FROM moments a CROSS JOIN moments b""",
+    "ld_matrix_rows": _LD_PREFIX + f"""SELECT a.var_id AS var_id1, b.var_id AS var_id2, CASE WHEN a.var_id = b.var_id AND 32e0 * a.ss - a.s * a.s > 0 THEN 1e0 ELSE {_R} END AS r2,
+ CASE WHEN a.chrom = b.chrom THEN abs(a.pos - b.pos) END AS dist_in_bp FROM moments a CROSS JOIN moments b WHERE a.var_id IN (3, 30, 300)""",
     "ld_per_pop_min_dist": _with(_GT, _TWO, _COUNTS, _POP_LD) + f"""SELECT a.pop, a.var_id AS var_id1, b.var_id AS var_id2, {_R.replace('32e0', '16e0')} AS r2, abs(a.pos - b.pos) AS dist_in_bp
  FROM moments a JOIN moments b ON a.pop = b.pop AND a.var_id < b.var_id AND a.chrom = b.chrom AND abs(a.pos - b.pos) <= 2000 AND abs(a.pos - b.pos) > 500
  WHERE (16e0 * a.ss - a.s * a.s) * (16e0 * b.ss - b.s * b.s) > 0""",
+    "ld_per_pop_sampled": _with(_GT, _TWO, _COUNTS, _POP_LD) + f"""SELECT pop, var_id1, var_id2, r2, dist_in_bp FROM (SELECT a.pop, a.var_id AS var_id1, b.var_id AS var_id2, {_R.replace('32e0', '16e0')} AS r2, abs(a.pos - b.pos) AS dist_in_bp
+ FROM moments a JOIN moments b ON a.pop = b.pop AND a.var_id <> b.var_id AND a.chrom = b.chrom AND abs(a.pos - b.pos) <= 2000 AND abs(a.pos - b.pos) > 1
+ WHERE (16e0 * a.ss - a.s * a.s) * (16e0 * b.ss - b.s * b.s) > 0) QUALIFY row_number() OVER (PARTITION BY pop ORDER BY md5(var_id1 || ':' || var_id2 || ':42'), var_id1, var_id2) <= 50""",
     "ld_filter": "WITH RECURSIVE " + ",\n".join([_GT, _ALL_MAJOR, _CODED, _MOMENTS]) + f""",
  kept AS MATERIALIZED (SELECT m.* FROM moments m JOIN majorallele USING (var_id) WHERE CAST(n AS DOUBLE) / total <= 0.95e0),
  nexts AS MATERIALIZED (SELECT a.var_id AS v, min(b.var_id) AS nxt FROM kept a JOIN kept b ON a.var_id < b.var_id WHERE

@@ -24,6 +24,7 @@ THREE_POPS = {f"q{k}": tuple(s for i, s in enumerate(SAMPLES) if i % 3 == k) for
 OVERLAPPING = {"o1": SAMPLES[:20], "o2": SAMPLES[12:]}
 MIN_SAMPLES, MAX_MAF, MAX_DIST, MIN_SNPS = 5, 0.65, 2_000, 455
 LOG_RANGE, SAMPLED = (-2.0, 0.0), 20
+MATRIX_ROWS = (3, 30, 300)
 
 
 def variants(spark: SparkSession, sf_dir: str) -> VariantFrame:
@@ -174,13 +175,19 @@ def ld_matrix(spark, d):
     return ld.calc_rogers_huff_r2_matrix(variants(spark, d)).withColumn("r2", F.round("r2", 6))
 
 
+def ld_matrix_rows(spark, d):
+    """Rows of the matrix on demand, against all variants: only tiles that hold them are opened."""
+    return ld.linkage_matrix(variants(spark, d), block=200).cells(rows=MATRIX_ROWS).withColumn("r2", F.round("r2", 6))
+
+
 def ld_per_pop_min_dist(spark, d):
     found = ld.get_ld_and_dist_for_pops(variants(spark, d), TWO_POPS, max_dist=MAX_DIST, min_dist=500, max_allowed_maf=0.8, max_num_measures_to_keep=None)
     return found.withColumn("r2", F.round("r2", 6))
 
 
 def ld_per_pop_sampled(spark, d):
-    return ld.get_ld_and_dist_for_pops(variants(spark, d), TWO_POPS, max_dist=MAX_DIST, method=LDCalcMethod.MATRIX, max_num_measures_to_keep=50)
+    found = ld.get_ld_and_dist_for_pops(variants(spark, d), TWO_POPS, max_dist=MAX_DIST, max_allowed_maf=0.8, method=LDCalcMethod.MATRIX, max_num_measures_to_keep=50)
+    return found.withColumn("r2", F.round("r2", 6))
 
 
 def ld_sample_sizes(spark, d):
@@ -329,7 +336,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         genotype_scan, genotype_long_filter_chrom, gt_missing_het, allele_counts_per_var, allele_freqs_per_pop, obs_het_per_var, obs_het_mean,
         obs_het_hist, major_allele_freq_per_pop, maf_mean, maf_hist, exp_het_per_var, unbiased_exp_het_per_var, exp_het_mean, exp_het_hist,
         poly_ratio_per_pop, per_sample_stats, filter_missing, filter_maf, filter_obs_het, filter_samples, filter_chain, filtering_stats,
-        limit_first_chunks, gt_012, gt_012_pca, ld_pairwise, ld_max_dist, ld_matrix, ld_per_pop_min_dist, ld_per_pop_sampled, ld_filter,
+        limit_first_chunks, gt_012, gt_012_pca, ld_pairwise, ld_max_dist, ld_matrix, ld_matrix_rows, ld_per_pop_min_dist, ld_per_pop_sampled, ld_filter,
         kosman_dists, kosman_min_snps, kosman_rect, jost_dest_per_var, jost_dest, obs_het_log_hist, ld_sample_sizes, euclidean_dists, dist_square_form, dist_triangle, pca_gram,
         pcoa_centered_matrix, pca_projections, pcoa_projections, pca_products, pcoa_products, pca_table_products, pca_princomps, vcf_scan,
         native_round_trip, kosman_embedding, map_reduce_missing,

@@ -333,3 +333,58 @@ DATA = "/root/testdata/sf0.001"
 def test_ld_per_pop_min_dist_has_no_limit(spark):
     plan = genetics_queries.ld_per_pop_min_dist(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan and "Sort" not in plan
+
+
+def test_rows_by_place(spark):
+    held = frame(spark, np.random.default_rng(1).integers(0, 3, (10, 4, 2)))
+    ids = lambda f: [r.var_id for r in f.df.orderBy("var_id").collect()]
+    every = list(range(10))
+    mask = [i > 6 for i in every]
+    assert ids(held.get_vars(mask)) == ids(held.get_vars(np.array(mask))) == [7, 8, 9]
+    assert ids(held.get_vars(np.array([-1, 2, 2]))) == [2, 9]
+    for cut in (slice(-3, None), slice(None, None, -3), slice(8, 2, -2), slice(2, -2, 3), slice(5, 5), slice(20, None)):
+        assert ids(held.get_vars(cut)) == sorted(every[cut]), cut
+    sparse = held.get_vars(F.col("var_id").isin(1, 4, 6, 9))
+    assert ids(sparse.get_vars(slice(-2, None))) == [6, 9] and ids(sparse.get_vars([0, -1])) == [1, 9]
+    far = held.with_df(held.df.withColumn("var_id", F.col("var_id") * 2**33 + 5))
+    assert ids(far.get_vars([False] * 8 + [True] * 2)) == [8 * 2**33 + 5, 9 * 2**33 + 5]
+    assert held.get_vars([]).df.count() == 0 and held.get_vars(slice(0, 3)).df.columns == held.df.columns
+    with pytest.raises(IndexError):
+        held.get_vars([10])
+    with pytest.raises(IndexError):
+        held.get_vars([True])
+    with pytest.raises(TypeError):
+        held.get_vars([1.5])
+
+
+def test_matrix_cells_on_demand(spark):
+    gts = np.random.default_rng(2).integers(0, 2, (9, 12, 2))
+    held = frame(spark, gts, vars_info={"chrom": ["a"] * 5 + ["b"] * 4, "pos": [10 * i for i in range(9)]})
+    matrix = ld.linkage_matrix(held, None, block=2)
+    assert matrix.tiles.where("a > b").isEmpty() and matrix.tiles.count() > 3
+    whole = {(r.var_id1, r.var_id2): (r.r2, r.dist_in_bp) for r in matrix.cells().collect()}
+    assert len(whole) == 81
+    x = (gts != 0).sum(axis=2)
+    major = [0 if (g == 0).sum() >= (g == 1).sum() else 1 for g in gts]
+    x = np.array([(g != m).sum(axis=1) for g, m in zip(gts, major, strict=True)])
+    wanted = np.corrcoef(x)
+    for (i, j), (r, gap) in whole.items():
+        assert abs(r - wanted[i, j]) < 1e-9
+        assert gap == (abs(i - j) * 10 if (i < 5) == (j < 5) else None)
+    some = {(r.var_id1, r.var_id2): (r.r2, r.dist_in_bp) for r in matrix.cells(rows=[7, 1], columns=[1, 2, 8]).collect()}
+    assert some == {k: v for k, v in whole.items() if k[0] in (1, 7) and k[1] in (1, 2, 8)}
+    near = {(r.var_id1, r.var_id2): (r.r2, r.dist_in_bp) for r in ld.calc_rogers_huff_r2_matrix(held, 20, None).collect()}
+    assert near == {k: v for k, v in whole.items() if v[1] is not None and v[1] <= 20}
+
+
+def test_sample_is_of_lowest_digests(spark):
+    import hashlib
+
+    gts = np.random.default_rng(4).integers(0, 2, (12, 10, 2))
+    held = frame(spark, gts, samples=[f"s{i}" for i in range(10)], vars_info={"chrom": ["a"] * 12, "pos": [5 * i for i in range(12)]})
+    pops = {"x": [f"s{i}" for i in range(6)], "y": [f"s{i}" for i in range(4, 10)]}
+    every = ld.get_ld_and_dist_for_pops(held, pops, max_num_measures_to_keep=None).collect()
+    few = ld.get_ld_and_dist_for_pops(held, pops, max_num_measures_to_keep=7)
+    order = lambda r: hashlib.md5(f"{r.var_id1}:{r.var_id2}:42".encode()).hexdigest()
+    wanted = {p: sorted((r for r in every if r["pop"] == p), key=order)[:7] for p in pops}
+    assert {p: sorted((r for r in few.collect() if r["pop"] == p), key=order) for p in pops} == wanted
