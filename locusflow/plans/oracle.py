@@ -153,7 +153,9 @@ ORACLE_SQL: dict[str, str] = {
     "ld_sample_sizes": _with(_GT, _TWO, _COUNTS, _POP_LD.replace("0.8e0", "0.95e0")) + """SELECT a.pop, least(count(*), 20)::BIGINT AS n, 0::BIGINT AS n_far
  FROM moments a JOIN moments b ON a.pop = b.pop AND a.var_id < b.var_id AND a.chrom = b.chrom AND abs(a.pos - b.pos) <= 300
  WHERE (16e0 * a.ss - a.s * a.s) * (16e0 * b.ss - b.s * b.s) > 0 GROUP BY 1""",
-    "vcf_scan": _with(_GT) + """SELECT chrom, pos, 'v' || var_id AS id, CASE WHEN var_id % 5 <> 0 THEN (var_id % 50)::DOUBLE END AS qual, 'A,C,GT' AS alleles,
+    "vcf_scan": _with(_GT) + """SELECT var_id, chrom, pos, 'v' || var_id AS id, CASE WHEN var_id % 5 <> 0 THEN (var_id % 50)::DOUBLE END AS qual, 'A,C,GT' AS alleles,
+ string_agg((CASE WHEN var_id % 4 = 1 AND i = 1 THEN -1 ELSE allele END)::VARCHAR, ',' ORDER BY i) AS gts FROM gt GROUP BY ALL""",
+    "vcf_bgzip_scan": _with(_GT) + """SELECT var_id, chrom, pos, 'v' || var_id AS id, CASE WHEN var_id % 5 <> 0 THEN (var_id % 50)::DOUBLE END AS qual, 'A,C,GT' AS alleles,
  string_agg((CASE WHEN var_id % 4 = 1 AND i = 1 THEN -1 ELSE allele END)::VARCHAR, ',' ORDER BY i) AS gts FROM gt GROUP BY ALL""",
     "native_round_trip": _with(_GT) + "SELECT var_id, chrom, pos, string_agg(allele::VARCHAR, ',' ORDER BY i) AS gts FROM gt GROUP BY ALL",
     "pcoa_centered_matrix": _with(_GT, _GENO, _TRIANGLE, _SQUARE) + """, e AS (SELECT i, j, -dist * dist / 2 AS e FROM square)

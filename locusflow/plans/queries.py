@@ -15,7 +15,7 @@ from ..functions import genotypes as G
 from ..operators import dists, filters, ld, ordination, stats
 from ..operators.pipeline import Pipeline
 from ..scratch import scratch_path
-from ..sources import native, vcf
+from ..sources import native, vcf, vcf_format
 
 NUM_SAMPLES, PLOIDY = 32, 2
 SAMPLES = tuple(f"s{i}" for i in range(NUM_SAMPLES))
@@ -298,18 +298,32 @@ def _vcf_lines(held: VariantFrame) -> DataFrame:
     return held.df.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), *names, quality, F.lit("PASS"), F.lit("."), F.when(even, "GT:DP").otherwise("DP:GT"), *fields).alias("value"))
 
 
-def vcf_scan(spark, d):
-    """The variants written as VCF parts and read back."""
-    path = scratch_path(spark, "variants-vcf")
-    header = "##fileformat=VCFv4.5\n" + "\t".join([*vcf.COLUMNS, *SAMPLES])
-    head = spark.createDataFrame([(header,)], "value string").coalesce(1)
-    head.unionAll(_vcf_lines(variants(spark, d))).write.text(path)
-    held = vcf.vars_from_vcf(spark, path)
+def _vcf_columns(held: VariantFrame) -> DataFrame:
     return held.df.select(
-        "chrom", "pos", "id", "qual", F.array_join("alleles", ",").alias("alleles"), F.array_join(F.transform("gts", lambda a: a.cast("string")), ",").alias("gts")
+        "var_id", "chrom", "pos", "id", "qual", F.array_join("alleles", ",").alias("alleles"), F.array_join(F.transform("gts", lambda a: a.cast("string")), ",").alias("gts")
     )
 
 
+def _vcf_header(spark: SparkSession) -> DataFrame:
+    header = "##fileformat=VCFv4.5\n" + "\t".join([*vcf.COLUMNS, *SAMPLES])
+    return spark.createDataFrame([(header,)], "value string").coalesce(1)
+
+
+def vcf_scan(spark, d):
+    """The variants written as VCF parts and read back; var_id is the record's place."""
+    path = scratch_path(spark, "variants-vcf")
+    _vcf_header(spark).unionAll(_vcf_lines(variants(spark, d))).write.text(path)
+    return _vcf_columns(vcf.vars_from_vcf(spark, path))
+
+
+def vcf_bgzip_scan(spark, d):
+    """The same from files of bgzip blocks, read in small splits by the data source."""
+    path = scratch_path(spark, "variants-bgzip")
+    text = _vcf_header(spark).unionAll(_vcf_lines(variants(spark, d)))
+    vcf_format.write_bgzip(text, path, block_bytes=4_096)
+    return _vcf_columns(vcf.vars_from_vcf(spark, path, split_bytes=8_192))
+
+
 def native_round_trip(spark, d):
     path = scratch_path(spark, "variants-native")
     native.write_vars(variants(spark, d), path)
@@ -338,7 +352,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         poly_ratio_per_pop, per_sample_stats, filter_missing, filter_maf, filter_obs_het, filter_samples, filter_chain, filtering_stats,
         limit_first_chunks, gt_012, gt_012_pca, ld_pairwise, ld_max_dist, ld_matrix, ld_matrix_rows, ld_per_pop_min_dist, ld_per_pop_sampled, ld_filter,
         kosman_dists, kosman_min_snps, kosman_rect, jost_dest_per_var, jost_dest, obs_het_log_hist, ld_sample_sizes, euclidean_dists, dist_square_form, dist_triangle, pca_gram,
-        pcoa_centered_matrix, pca_projections, pcoa_projections, pca_products, pcoa_products, pca_table_products, pca_princomps, vcf_scan,
+        pcoa_centered_matrix, pca_projections, pcoa_projections, pca_products, pcoa_products, pca_table_products, pca_princomps, vcf_scan, vcf_bgzip_scan,
         native_round_trip, kosman_embedding, map_reduce_missing,
     )
 }

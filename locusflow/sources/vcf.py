@@ -2,11 +2,16 @@
 
 The driver reads the header and the first record from the head of the file; records are split and
 parsed by column expressions. Compressed files are recognised by their first bytes, whatever their
-name. Spark's text reader goes by the name, so a file that is compressed but not named .gz is
-copied, as a stream, to one with that name in the folder for scratch tables.
+name. bgzip files that pyarrow can open go through the data source in vcf_format, which splits
+them; all others through Spark's text reader, in any store that Spark reads. That goes by the name, so a file that
+is compressed but not named .gz is copied, as a stream, to one with that name in the folder for
+scratch tables.
 
 A path may also be a folder of parts, as a Spark job writes them: the first by name begins with the
-header, and var_id follows the order of lines within each part.
+header. var_id is 0..n-1 in the order of files by name and of lines: records are counted by split
+in a pass of its own, when the frame is made, the counts' running sum says where each split
+begins, and records are numbered within it. A later reading whose splits are others (for a setting of
+the session that has changed since) is an error.
 
 Each sample has as many slots as the ploidy, which is the largest among the calls of the first
 record. A call with fewer alleles is filled up with missing ones, so that later samples keep their places;
@@ -20,17 +25,24 @@ import io
 import zlib
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import MISSING_ALLELE
 from ..frame import VariantFrame
-from ..scratch import scratch_path
+from ..scratch import materialise, scratch_path
+from . import vcf_format
 
 #: Fixed columns of the format.
 COLUMNS = ("#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
 
 
+#: Splits up to which the numbers that they begin at are broadcast.
+MOST_SPLITS = 500_000
+
+
 class VCFKind(Enum):
     VCF = "vcf"
     GZIP = "gzip"
@@ -86,23 +98,61 @@ def _named_gz(spark: SparkSession, path: str) -> str:
 
 
 def read_lines(spark: SparkSession, path: str, kind: VCFKind) -> DataFrame:
-    """value (line) and line_no, which follows the file's order."""
+    """value (line) of each record, with file and split (where its split of the file begins), in the file's order within a split."""
     if kind is VCFKind.GZIP and _files(spark, path) == [path] and not path.endswith((".gz", ".bgz")):
         path = _named_gz(spark, path)
-    # ids rise with the partition, and partitions of one file are in its order
-    return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    return lines.where(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
+
+
+def _starts(counted: DataFrame, *order: str) -> DataFrame:
+    """counted (n, a row a split) with before, the records of the splits that come first; stored."""
+    before = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))  # a few numbers a split
+    return materialise(counted.withColumn("before", F.coalesce(before, F.lit(0))), "vcf-splits")
+
+
+def _join_starts(records: DataFrame, starts: DataFrame, key: str, nth: Column) -> DataFrame:
+    """records with var_id, from their number within the split."""
+    side = F.broadcast(starts) if starts.count() <= MOST_SPLITS else starts
+    checked = F.when(nth.between(0, F.col("n") - 1), F.col("before") + nth).otherwise(F.raise_error(F.lit("the file's splits aren't those that were counted")).cast("long"))
+    return records.join(side, key, "left").withColumn("var_id", checked)
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """var_id and f, the fields, of read_lines' records."""
+    # ids rise by one from record to record within a split
+    held = lines.select("value", "file", "split", F.xxhash64("file", "split").alias("of"), F.monotonically_increasing_id().alias("id"))
+    counted = held.groupBy("file", "split", "of").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    starts = _starts(counted, "file", "split").drop("file", "split")
+    return _join_starts(held.drop("file", "split"), starts, "of", F.col("id") - F.col("first")).select("var_id", _fields(F.col("value")).alias("f"))
+
+
+def numbered_calls(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+    """var_id, chrom, pos, id, ref, alt, qual, format and calls, by the data source."""
+    vcf_format.register(spark)
+    read = lambda schema: spark.read.format("vcf").schema(schema).options(**({"splitBytes": str(split_bytes)} if split_bytes else {})).load(path)
+    counted = read("part int").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    records = read("part int, nth long, chrom string, pos long, id string, ref string, alt string, qual double, format string, calls array<string>")
+    return _join_starts(records, _starts(counted, "part"), "part", F.col("nth"))
 
 
 def _fields(line: Column) -> Column:
     return F.split(F.rtrim(line), "\t")
 
 
-def parse_records(lines: DataFrame, num_samples: int, ploidy: int) -> DataFrame:
-    """Records as rows: line_no, chrom, pos, id, qual, alleles, gts."""
-    rows = lines.where(~F.startswith("value", F.lit("#")) & (F.length("value") > 0)).select("line_no", _fields(F.col("value")).alias("f"))
+def fields_as_columns(rows: DataFrame) -> DataFrame:
+    """The fields f of text records under the data source's names."""
     field = lambda k: F.get("f", F.lit(k))
     known = lambda c: F.when(c != ".", c)
-    rows = rows.withColumn("gt_at", F.array_position(F.split(field(8), ":"), "GT"))
+    return rows.select(
+        "var_id", field(0).alias("chrom"), field(1).cast("long").alias("pos"), field(2).alias("id"), field(3).alias("ref"), field(4).alias("alt"),
+        known(field(5)).cast("double").alias("qual"), field(8).alias("format"), F.slice("f", 10, 2**31 - 1).alias("calls"),
+    )
+
+
+def parse_records(records: DataFrame, num_samples: int, ploidy: int) -> DataFrame:
+    """Variants as rows: var_id, chrom, pos, id, qual, alleles, gts."""
+    rows = records.withColumn("gt_at", F.array_position(F.split("format", ":"), "GT"))
     all_missing = F.array_repeat(F.lit(MISSING_ALLELE), ploidy)
     absent = F.array_repeat(F.lit("."), num_samples)
 
@@ -115,13 +165,9 @@ def parse_records(lines: DataFrame, num_samples: int, ploidy: int) -> DataFrame:
         return F.when(gt.isNull() | (gt == "."), all_missing).when(F.size(parts) > ploidy, too_many).otherwise(filled)
 
     return rows.select(
-        "line_no",
-        field(0).alias("chrom"),
-        field(1).cast("long").alias("pos"),
-        known(field(2)).alias("id"),
-        known(field(5)).cast("double").alias("qual"),
-        F.when(field(4) == ".", F.array(field(3))).otherwise(F.concat(F.array(field(3)), F.split(field(4), ","))).alias("alleles"),
-        F.flatten(F.transform(F.slice(F.concat("f", absent), 10, num_samples), alleles_of)).alias("gts"),
+        "var_id", "chrom", "pos", F.when(F.col("id") != ".", F.col("id")).alias("id"), "qual",
+        F.when(F.col("alt") == ".", F.array("ref")).otherwise(F.concat(F.array("ref"), F.split("alt", ","))).alias("alleles"),
+        F.flatten(F.transform(F.slice(F.concat("calls", absent), 1, num_samples), alleles_of)).alias("gts"),
     )
 
 
@@ -166,9 +212,23 @@ def read_metadata(spark: SparkSession, path: str, kind: VCFKind) -> tuple[tuple[
     return tuple(names[9:]), ploidy
 
 
-def vars_from_vcf(spark: SparkSession, path: str) -> VariantFrame:
-    """Variants of a VCF file, var_id in the file's order."""
+def _splits_as_bgzip(spark: SparkSession, path: str) -> bool:
+    """Whether the first file is of bgzip blocks that pyarrow can open."""
+    if not vcf_format.member_size(_head(spark, path, 18), 0):
+        return False
+    try:
+        store, at = vcf_format.open_store(path)
+        return store.get_file_info(at).type != fs.FileType.NotFound
+    except (pa.ArrowInvalid, OSError):
+        return False
+
+
+def vars_from_vcf(spark: SparkSession, path: str, split_bytes: int | None = None) -> VariantFrame:
+    """Variants of a VCF file or folder, var_id in its order; split_bytes are those of a task's part of a bgzip file."""
     kind = guess_kind(spark, path)
     samples, ploidy = read_metadata(spark, path, kind)
-    lines = read_lines(spark, path, kind)
-    return VariantFrame(parse_records(lines, len(samples), ploidy).withColumnRenamed("line_no", "var_id"), samples, ploidy)
+    if kind is VCFKind.GZIP and _splits_as_bgzip(spark, path):
+        records = numbered_calls(spark, path, split_bytes)
+    else:
+        records = fields_as_columns(numbered_lines(read_lines(spark, path, kind)))
+    return VariantFrame(parse_records(records, len(samples), ploidy), samples, ploidy)

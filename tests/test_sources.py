@@ -3,16 +3,19 @@ import gzip
 import numpy as np
 import pytest
 
+from pyspark.sql.types import StructType
+
 from locusflow.frame import VariantFrame
 from locusflow.operators import stats
+from locusflow.sources import vcf_format
 from locusflow.sources.native import load_vars, write_vars
 from locusflow.sources.vcf import VCFKind, guess_kind, vars_from_vcf
 from locusflow.streaming.drops import process_drops
 
 HEAD = "##fileformat=VCFv4.5\n##source=made up\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tn1\tn2\tn3\n"
 ROWS = [
-    "20\t14370\trs1\tG\tA\t29\tPASS\tNS=3\tGT:GQ\t0|0:48\t3|4:48\t5/6000:43",
-    "20\t17330\t.\tT\tA\t.\tq10\tNS=3\tGT:GQ\t.|0:49\t0|1:3\t0/0:41",
+    "7\t1201\tk1\tC\tT\t41\tPASS\tDP=9\tGT:GQ\t1|0:12\t2|7:9\t0/300:7",
+    "7\t1350\t.\tA\tG\t.\tlow\tDP=4\tGT:GQ\t0|.:5\t1|1:8\t0/0:6",
     "21\t5\tx\tT\t.\t3.5\tPASS\tNS=3\tDP:GT\t7:0/0\t8:.\t9:./.",
     "21\t9\t.\tAC\tG,GTCT\t50\tPASS\t.\tGT\t0/1\t0/2\t./.",
 ]
@@ -31,9 +34,10 @@ def test_vcf(spark, tmp_path, name, zipped):
     held = vars_from_vcf(spark, path)
     assert held.samples == ("n1", "n2", "n3") and held.ploidy == 2
     rows = held.df.orderBy("var_id").collect()
-    assert [r.gts for r in rows] == [[0, 0, 3, 4, 5, 6000], [-1, 0, 0, 1, 0, 0], [0, 0, -1, -1, -1, -1], [0, 1, 0, 2, -1, -1]]
-    assert [(r.chrom, r.pos, r.id, r.qual) for r in rows] == [("20", 14370, "rs1", 29.0), ("20", 17330, None, None), ("21", 5, "x", 3.5), ("21", 9, None, 50.0)]
-    assert [r.alleles for r in rows] == [["G", "A"], ["T", "A"], ["T"], ["AC", "G", "GTCT"]]
+    assert [r.var_id for r in rows] == [0, 1, 2, 3]
+    assert [r.gts for r in rows] == [[1, 0, 2, 7, 0, 300], [0, -1, 1, 1, 0, 0], [0, 0, -1, -1, -1, -1], [0, 1, 0, 2, -1, -1]]
+    assert [(r.chrom, r.pos, r.id, r.qual) for r in rows] == [("7", 1201, "k1", 41.0), ("7", 1350, None, None), ("21", 5, "x", 3.5), ("21", 9, None, 50.0)]
+    assert [r.alleles for r in rows] == [["C", "T"], ["A", "G"], ["T"], ["AC", "G", "GTCT"]]
 
 
 def test_calls_of_fewer_alleles_keep_the_places_of_later_samples(spark, tmp_path):
@@ -81,3 +85,79 @@ def test_drops(spark, tmp_path):
     held.df.where("var_id < 2").write.mode("append").parquet(folder)
     assert run() == 2
     assert spark.read.parquet(out).count() == 8
+
+
+def made_up(n, start=0):
+    rng = np.random.default_rng(start)
+    calls = rng.choice([".", "0/0", "0/1", "1|1", "1/2"], (n, 3))
+    return [f"c{i // 40}\t{10 * i}\tv{i}\tA\tC,G\t{i % 50}\tPASS\t{'x' * int(rng.integers(0, 90))}\tGT\t" + "\t".join(row) for i, row in enumerate(calls.tolist(), start)]
+
+
+def bgzip(text, size):
+    data = text.encode()
+    return b"".join(vcf_format.member(data[k : k + size]) for k in range(0, len(data), size)) + vcf_format.CLOSING
+
+
+@pytest.mark.parametrize(("block", "split"), [(700, 500), (65_000, 1_000), (333, 40), (2_000, 10**9), (41, 97)])
+def test_bgzip_in_splits(spark, tmp_path, block, split):
+    lines = made_up(120)
+    plain = vars_from_vcf(spark, write(tmp_path / "plain.vcf", HEAD + "\n".join(lines) + "\n")).df.orderBy("var_id").collect()
+    assert [(r.var_id, r.id) for r in plain] == [(i, f"v{i}") for i in range(120)]
+    (tmp_path / "zipped").write_bytes(bgzip(HEAD + "\n".join(lines) + "\n", block))
+    held = vars_from_vcf(spark, str(tmp_path / "zipped"), split_bytes=split)
+    assert held.df.orderBy("var_id").collect() == plain
+    vcf_format.register(spark)
+    raw = spark.read.format("vcf").schema("part int, id string").option("splitBytes", split).load(str(tmp_path / "zipped"))
+    assert raw.rdd.getNumPartitions() == -(-(tmp_path / "zipped").stat().st_size // split)
+    if (block, split) == (700, 500):
+        assert raw.select("part").distinct().count() > 3  # several tasks have lines
+
+
+@pytest.mark.parametrize("split", [1, 7, 64, 5_000])
+def test_plain_lines_have_one_owner(tmp_path, split):
+    text = "#h\n\na\tb\n" + "long" * 40 + "\tz\n\n" + "\n".join(f"r{i}\t{i}" for i in range(30))
+    path = write(tmp_path / "x.vcf", text)
+    reader = vcf_format.VcfReader(StructType.fromDDL("part int, nth long, chrom string"), {"path": path, "splitBytes": str(split)})
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    found = [x for b in batches for x in b.column("chrom").to_pylist()]
+    assert found == ["a", "long" * 40, *(f"r{i}" for i in range(30))]
+    places = [(p, n) for b in batches for p, n in zip(b.column("part").to_pylist(), b.column("nth").to_pylist(), strict=True)]
+    assert places == sorted(set(places))
+
+
+def test_folder_is_numbered_by_name(spark, tmp_path):
+    """Spark deals large files first; ids follow the names."""
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    lines = made_up(300)
+    for name, own in (("a", [HEAD.rstrip()] + lines[:5]), ("b", lines[5:290]), ("c", lines[290:292]), ("d", []), ("e", lines[292:])):
+        write(folder / name, "".join(x + "\n" for x in own))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        held = vars_from_vcf(spark, str(folder))
+        assert held.df.rdd.getNumPartitions() > 3
+        assert [(r.var_id, r.id) for r in held.df.orderBy("var_id").collect()] == [(i, f"v{i}") for i in range(300)]
+        assert [r.id for r in held.get_vars(slice(-2, None)).df.orderBy("var_id").collect()] == ["v298", "v299"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(Exception, match="splits"):
+        held.df.select("*").collect()  # planned anew
+
+
+def test_format_reads_what_is_asked_for(spark, tmp_path):
+    path = write(tmp_path / "a.vcf.gz", HEAD + "\n".join(ROWS) + "\n", True)
+    vcf_format.register(spark)
+    rows = spark.read.format("vcf").load(path).orderBy("nth").collect()
+    assert [(r.chrom, r.pos, r.ref, r.alt, r.qual, r.filter, r.calls) for r in rows][:2] == [
+        ("7", 1201, "C", "T", 41.0, "PASS", ["1|0:12", "2|7:9", "0/300:7"]), ("7", 1350, "A", "G", None, "low", ["0|.:5", "1|1:8", "0/0:6"])
+    ]
+    assert [r.pos for r in spark.read.format("vcf").schema("pos long").load(path).collect()] == [1201, 1350, 5, 9]
+    with pytest.raises(Exception, match="no columns"):
+        spark.read.format("vcf").schema("nothing string").load(path).collect()
+
+
+def test_written_bgzip_reads_back(spark, tmp_path):
+    lines = spark.createDataFrame([(x,) for x in [*HEAD.strip().split("\n"), *made_up(50)]], "value string").coalesce(1)
+    vcf_format.write_bgzip(lines, str(tmp_path / "out"), block_bytes=300)
+    held = vars_from_vcf(spark, str(tmp_path / "out"), split_bytes=400)
+    assert [(r.var_id, r.id) for r in held.df.orderBy("var_id").collect()] == [(i, f"v{i}") for i in range(50)]
