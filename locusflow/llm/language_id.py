@@ -224,14 +224,16 @@ def fit(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Langua
     raw = LanguageModel(names, words, bit_weights(counts, words).astype(np.float32), np.ones(bits), np.zeros(bits), np.ones(bits))
     if not bits:
         return raw
-    sample = labelled.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text", "lang").limit(calibration_rows)
+    digest = F.xxhash64("doc_id", "text")
+    least = labelled.select(digest.alias("h")).orderBy("h").limit(calibration_rows).agg(F.max("h").alias("h")).first().h  # numbers travel, no texts
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             evidence, n = raw.evidence(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n), pa.array(evidence.tolist(), pa.list_(pa.float64()))], ["lang", "n", "evidence"])
 
-    rows = sample.select("text", "lang").mapInArrow(measure, "lang string, n long, evidence array<double>").where("n > 0").collect()
+    measured = labelled.where(digest <= F.lit(least)).select("text", "lang").mapInArrow(measure, "lang string, n long, evidence array<double>")
+    rows = measured.where("n > 0").limit(calibration_rows).collect()  # repeated rows share a digest
     evidence = np.array([r.evidence for r in rows]).reshape(len(rows), bits)
     own = words[[at[r.lang] for r in rows]]
     slope, offset, trust = (np.array(c) for c in zip(*(fit_bit(evidence[:, k], own[:, k]) for k in range(bits)), strict=True))
