@@ -99,7 +99,7 @@ def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 rolled = rolled[:-1] * np.uint64(1_000_003) + codes[n - 1 :]
                 inside = np.ones(len(rolled), bool) if n == 2 else inside[:-1] & letter[n - 2 : -1]
                 valid, of = inside, owner[1 : 1 + len(rolled)]
-            held = rolled[valid] + np.uint64(n)
+            held = rolled[valid] + np.uint64(n * 0xD1342543DE82EF95 % 2**64)
             held = (held ^ (held >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
             yield of[valid], (held >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
