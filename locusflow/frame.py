@@ -99,7 +99,7 @@ class VariantFrame:
         """
         if isinstance(index, Column):
             return self.with_df(self.df.where(index))
-        df, place, rows = self._placed()
+        df, place, rows = self.with_place()
         if isinstance(index, slice):
             chosen = range(rows)[index]
             low, high = (min(chosen[0], chosen[-1]), max(chosen[0], chosen[-1])) if len(chosen) else (0, -1)
@@ -124,7 +124,7 @@ class VariantFrame:
             raise IndexError(f"a place is outside of the {rows} rows")
         return np.unique(np.where(given < 0, given + rows, given).astype(np.int64))
 
-    def _placed(self) -> tuple[DataFrame, Column, int]:
+    def with_place(self) -> tuple[DataFrame, Column, int]:
         """The rows with their place in the order of var_id, and how many there are."""
         found = self.df.agg(F.count(F.lit(1)).alias("n"), F.min("var_id").alias("low"), F.max("var_id").alias("high")).first()
         if not found.n or (found.low == 0 and found.high == found.n - 1):

@@ -158,6 +158,9 @@ ORACLE_SQL: dict[str, str] = {
     "vcf_bgzip_scan": _with(_GT) + """SELECT var_id, chrom, pos, 'v' || var_id AS id, CASE WHEN var_id % 5 <> 0 THEN (var_id % 50)::DOUBLE END AS qual, 'A,C,GT' AS alleles,
  string_agg((CASE WHEN var_id % 4 = 1 AND i = 1 THEN -1 ELSE allele END)::VARCHAR, ',' ORDER BY i) AS gts FROM gt GROUP BY ALL""",
     "native_round_trip": _with(_GT) + "SELECT var_id, chrom, pos, string_agg(allele::VARCHAR, ',' ORDER BY i) AS gts FROM gt GROUP BY ALL",
+    "array_folder_round_trip": _with(_GT) + "SELECT var_id, chrom, pos, string_agg(allele::VARCHAR, ',' ORDER BY i) AS gts FROM gt GROUP BY ALL",
+    "native_region": _with(_GT) + "SELECT var_id, chrom, pos, string_agg(allele::VARCHAR, ',' ORDER BY i) AS gts FROM gt WHERE chrom = 'chr3' AND pos BETWEEN 5001 AND 30001 GROUP BY ALL",
+    "native_zones": _with(_VARS) + "SELECT count(*) AS n, min(chrom) AS first_chrom, max(chrom) AS last_chrom, 0::BIGINT AS n_overlaps FROM vars",
     "pcoa_centered_matrix": _with(_GT, _GENO, _TRIANGLE, _SQUARE) + """, e AS (SELECT i, j, -dist * dist / 2 AS e FROM square)
  SELECT i, j, round(e - avg(e) OVER (PARTITION BY i) - avg(e) OVER (PARTITION BY j) + avg(e) OVER (), 6) AS f FROM e""",
     "map_reduce_missing": _with(_GT) + "SELECT chrom, count(*) FILTER (allele = -1) AS missing FROM gt GROUP BY chrom",

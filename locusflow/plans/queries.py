@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import BinType, LDCalcMethod
@@ -15,7 +15,7 @@ from ..functions import genotypes as G
 from ..operators import dists, filters, ld, ordination, stats
 from ..operators.pipeline import Pipeline
 from ..scratch import scratch_path
-from ..sources import native, vcf, vcf_format
+from ..sources import array_folder, native, vcf, vcf_format
 
 NUM_SAMPLES, PLOIDY = 32, 2
 SAMPLES = tuple(f"s{i}" for i in range(NUM_SAMPLES))
@@ -24,7 +24,7 @@ THREE_POPS = {f"q{k}": tuple(s for i, s in enumerate(SAMPLES) if i % 3 == k) for
 OVERLAPPING = {"o1": SAMPLES[:20], "o2": SAMPLES[12:]}
 MIN_SAMPLES, MAX_MAF, MAX_DIST, MIN_SNPS = 5, 0.65, 2_000, 455
 LOG_RANGE, SAMPLED = (-2.0, 0.0), 20
-MATRIX_ROWS = (3, 30, 300)
+MATRIX_ROWS, REGION = (3, 30, 300), ("chr3", 5_001, 30_001)
 
 
 def variants(spark: SparkSession, sf_dir: str) -> VariantFrame:
@@ -324,10 +324,40 @@ def vcf_bgzip_scan(spark, d):
     return _vcf_columns(vcf.vars_from_vcf(spark, path, split_bytes=8_192))
 
 
+def _stored_columns(held: VariantFrame) -> DataFrame:
+    return held.df.select("var_id", "chrom", "pos", F.array_join(F.transform("gts", lambda a: a.cast("string")), ",").alias("gts"))
+
+
 def native_round_trip(spark, d):
     path = scratch_path(spark, "variants-native")
     native.write_vars(variants(spark, d), path)
-    return native.load_vars(spark, path).df.select("var_id", "chrom", "pos", F.array_join(F.transform("gts", lambda a: a.cast("string")), ",").alias("gts"))
+    return _stored_columns(native.load_vars(spark, path))
+
+
+def native_region(spark, d):
+    """A region by the zone map: files that don't reach into it are not opened."""
+    path = scratch_path(spark, "variants-native")
+    native.write_vars(variants(spark, d), path, num_parts=16)
+    return _stored_columns(native.load_vars(spark, path, REGION))
+
+
+def native_zones(spark, d):
+    """What the zone map says: every variant is counted in one file, and files are stretches that don't overlap."""
+    path = scratch_path(spark, "variants-native")
+    native.write_vars(variants(spark, d), path, num_parts=16)
+    zones = native.read_zones(spark, path)
+    following = Window.orderBy("start_chrom", "start_pos")  # a row a file
+    apart = F.lead(F.struct("start_chrom", "start_pos")).over(following) < F.struct("end_chrom", "end_pos")
+    return zones.withColumn("overlap", apart).agg(
+        F.sum("n").alias("n"), F.min("start_chrom").alias("first_chrom"), F.max("end_chrom").alias("last_chrom"), F.count_if("overlap").alias("n_overlaps")
+    )
+
+
+def array_folder_round_trip(spark, d):
+    """Written as chunks of arrays and read back."""
+    path = scratch_path(spark, "variants-arrays")
+    array_folder.write_array_folder(variants(spark, d), path, chunk_size=150)
+    return _stored_columns(native.load_vars(spark, path))
 
 
 def kosman_embedding(spark, d):
@@ -353,6 +383,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         limit_first_chunks, gt_012, gt_012_pca, ld_pairwise, ld_max_dist, ld_matrix, ld_matrix_rows, ld_per_pop_min_dist, ld_per_pop_sampled, ld_filter,
         kosman_dists, kosman_min_snps, kosman_rect, jost_dest_per_var, jost_dest, obs_het_log_hist, ld_sample_sizes, euclidean_dists, dist_square_form, dist_triangle, pca_gram,
         pcoa_centered_matrix, pca_projections, pcoa_projections, pca_products, pcoa_products, pca_table_products, pca_princomps, vcf_scan, vcf_bgzip_scan,
-        native_round_trip, kosman_embedding, map_reduce_missing,
+        native_round_trip, native_region, native_zones, array_folder_round_trip, kosman_embedding, map_reduce_missing,
     )
 }

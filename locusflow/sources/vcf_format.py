@@ -240,7 +240,7 @@ def write_bgzip(lines: DataFrame, path: str, block_bytes: int = 60_000) -> None:
         name = f"part-{TaskContext.get().partitionId():05d}.vcf.gz"
         held, n = b"", 0
         # an attempt that fails leaves nothing under the name; a second one replaces it
-        with store.open_output_stream(f"{folder}/_{name}-{TaskContext.get().taskAttemptId()}") as out:
+        with store.open_output_stream(f"{folder}/_{name}-{TaskContext.get().taskAttemptId()}", compression=None) as out:
             for batch in batches:
                 for line in batch.column("value").to_pylist():
                     held, n = held + line.encode() + b"\n", n + 1

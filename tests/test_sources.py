@@ -1,14 +1,18 @@
 import gzip
+import json
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pyspark.sql.types import StructType
 
 from locusflow.frame import VariantFrame
 from locusflow.operators import stats
 from locusflow.sources import vcf_format
-from locusflow.sources.native import load_vars, write_vars
+from locusflow.sources.array_folder import write_array_folder
+from locusflow.sources.native import load_vars, read_zones, write_vars
 from locusflow.sources.vcf import VCFKind, guess_kind, vars_from_vcf
 from locusflow.streaming.drops import process_drops
 
@@ -75,6 +79,83 @@ def test_round_trip(spark, tmp_path):
         write_vars(held, str(tmp_path / "out"))
 
 
+def located(spark, n=400):
+    gts = np.random.default_rng(8).integers(-1, 3, (n, 3, 2))
+    order = np.random.default_rng(9).permutation(n)
+    info = {"chrom": [f"c{i // 100}" for i in order], "pos": [10 * int(i) for i in order], "score": [i / 2 for i in range(n)]}
+    return VariantFrame.from_gt_array(spark, gts, ["a", "b", "c"], info)
+
+
+def files_read(df):
+    """Files that an action has opened, by Spark's own count."""
+    df.select("gts").write.format("noop").mode("overwrite").save()
+    return len(df.inputFiles())
+
+
+def test_regions_open_the_files_they_need(spark, tmp_path):
+    held, path = located(spark), str(tmp_path / "out")
+    write_vars(held, path, num_parts=10)
+    zones = read_zones(spark, path).orderBy("start_chrom", "start_pos").collect()
+    assert len(zones) == 10 and sum(z.n for z in zones) == 400
+    assert all((x.end_chrom, x.end_pos) < (y.start_chrom, y.start_pos) for x, y in zip(zones, zones[1:], strict=False))
+    for region, (low, high) in ((("c1",), (1000, 1990)), (("c2", 2950), (2950, 2990)), (("c0", 120, 450), (120, 450)), (("c3", 3400, 3400), (3400, 3400))):
+        found = load_vars(spark, path, region)
+        wanted = held.df.where(F.col("pos").between(low, high) & (F.col("chrom") == region[0]))
+        assert found.df.orderBy("var_id").collect() == wanted.orderBy("var_id").collect() and wanted.count()
+        needed = [z for z in zones if (z.start_chrom, z.start_pos) <= (region[0], high) and (z.end_chrom, z.end_pos) >= (region[0], low)]
+        assert files_read(found.df) == len(needed) < 6
+    assert load_vars(spark, path, ("c9",)).df.count() == 0 and load_vars(spark, path).df.count() == 400
+    bare = VariantFrame.from_gt_array(spark, np.zeros((4, 2, 2), int))
+    write_vars(bare, str(tmp_path / "bare"))
+    with pytest.raises(ValueError, match="positions"):
+        load_vars(spark, str(tmp_path / "bare"), ("c1",))
+
+
+def save(path, array):
+    with gzip.open(path, "wb") as out:
+        np.save(out, array)
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_folder_of_arrays(spark, tmp_path, named):
+    """A folder laid out by hand, chunks not in the order of their names, sizes that differ."""
+    rng = np.random.default_rng(4)
+    parts = [(name, rng.integers(0, 4, (n, 3, 2)), rng.random((n, 3, 2)) < 0.2) for name, n in (("chunk_0001", 7), ("chunk_0000", 3), ("chunk_0002", 5))]
+    for name, gts, mask in parts:
+        folder = tmp_path / name
+        folder.mkdir()
+        save(folder / "gts.npy.gz", gts.astype(np.int16))
+        save(folder / "gt_mask.npy.gz", mask)
+        if name != "chunk_0002":
+            info = {"chrom": pd.Series([name] * len(gts), dtype="string"), "pos": pd.Series(range(len(gts)), dtype="UInt64"), "qual": pd.Series([None, *[0.5] * (len(gts) - 1)], dtype="Float32")}
+            pd.DataFrame(info).to_parquet(folder / "vars_info.parquet")
+    metadata = {"var_dir_format_version": "1.0", "var_chunks_metadata": [{"dir": p[0]} for p in parts], "num_samples": 3, "ploidy": 2}
+    (tmp_path / "var_dir_metadata.json").write_text(json.dumps({**metadata, **({"samples": ["x", "y", "z"]} if named else {})}))
+    held = load_vars(spark, str(tmp_path))
+    assert held.samples == (("x", "y", "z") if named else (0, 1, 2)) and held.ploidy == 2
+    rows = held.df.orderBy("var_id").collect()
+    wanted = np.concatenate([np.where(m, -1, g) for _, g, m in parts]).reshape(15, -1).tolist()
+    assert [r.gts for r in rows] == wanted and [r.var_id for r in rows] == list(range(15))
+    assert [r.chrom for r in rows] == ["chunk_0001"] * 7 + ["chunk_0000"] * 3 + [None] * 5
+    assert [r.pos for r in rows] == [*range(7), *range(3), *[None] * 5]
+    assert [r.qual for r in rows] == [None, *[0.5] * 6, None, 0.5, 0.5, *[None] * 5]
+
+
+def test_arrays_round_trip(spark, tmp_path):
+    held, path = located(spark, 90), str(tmp_path / "arrays")
+    write_array_folder(held, path, chunk_size=40)
+    assert sorted(p.name for p in (tmp_path / "arrays").iterdir()) == ["chunk_0000", "chunk_0001", "chunk_0002", "var_dir_metadata.json"]
+    back = load_vars(spark, path)
+    assert back.samples == held.samples
+    assert back.df.orderBy("var_id").collect() == held.df.orderBy("var_id").select(back.df.columns).collect()
+    described = json.loads((tmp_path / "arrays" / "var_dir_metadata.json").read_text())["var_chunks_metadata"]
+    first = held.df.orderBy("var_id").first()
+    assert described[0]["start_chrom"] == first.chrom and described[0]["start_pos"] == first.pos
+    assert load_vars(spark, path, ("c0", 100)).df.count() == held.df.where("chrom = 'c0' and pos >= 100").count()
+    with pytest.raises(FileExistsError):
+        write_array_folder(held, path)
+
+
 def test_drops(spark, tmp_path):
     gts = np.random.default_rng(0).integers(0, 2, (6, 4, 2))
     held = VariantFrame.from_gt_array(spark, gts)
