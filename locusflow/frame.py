@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,13 +25,15 @@ class VariantFrame:
     such as chrom, pos, id, qual and alleles.
 
     steps lists the filters applied so far as (kind, frame before, frame after, condition on a row
-    or None), for gather_filtering_stats.
+    or None), for gather_filtering_stats; counts and watch are those of a frame whose filters count while they run.
     """
 
     df: DataFrame
     samples: tuple
     ploidy: int = 2
     steps: tuple = ()
+    counts: object = None
+    watch: object = None
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "samples", tuple(self.samples))
@@ -54,7 +56,11 @@ class VariantFrame:
         return {config.CHROM_COL, config.POS_COL} <= set(self.df.columns)
 
     def with_df(self, df: DataFrame, step: tuple | None = None) -> VariantFrame:
-        return replace(self, df=df, steps=self.steps + ((step,) if step else ()))
+        watch = None
+        if self.counts is not None:
+            watch = Observation()
+            df = df.observe(watch, F.count(F.lit(1)).alias("n"))
+        return replace(self, df=df, watch=watch, steps=self.steps + ((step,) if step else ()))
 
     @classmethod
     def from_gt_array(cls, spark: SparkSession, gts, samples: Sequence | None = None, vars_info=None, alleles=None) -> VariantFrame:

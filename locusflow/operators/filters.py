@@ -2,23 +2,60 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field, replace
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..frame import VariantFrame
 from ..functions import genotypes as G
 from ..scratch import discard, materialise
+from ..shipping import ship_package
 
 #: Ids in a stretch of the linkage scan.
 SCAN_CHUNK = 10_000
 SCAN_SCHEMA = "lane string, chunk long, kept array<long>, exit_id long, exit array<int>"
 
 
+@dataclass
+class FilterCounts:
+    """Counts of the filters of a frame that is being counted, filled by the run of an action on it."""
+
+    seen: list[tuple[str, Observation, Observation]] = field(default_factory=list)
+
+    def stats(self) -> dict[str, dict[str, int]]:
+        """vars_processed and vars_kept of each kind; waits for an action on the frame, and takes the first one's counts."""
+        found: dict[str, dict[str, int]] = {}
+        for kind, before, after in self.seen:
+            held = found.setdefault(kind, {"vars_processed": 0, "vars_kept": 0})
+            held["vars_processed"] += before.get["n"]
+            held["vars_kept"] += after.get["n"]
+        return found
+
+
+def counting(variants: VariantFrame) -> tuple[VariantFrame, FilterCounts]:
+    """variants whose filters from here on count rows while they run: no pass of their own.
+
+    Counts are of what the action on the filtered frame reads: one that stops early, as limit
+    does, counts what it has seen.
+    """
+    counts = FilterCounts()
+    return replace(variants, counts=counts).with_df(variants.df), counts
+
+
+def _kept(variants: VariantFrame, kind: str, after: DataFrame, condition, samples=None) -> VariantFrame:
+    """The frame after a filter, which is noted, and counted if the frame is one that counts."""
+    held = variants if samples is None else replace(variants, samples=samples)
+    held = held.with_df(after, (kind, variants.df, after, condition))
+    if variants.counts is not None:
+        variants.counts.seen.append((kind, variants.watch, held.watch))
+    return held
+
+
 def _keep(variants: VariantFrame, kind: str, condition) -> VariantFrame:
-    after = variants.df.where(condition)
-    return variants.with_df(after, (kind, variants.df, after, condition))
+    return _kept(variants, kind, variants.df.where(condition), condition)
 
 
 def filter_by_missing_data(variants: VariantFrame, max_allowed_missing_rate: float = 0.0) -> VariantFrame:
@@ -43,7 +80,7 @@ def filter_samples(variants: VariantFrame, samples) -> VariantFrame:
     if not kept:
         raise ValueError("no samples are left")
     after = variants.df.withColumn("gts", G.gathered(F.col("gts"), kept, variants.ploidy))
-    return VariantFrame(after, [variants.samples[i] for i in kept], variants.ploidy, (*variants.steps, ("sample", variants.df, after, None)))
+    return _kept(variants, "sample", after, None, [variants.samples[i] for i in kept])
 
 
 def signed_r(x: np.ndarray, y: np.ndarray) -> float | None:
@@ -84,7 +121,8 @@ def filter_by_ld_and_maf(
     before has changed; rounds end when none has, which makes the result that of the scan from the
     beginning. Coded genotypes and the state between rounds are stored as Parquet.
     """
-    within = filter_by_maf(variants, max_allowed_maf)
+    ship_package(variants.df.sparkSession)
+    within = filter_by_maf(replace(variants, counts=None), max_allowed_maf)
     n, p = variants.num_samples, variants.ploidy
     major = G.major_allele(G.allele_counts(F.col("gts")))
     lane = F.coalesce(F.col("chrom").cast("string"), F.lit("")) if by_chrom else F.lit("")
@@ -114,7 +152,7 @@ def filter_by_ld_and_maf(
     discard(coded)
     kept = state.select(F.explode("kept").alias("kept_id"))
     after = within.df.join(kept, within.df.var_id == kept.kept_id, "left_semi")
-    return variants.with_df(after, ("ld_and_maf", variants.df, after, None))
+    return _kept(variants, "ld_and_maf", after, None)
 
 
 def gather_filtering_stats(variants: VariantFrame) -> DataFrame:

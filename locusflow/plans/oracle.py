@@ -110,6 +110,8 @@ ORACLE_SQL: dict[str, str] = {
     "filter_samples": _with(_GT) + "SELECT var_id, string_agg(allele::VARCHAR, ',' ORDER BY i) AS gts FROM gt WHERE sample_idx IN (1, 3, 9) GROUP BY ALL",
     "filter_chain": _CHAIN + "SELECT var_id, chrom, pos FROM step3",
     "filtering_stats": _CHAIN + """SELECT 'missing_data' AS kind, (SELECT count(*) FROM rates) AS vars_processed, (SELECT count(*) FROM step1) AS vars_kept
+ UNION ALL SELECT 'maf', (SELECT count(*) FROM step1), (SELECT count(*) FROM step2) UNION ALL SELECT 'obs_het', (SELECT count(*) FROM step2), (SELECT count(*) FROM step3)""",
+    "filtering_stats_of_the_run": _CHAIN + """SELECT 'missing_data' AS kind, (SELECT count(*) FROM rates) AS vars_processed, (SELECT count(*) FROM step1) AS vars_kept
  UNION ALL SELECT 'maf', (SELECT count(*) FROM step1), (SELECT count(*) FROM step2) UNION ALL SELECT 'obs_het', (SELECT count(*) FROM step2), (SELECT count(*) FROM step3)""",
     "limit_first_chunks": _with(_VARS) + "SELECT var_id, chrom, pos FROM vars ORDER BY var_id LIMIT 200",
     "gt_012": _with(_GT, _ALL_MAJOR, _CODED) + "SELECT var_id, sample_idx, g012 FROM coded",
@@ -135,6 +137,13 @@ ORACLE_SQL: dict[str, str] = {
     "kosman_dists": _with(_GT, _GENO, _TRIANGLE) + "SELECT i, j, total / nullif(n, 0) AS dist FROM sums",
     "kosman_min_snps": _with(_GT, _GENO, _TRIANGLE) + "SELECT i, j, CASE WHEN n >= 455 THEN total / nullif(n, 0) END AS dist FROM sums",
     "kosman_rect": _with(_GT, _GENO, _KOSMAN.format(pairs="a.sample_idx < 4 AND b.sample_idx >= 16")) + "SELECT i, j, total / nullif(n, 0) AS dist FROM sums",
+    "kosman_tiles": _with(_GT, _GENO, _TRIANGLE) + "SELECT i, j, n, total / nullif(n, 0) AS dist FROM sums",
+    "kosman_embedding_of_seeds": _with(_GT, _GENO, _TRIANGLE, _SQUARE) + """, known AS (SELECT i, j, coalesce(dist, -1e0) AS d, dist FROM square),
+ far AS (SELECT DISTINCT j AS s FROM (SELECT * FROM known WHERE i IN (2, 11, 29) QUALIFY row_number() OVER (PARTITION BY i ORDER BY d DESC, j) = 1)),
+ farther AS (SELECT DISTINCT j AS s FROM (SELECT known.* FROM known JOIN far ON i = s QUALIFY row_number() OVER (PARTITION BY i ORDER BY d DESC, j) = 1)),
+ seeds AS (SELECT unnest([2, 11, 29]) AS s UNION SELECT s FROM far UNION SELECT s FROM farther),
+ sides AS (SELECT j AS id, i AS s, dist FROM known JOIN seeds ON i = s)
+ SELECT a.id AS i, b.id AS j, round(sqrt(sum((a.dist - b.dist) ** 2)), 6) AS dist FROM sides a JOIN sides b ON a.s = b.s AND a.id < b.id GROUP BY ALL""",
     "jost_dest_per_var": _with(_GT, _GENO, _THREE, _CALLED, _COUNTS, _OBS, _DEST) + "SELECT var_id, pop1, pop2, round(hs, 6) + 0e0 AS hs, round(ht, 6) + 0e0 AS ht, round(2 * (ht - hs) / nullif(1 - hs, 0), 6) + 0e0 AS dest FROM dest",
     "jost_dest": _with(_GT, _GENO, _THREE, _CALLED, _COUNTS, _OBS, _DEST) + """SELECT pop1, pop2, round(2 * (sum(ht) / count(hs) - sum(hs) / count(hs)) / nullif(1 - sum(hs) / count(hs), 0), 6) AS dest, count(hs) AS n_vars FROM dest GROUP BY ALL""",
     "euclidean_dists": """SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dist
@@ -164,4 +173,5 @@ ORACLE_SQL: dict[str, str] = {
     "pcoa_centered_matrix": _with(_GT, _GENO, _TRIANGLE, _SQUARE) + """, e AS (SELECT i, j, -dist * dist / 2 AS e FROM square)
  SELECT i, j, round(e - avg(e) OVER (PARTITION BY i) - avg(e) OVER (PARTITION BY j) + avg(e) OVER (), 6) AS f FROM e""",
     "map_reduce_missing": _with(_GT) + "SELECT chrom, count(*) FILTER (allele = -1) AS missing FROM gt GROUP BY chrom",
+    "fold_missing": _with(_GT) + "SELECT chrom, count(*) FILTER (allele = -1) AS missing, count(*) FILTER (allele <> -1) AS called FROM gt GROUP BY chrom",
 }

@@ -24,7 +24,7 @@ THREE_POPS = {f"q{k}": tuple(s for i, s in enumerate(SAMPLES) if i % 3 == k) for
 OVERLAPPING = {"o1": SAMPLES[:20], "o2": SAMPLES[12:]}
 MIN_SAMPLES, MAX_MAF, MAX_DIST, MIN_SNPS = 5, 0.65, 2_000, 455
 LOG_RANGE, SAMPLED = (-2.0, 0.0), 20
-MATRIX_ROWS, REGION = (3, 30, 300), ("chr3", 5_001, 30_001)
+MATRIX_ROWS, REGION, SEEDS = (3, 30, 300), ("chr3", 5_001, 30_001), (2, 11, 29)
 
 
 def variants(spark: SparkSession, sf_dir: str) -> VariantFrame:
@@ -134,11 +134,15 @@ def filter_samples(spark, d):
     return held.df.select("var_id", F.array_join(F.transform("gts", lambda a: a.cast("string")), ",").alias("gts"))
 
 
-def _chain(spark, d) -> VariantFrame:
-    held = filters.filter_by_missing_data(variants(spark, d), 0.1)
+def _chain_of(held: VariantFrame) -> VariantFrame:
+    held = filters.filter_by_missing_data(held, 0.1)
     return filters.filter_by_obs_het(filters.filter_by_maf(held, MAX_MAF), 0.5)
 
 
+def _chain(spark, d) -> VariantFrame:
+    return _chain_of(variants(spark, d))
+
+
 def filter_chain(spark, d):
     return _chain(spark, d).df.select("var_id", "chrom", "pos")
 
@@ -147,6 +151,14 @@ def filtering_stats(spark, d):
     return filters.gather_filtering_stats(_chain(spark, d))
 
 
+def filtering_stats_of_the_run(spark, d):
+    """What the filters have counted while the filtered variants were written, without passes of their own."""
+    held, counts = filters.counting(variants(spark, d))
+    _chain_of(held).df.write.format("noop").mode("overwrite").save()
+    rows = [(kind, n["vars_processed"], n["vars_kept"]) for kind, n in counts.stats().items()]
+    return spark.createDataFrame(rows, "kind string, vars_processed long, vars_kept long")
+
+
 def limit_first_chunks(spark, d):
     return variants(spark, d).first_chunks(2, 100).df.select("var_id", "chrom", "pos")
 
@@ -213,6 +225,18 @@ def kosman_rect(spark, d):
     return held.select("i", "j", G.ratio(F.col("total"), F.col("n")).alias("dist"))
 
 
+def kosman_tiles(spark, d):
+    """The same sums through tiles of a few samples each, as cohorts of many samples take them."""
+    held = dists.kosman_sums(variants(spark, d), block=5)
+    return held.select("i", "j", "n", G.ratio(F.col("total"), F.col("n")).alias("dist"))
+
+
+def kosman_embedding_of_seeds(spark, d):
+    """Seeds are given, and one round adds the samples that are farthest from them and from these."""
+    held = dists.kosman_by_embedding(variants(spark, d), max_rounds=1, seeds=SEEDS)
+    return held.df.withColumn("dist", F.round("dist", 6))
+
+
 def jost_dest_per_var(spark, d):
     found = dists.dest_per_var(variants(spark, d), THREE_POPS, MIN_SAMPLES)
     return found.select("var_id", "pop1", "pop2", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("hs", "ht", "dest")])
@@ -374,15 +398,32 @@ def map_reduce_missing(spark, d):
     return made.map_and_reduce(variants(spark, d))
 
 
+def fold_missing(spark, d):
+    """A user's own fold: a dict of missing and called alleles by chromosome, from batches."""
+
+    def count(batch: pd.DataFrame) -> dict:
+        found: dict[str, list[int]] = {}
+        for chrom, gts in zip(batch["chrom"], batch["gts"], strict=True):
+            held = found.setdefault(chrom, [0, 0])
+            held[0], held[1] = held[0] + int((gts == -1).sum()), held[1] + int((gts != -1).sum())
+        return found
+
+    def add(one: dict, two: dict) -> dict:
+        return {k: [a + b for a, b in zip(one.get(k, (0, 0)), two.get(k, (0, 0)), strict=True)] for k in {**one, **two}}
+
+    made = Pipeline([count], reduce_funct=add, reduce_initializer={}).map_and_reduce(variants(spark, d))
+    return spark.createDataFrame([(k, m, c) for k, (m, c) in made.items()], "chrom string, missing long, called long")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         genotype_scan, genotype_long_filter_chrom, gt_missing_het, allele_counts_per_var, allele_freqs_per_pop, obs_het_per_var, obs_het_mean,
         obs_het_hist, major_allele_freq_per_pop, maf_mean, maf_hist, exp_het_per_var, unbiased_exp_het_per_var, exp_het_mean, exp_het_hist,
-        poly_ratio_per_pop, per_sample_stats, filter_missing, filter_maf, filter_obs_het, filter_samples, filter_chain, filtering_stats,
+        poly_ratio_per_pop, per_sample_stats, filter_missing, filter_maf, filter_obs_het, filter_samples, filter_chain, filtering_stats, filtering_stats_of_the_run,
         limit_first_chunks, gt_012, gt_012_pca, ld_pairwise, ld_max_dist, ld_matrix, ld_matrix_rows, ld_per_pop_min_dist, ld_per_pop_sampled, ld_filter,
-        kosman_dists, kosman_min_snps, kosman_rect, jost_dest_per_var, jost_dest, obs_het_log_hist, ld_sample_sizes, euclidean_dists, dist_square_form, dist_triangle, pca_gram,
+        kosman_dists, kosman_min_snps, kosman_rect, kosman_tiles, kosman_embedding_of_seeds, jost_dest_per_var, jost_dest, obs_het_log_hist, ld_sample_sizes, euclidean_dists, dist_square_form, dist_triangle, pca_gram,
         pcoa_centered_matrix, pca_projections, pcoa_projections, pca_products, pcoa_products, pca_table_products, pca_princomps, vcf_scan, vcf_bgzip_scan,
-        native_round_trip, native_region, native_zones, array_folder_round_trip, kosman_embedding, map_reduce_missing,
+        native_round_trip, native_region, native_zones, array_folder_round_trip, kosman_embedding, map_reduce_missing, fold_missing,
     )
 }

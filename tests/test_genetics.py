@@ -29,6 +29,7 @@ def close(found, wanted):
         assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-6), (found, wanted)
 
 
+# Golden genotypes and, in the tests, the results asserted of them and of seeded draws (FIXTURES.md).
 HET = [[[0, 0], [1, 1], M, [0, 1]], [[-1, 1], [0, 0], [0, 1], [1, 0]], [M] * 4]
 MISSING = [[[0, 0], [2, 1], [0, 0], [0, 0], [0, 0]], [[0, 0], [0, 0], [0, 1], [1, 0], M], [M] * 5]
 MAF = [[[0, 0], [2, 1], [0, 0], [0, 0], [0, 0]], [[0, 0], [0, 0], [0, 1], [1, 0], [1, 1]], [[1, 1]] * 5]
@@ -388,3 +389,122 @@ def test_sample_is_of_lowest_digests(spark):
     order = lambda r: hashlib.md5(f"{r.var_id1}:{r.var_id2}:42".encode()).hexdigest()
     wanted = {p: sorted((r for r in every if r["pop"] == p), key=order)[:7] for p in pops}
     assert {p: sorted((r for r in few.collect() if r["pop"] == p), key=order) for p in pops} == wanted
+
+
+def kosman_by_definition(gts, i, j):
+    """Summed distances and shared variants of two samples, allele by allele."""
+    total, n = 0.0, 0
+    for x, y in zip(gts[:, i].tolist(), gts[:, j].tolist(), strict=True):
+        if -1 not in x and -1 not in y:
+            held = sum(a in y for a in x) + sum(b in x for b in y)
+            total, n = total + {0: 1.0, 4: 0.0}.get(held, 0.5), n + 1
+    return total, n
+
+
+@pytest.mark.parametrize("block", [1, 3, 4, 50])
+def test_kosman_tiles(spark, block):
+    rng = np.random.default_rng(block)
+    gts = rng.integers(-1, 6, (150, 11, 2))
+    gts[:40] = rng.integers(0, 2, (40, 11, 2))
+    held = frame(spark, gts)
+    held = held.with_df(held.df.repartition(3))
+    found = {(r.i, r.j): (r.total, r.n) for r in dists.kosman_sums(held, block=block).collect()}
+    assert found == {(i, j): kosman_by_definition(gts, i, j) for i in range(11) for j in range(i + 1, 11)}
+    some = {(r.i, r.j): (r.total, r.n) for r in dists.kosman_sums(held, [7, 2, 5], [2, 9, 0, 10], block=min(block, 3)).collect()}
+    assert some == {(i, j): kosman_by_definition(gts, i, j) for i in (7, 2, 5) for j in (2, 9, 0, 10)}
+    nothing = held.with_df(held.df.where("var_id < 0"))
+    assert {(r.total, r.n) for r in dists.kosman_sums(nothing, block=block).collect()} == {(0.0, 0)}
+
+
+def test_landmarks_stay_in_spark(spark, monkeypatch):
+    gts = np.random.default_rng(6).integers(-1, 3, (80, 9, 2))
+    held = frame(spark, gts)
+    monkeypatch.setattr(type(held.df), "toPandas", lambda self: pytest.fail("a table reached the driver"))
+    found = {(r.i, r.j): r.dist for r in dists.kosman_by_embedding(held, seeds=[0, 4], max_rounds=1).df.collect()}
+    square = np.array([[0.0 if i == j else np.divide(*kosman_by_definition(gts, i, j)) for j in range(9)] for i in range(9)])
+    far = {int(square[s].argmax()) for s in (0, 4)}
+    seeds = sorted({0, 4, *far, *(int(square[s].argmax()) for s in far)})
+    for (i, j), d in found.items():
+        assert abs(d - np.linalg.norm(square[seeds, i] - square[seeds, j])) < 1e-9
+    assert len(found) == 36
+    with pytest.raises(ValueError, match="numbers of samples"):
+        dists.kosman_by_embedding(held, seeds=[9])
+
+
+def test_fold_with_an_initializer(spark):
+    from functools import reduce
+
+    gts = np.random.default_rng(3).integers(-1, 3, (90, 3, 2))
+    held = frame(spark, gts)
+    held = held.with_df(held.df.repartitionByRange(40, "var_id"))
+
+    def listed(batch):
+        return {"ids": batch["var_id"].tolist(), "sums": {int(i): int(g.sum()) for i, g in zip(batch["var_id"], batch["gts"], strict=True)}}
+
+    def join(one, two):
+        return {"ids": one["ids"] + two["ids"], "sums": {**one["sums"], **two["sums"]}}  # the order of ids shows that it isn't commutative
+
+    first = {"ids": [], "sums": {}}
+    pipeline = Pipeline([listed], reduce_funct=join, reduce_initializer=first)
+    wanted = reduce(join, [{"ids": [i], "sums": {i: int(g.sum())}} for i, g in enumerate(gts.reshape(90, -1))], first)
+    assert pipeline.map_and_reduce(held) == wanted and first == {"ids": [], "sums": {}}
+    assert pipeline.map_and_reduce(held.with_df(held.df.where("var_id < 0"))) == first
+    plain = Pipeline([lambda b: len(b)])
+    plain.set_reduce_funct(lambda a, b: a + b)
+    assert plain.map_and_reduce(held) == 90
+    # states of another kind than what is mapped need a merge of their own
+    counted = Pipeline([lambda b: len(b)], reduce_funct=lambda s, n: [*s, n], reduce_initializer=[], merge_funct=lambda a, b: a + b, after_reduce_funct=sum)
+    assert counted.map_and_reduce(held) == 90
+    with pytest.raises(ValueError, match="reduces"):
+        pipeline.map_chunks(held)
+    with pytest.raises(ValueError, match="schema"):
+        Pipeline([listed]).map_chunks(held)
+
+
+def test_filters_count_while_they_run(spark):
+    gts = np.random.default_rng(5).integers(-1, 3, (60, 8, 2))
+    held = frame(spark, gts, samples=[f"s{i}" for i in range(8)])
+
+    def chain(v):
+        v = filters.filter_by_missing_data(v, 0.6)
+        v = filters.filter_by_maf(v.get_vars(F.col("var_id") < 50), 0.6)
+        return filters.filter_by_missing_data(filters.filter_samples(v, ["s1", "s2", "s3"]), 0.4)
+
+    counted, counts = filters.counting(held)
+    done = chain(counted)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    rows = done.df.collect()
+    ran = len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - jobs
+    assert ran == 1 and len(rows) == chain(held).df.count()
+    found = {k: (v["vars_processed"], v["vars_kept"]) for k, v in counts.stats().items()}
+    plain = chain(held)
+    wanted = {r.kind: (r.vars_processed, r.vars_kept) for r in filters.gather_filtering_stats(plain).collect()}
+    assert found == wanted and found["maf"][0] < 60
+    ld_counted, ld_counts = filters.counting(held)
+    kept = filters.filter_by_ld_and_maf(ld_counted, 0.1, 0.95)
+    n = kept.df.count()  # counts are there once an action has run
+    assert ld_counts.stats() == {"ld_and_maf": {"vars_processed": 60, "vars_kept": n}}
+
+
+def test_workers_of_another_folder_find_the_package():
+    """Python workers that start elsewhere, without the package on their path, get it with the query."""
+    import subprocess
+    import sys
+    import textwrap
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = textwrap.dedent(f"""
+        import sys
+        sys.path.insert(0, {root!r})
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+        from locusflow.plans.queries import QUERIES
+        for name in ("ld_max_dist", "kosman_tiles", "ld_filter", "pca_gram", "fold_missing"):
+            assert QUERIES[name](spark, "/root/testdata/sf0.001").limit(1).count() == 1, name
+        print("all found")
+    """)
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("needs the shared test tables")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=400, check=False)
+    assert "all found" in done.stdout, done.stderr[-2000:]
