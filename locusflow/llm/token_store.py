@@ -64,9 +64,10 @@ def write_token_store(
             )
 
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(files, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row_no"))
+        .repartitionByRange(files, "doc_id", "text", "row_no")  # rows of one id, or without one, may be many
+        .sortWithinPartitions("doc_id", "text", "row_no")
+        .drop("row_no")
     )
     (
         ordered.mapInArrow(encode, STORE_SCHEMA)

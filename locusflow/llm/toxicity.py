@@ -31,10 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, ship_package
 
-#: Labelled rows that learn() may use, taken by hash of the id.
+#: Different labelled texts that learn() may use, taken by hash. They bound the lexicon and the exempt spellings, too,
+#: all of whose words stand in them; neither has a limit of its own.
 TRAIN_ROWS = 20_000
-#: Lexicon entries and exempt spellings kept at most.
-LEXICON_ENTRIES, EXEMPT_ENTRIES = 2_000, 20_000
 #: An entry stands in this share of distinct toxic texts at least, and its odds are this much higher there.
 MIN_SHARE, MIN_LOG_ODDS = 0.01, 3.0
 #: Log-likelihood gain over chance, beyond the log of the number of terms tested.
@@ -207,19 +206,23 @@ def is_held_out(doc_id):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """text and y of at most `rows` labelled documents, none of them held out."""
+    """text and y of the documents of at most `rows` labelled ids, none of them held out."""
     named = labels.select(F.col("doc_id").cast("long").alias("of_id"), F.col("toxic").cast("int").alias("y"))
     named = named.where(F.col("of_id").isNotNull() & F.col("y").isin(0, 1) & ~is_held_out(F.col("of_id")))
     chosen = named.groupBy("of_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("of_id"), "of_id").limit(rows)
     held = _texts(docs)
-    return held.join(F.broadcast(chosen), held.doc_id == chosen.of_id).select("text", "y")  # at most `rows` short rows
+    return held.join(F.broadcast(chosen), held.doc_id == chosen.of_id).select("text", "y")  # the ids are `rows` at most
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicModel:
     spark = docs.sparkSession
     ship_package(spark)
     sample = training_sample(docs, labels, rows).where("length(text) > 0")
-    once = materialise(sample.groupBy("text").agg(F.max("y").alias("y")), "toxicity-sample")  # at most `rows` texts
+    once = materialise(sample.groupBy("text").agg(F.max("y").alias("y")), "toxicity-sample")
+    if once.count() > rows:  # an id may have many texts
+        digest = F.xxhash64("text")
+        least = once.select(digest.alias("h")).orderBy("h").limit(rows).agg(F.max("h").alias("h")).first().h
+        once = once.where(digest <= F.lit(least))
     sizes = {r.y: r.n for r in once.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
@@ -246,7 +249,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicMo
     gain = t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0)
     often = counted.where(t >= math.ceil(MIN_SHARE * toxic)).withColumn("w", odds)
     often = often.where((F.col("w") >= MIN_LOG_ODDS) & (gain >= math.log(max(1, tested)) + MIN_GAIN))
-    found = often.orderBy(F.desc("t"), "term").limit(LEXICON_ENTRIES).collect()
+    found = often.orderBy(F.desc("t"), "term").collect()  # words of the sample
     proposed = frozenset(r.term for r in found)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicMo
 
     clean_rows = once.where("y = 0")
     misses = clean_rows.mapInArrow(near_misses, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    model.exempt = frozenset(r.word for r in misses.orderBy(F.desc("n"), "word").limit(EXEMPT_ENTRIES).collect())
+    model.exempt = frozenset(r.word for r in misses.select("word").collect())  # words of the sample
     model.__post_init__()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -759,6 +759,73 @@ def test_masked_and_long_words():
     assert exempt.evidence("sc*mbag") == 0 < exempt.evidence("scu*bag")
 
 
+def evidence_by_definition(text, words, stems, exempt):
+    """Each word against every entry by plain edit distance, each hit under its context."""
+    low, total, hidden = text.lower(), 0.0, []
+    longest = max(map(len, words))
+
+    def misspelt(word):
+        if not 5 <= len(word) <= longest + 1 or word in exempt:
+            return 0.0
+        return 0.6 * max((w for e, w in words.items() if len(e) >= 5 and distance(e, word) <= 1), default=0.0)
+
+    def weigh(word):
+        if word in words:
+            return words[word]
+        return max((w for e, w in stems.items() if word.startswith(e)), default=0.0) or misspelt(word)
+
+    def factor(start, end):
+        before, after = low[max(0, start - 60) : start], low[end : end + 60]
+        quoted = any(q in before for q in '"“”«»') and any(q in after for q in '"“”«»')
+        near = set(re.findall(r"[^\W\d_]+", before)) | set(re.findall(r"[^\W\d_]+", after))
+        reported, addressed = bool(near & toxicity._REPORTING), bool(near & toxicity._ADDRESS)
+        return (0.4 if quoted else 1.0) * (0.6 if reported else 1.0) * (1.2 if addressed and not quoted and not reported else 1.0)
+
+    for m in re.finditer(r"[^\W\d_]+[*][^\W\d_]+", low):
+        if misspelt(m.group()):
+            hidden.append(m.span())
+            total += misspelt(m.group()) * factor(*m.span())
+    for m in re.finditer(r"[^\W\d_]+", low):
+        if not any(a <= m.start() < b for a, b in hidden):
+            total += weigh(m.group()) * factor(*m.span())
+    return total
+
+
+def test_toxicity_scores_by_definition():
+    """Random texts of lexicon words, misspellings, quotations and masked letters; the heaviest entry within an edit wins."""
+    rng = random.Random(11)
+    words = {"scumbag": 2.0, "scumbug": 3.5, "vermin": 1.5, "vile": 2.5, "loathsome": 4.0, "loathsomer": 1.0}
+    stems, exempt = {"pathe": 1.25, "idio": 2.25, "idiot": 3.0}, frozenset(["vermi", "vermins"])
+    model = toxicity.ToxicModel(words, stems, exempt)
+
+    def spoiled(word):
+        at, sign = rng.randrange(len(word)), rng.choice("aeiouxyz")
+        return rng.choice([word, word[:at] + sign + word[at:], word[:at] + word[at + 1 :], word[:at] + sign + word[at + 1 :], word.upper(), word[:2] + "*" + word[3:]])
+
+    pool = [*words, "pathetic", "idiots", "idiom", "vermi", "vermins", "calm", "green", "said", "you", "river", "scumbog"]
+    hits = 0
+    for _ in range(1_500):
+        parts = [spoiled(rng.choice(pool)) if rng.random() < 0.5 else rng.choice(pool) for _ in range(rng.randint(1, 9))]
+        text = rng.choice([" ", ", "]).join(f'"{p}"' if rng.random() < 0.15 else p for p in parts)
+        wanted = evidence_by_definition(text, words, stems, exempt)
+        assert abs(model.evidence(text) - wanted) < 1e-9, text
+        hits += wanted > 0
+    assert hits > 800
+    assert model.weigh("scumbog") == (0.6 * 3.5, True)
+
+
+def test_toxicity_learns_from_bounded_texts(spark):
+    """Many texts under one labelled id count as texts; the lexicon has no limit of its own."""
+    texts, labels = toxic_corpus(160)
+    docs = documents(spark, [*texts, *[f"{FILLER} number {i} of many" for i in range(300)]], [*range(160), *[1] * 300])
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert toxicity.training_sample(docs, table).count() > 300
+    few = toxicity.learn(docs, table, rows=40)
+    assert few.curve is None or len(few.words) + len(few.exempt) <= 40 * 200
+    whole = toxicity.learn(docs, table)
+    assert whole.curve is not None and whole.words
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     rows = toxicity.toxicity(documents(spark, [None, "a"], [None, 1]), none).collect()
