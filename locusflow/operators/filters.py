@@ -16,7 +16,7 @@ from ..shipping import ship_package
 
 #: Ids in a stretch of the linkage scan.
 SCAN_CHUNK = 10_000
-SCAN_SCHEMA = "lane string, chunk long, kept array<long>, exit_id long, exit array<int>"
+SCAN_SCHEMA = "lane string, chunk long, entry array<int>, kept array<long>, exit array<int>"
 
 
 @dataclass
@@ -92,21 +92,53 @@ def signed_r(x: np.ndarray, y: np.ndarray) -> float | None:
 
 
 def _scan_chunk(group: pd.DataFrame, min_allowed_r2: float) -> pd.DataFrame:
-    """The greedy scan over one chunk, from the kept variant before it (entry), if there is one."""
+    """The greedy scan over one stretch, from what was kept last before it (entry), if there is anything."""
     rows = group.sort_values("var_id")
     entry = rows["entry"].iloc[0]
-    last, last_id, kept = None, None, []
-    if entry is not None:
-        last, last_id = np.asarray(entry, dtype=np.int64), int(rows["entry_id"].iloc[0])
+    last, kept = None if entry is None else np.asarray(entry, dtype=np.int64), []
     for var_id, held in zip(rows["var_id"].tolist(), rows["coded"], strict=True):
         held = np.asarray(held, dtype=np.int64)
         if last is not None:
             r = signed_r(last, held)
             if r is None or abs(r) >= min_allowed_r2:
                 continue
-        last, last_id = held, var_id
+        last = held
         kept.append(var_id)
-    return pd.DataFrame({"lane": [rows["lane"].iloc[0]], "chunk": [rows["chunk"].iloc[0]], "kept": [kept], "exit_id": [last_id], "exit": [last.tolist()]})
+    return pd.DataFrame({"lane": [rows["lane"].iloc[0]], "chunk": [rows["chunk"].iloc[0]], "entry": [entry], "kept": [kept], "exit": [last.tolist() if kept else None]})
+
+
+def greedy_scan(coded: DataFrame, min_allowed_r2: float) -> tuple[DataFrame, int]:
+    """lane and kept ids of each stretch of coded (lane, chunk, var_id, coded), as one scan of each lane would keep them; and the rounds it took.
+
+    What a scan keeps in a stretch depends only on the genotypes of what was kept last before it. All
+    stretches are scanned side by side. In a round each stretch looks back to the nearest one before it that has
+    kept something, past all those that have kept nothing, and is scanned again if that ends with other genotypes
+    than the ones it was scanned from. A round makes at least one more stretch final, in the order of the
+    lane; because the way back is one step, chains of stretches that keep nothing, and changes
+    that leave an end's genotypes as they are, need no round each.
+    """
+
+    def scan(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("lane", "chunk").applyInPandas(lambda group: _scan_chunk(group, min_allowed_r2), SCAN_SCHEMA)
+
+    state = materialise(scan(coded.withColumn("entry", F.lit(None).cast("array<int>"))), "ld-scan")
+    most = state.count() + 1
+    for turn in range(1, most + 1):
+        earlier = Window.partitionBy("lane").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a few numbers a stretch
+        origin = F.last(F.when(F.col("some"), F.col("chunk")), ignorenulls=True).over(earlier)
+        looking = state.select("lane", "chunk", (F.size("kept") > 0).alias("some")).select("lane", "chunk", origin.alias("origin")).where("origin is not null")
+        ends = state.where("exit is not null").select("lane", F.col("chunk").alias("origin"), F.col("exit").alias("next_entry"))
+        due = looking.join(ends, ["lane", "origin"]).join(state.select("lane", "chunk", F.col("entry").alias("old")), ["lane", "chunk"])
+        due = materialise(due.where(~F.col("old").eqNullSafe(F.col("next_entry"))).select("lane", "chunk", F.col("next_entry").alias("entry")), "ld-due")
+        if due.isEmpty():
+            discard(due)
+            return state.select("lane", "kept"), turn
+        again = scan(coded.join(due, ["lane", "chunk"]))
+        after = materialise(again.unionByName(state.join(due, ["lane", "chunk"], "left_anti")), "ld-scan")
+        discard(due)
+        discard(state)
+        state = after
+    raise RuntimeError(f"the scan of {most - 1} stretches isn't final after as many rounds")
 
 
 def filter_by_ld_and_maf(
@@ -114,12 +146,8 @@ def filter_by_ld_and_maf(
 ) -> VariantFrame:
     """Major-allele filter, then the greedy scan in input order; by_chrom starts anew on each chromosome.
 
-    The scan is a fold over the whole order, made in parallel by rounds: stretches of chunk_size
-    ids are scanned side by side, each from what the stretch before it kept last. Two scans of a
-    stretch agree from the first variant that both keep, so what leaves a stretch soon no longer
-    depends on what entered it. A round scans again those stretches alone whose entry the round
-    before has changed; rounds end when none has, which makes the result that of the scan from the
-    beginning. Coded genotypes and the state between rounds are stored as Parquet.
+    The scan is a fold over the whole order, made in parallel by rounds (see greedy_scan) over
+    stretches of chunk_size ids. Coded genotypes and the state between rounds are stored as Parquet.
     """
     ship_package(variants.df.sparkSession)
     within = filter_by_maf(replace(variants, counts=None), max_allowed_maf)
@@ -129,26 +157,7 @@ def filter_by_ld_and_maf(
     chunk = F.floor(F.col("var_id") / chunk_size).cast("long")
     coded = within.df.select(lane.alias("lane"), chunk.alias("chunk"), F.col("var_id").cast("long").alias("var_id"), G.coded_012(F.col("gts"), n, p, major).alias("coded"))
     coded = materialise(coded, "ld-coded")
-
-    def scan(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("lane", "chunk").applyInPandas(lambda group: _scan_chunk(group, min_allowed_r2), SCAN_SCHEMA)
-
-    state = materialise(scan(coded.withColumns({"entry_id": F.lit(None).cast("long"), "entry": F.lit(None).cast("array<int>")})), "ld-scan")
-    in_order = Window.partitionBy("lane").orderBy("chunk")  # two narrow columns, a row a stretch
-    order = materialise(state.select("lane", "chunk", F.lag("chunk").over(in_order).alias("before")).where("before is not null"), "ld-order")
-    moved = state.select("lane", "chunk")
-    while True:
-        exits = state.join(moved, ["lane", "chunk"], "left_semi").select("lane", F.col("chunk").alias("before"), F.col("exit_id").alias("entry_id"), F.col("exit").alias("entry"))
-        entries = materialise(order.join(exits, ["lane", "before"]).drop("before"), "ld-entries")
-        if entries.isEmpty():
-            break
-        again = scan(coded.join(entries, ["lane", "chunk"]))
-        after = materialise(again.unionByName(state.join(entries, ["lane", "chunk"], "left_anti")), "ld-scan")
-        both = after.select("lane", "chunk", F.col("exit_id").alias("now")).join(state.select("lane", "chunk", "exit_id"), ["lane", "chunk"])
-        moved = materialise(both.where("now <> exit_id").select("lane", "chunk"), "ld-moved")
-        discard(entries)
-        discard(state)
-        state = after
+    state, _ = greedy_scan(coded, min_allowed_r2)
     discard(coded)
     kept = state.select(F.explode("kept").alias("kept_id"))
     after = within.df.join(kept, within.df.var_id == kept.kept_id, "left_semi")

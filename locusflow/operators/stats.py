@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +56,20 @@ def obs_het_per_var(variants: VariantFrame, pops=None) -> DataFrame:
     return rows.select("var_id", "pop", "n_called", G.ratio(F.col("n_het"), F.col("n_called")).alias("obs_het"))
 
 
-def allele_freqs_per_var(variants: VariantFrame, pops=None, min_num_samples: float = config.MIN_NUM_SAMPLES) -> DataFrame:
-    """var_id, pop, allele, n, freq and missing_alleles for each allele the variant has in any population."""
+def check_alleles(variants: VariantFrame, alleles: Sequence[int] | None) -> None:
+    """Genotypes with other alleles than those given, if any are, are an error."""
+    if alleles is not None:
+        known = F.array(*[F.lit(int(a)) for a in (config.MISSING_ALLELE, *alleles)])
+        if not variants.df.where(F.exists("gts", lambda a: ~F.array_contains(known, a.cast("int")))).isEmpty():
+            raise ValueError("the genotypes have alleles that are not among the given ones")
+
+
+def allele_freqs_per_var(variants: VariantFrame, pops=None, min_num_samples: float = config.MIN_NUM_SAMPLES, alleles: Sequence[int] | None = None) -> DataFrame:
+    """var_id, pop, allele, n, freq and missing_alleles for each allele the variant has in any population.
+
+    Genotypes with other alleles than those given, if any are, are an error.
+    """
+    check_alleles(variants, alleles)
     seen = F.array_join(F.transform(G.allele_counts(F.col("gts")), lambda c: c["allele"].cast("string")), ",")
     summaries = G.pop_summaries(variants.with_df(variants.df.withColumn("seen", seen)), pops)
     listed = summaries.select("var_id", "pop", "n_alleles", "missing_alleles", "counts", F.explode(F.split("seen", ",")).alias("allele")).where("allele <> ''")

@@ -508,3 +508,43 @@ def test_workers_of_another_folder_find_the_package():
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=400, check=False)
     assert "all found" in done.stdout, done.stderr[-2000:]
+
+
+def scanned(x, limit):
+    """The greedy scan, one variant after another."""
+    kept = []
+    for i, row in enumerate(x):
+        r = filters.signed_r(x[kept[-1]], row) if kept else 0.0
+        if r is not None and abs(r) < limit:
+            kept.append(i)
+    return kept
+
+
+def coded_frame(spark, x, size):
+    return spark.createDataFrame([("", i // size, i, row.tolist()) for i, row in enumerate(x)], "lane string, chunk long, var_id long, coded array<int>")
+
+
+@pytest.mark.parametrize(("size", "limit"), [(3, 0.1), (5, 0.4), (50, 0.2)])
+def test_scan_in_stretches(spark, size, limit):
+    x = np.random.default_rng(size).integers(-1, 3, (90, 12))
+    x[30:60] = x[7]  # many stretches that keep nothing, or no variance
+    x[70] = 1
+    state, _ = filters.greedy_scan(coded_frame(spark, x, size), limit)
+    assert sorted(i for r in state.collect() for i in r.kept) == scanned(x, limit)
+
+
+def test_chains_of_stretches_take_few_rounds(spark):
+    """Each stretch alone would end with genotypes of its own, all near those of the first variant."""
+    rng = np.random.default_rng(2)
+    base = np.repeat([0, 2], 60)
+    x = np.array([np.where(rng.random(120) < 0.05, 1, base) for _ in range(96)])
+    assert scanned(x, 0.5) == [0] and len({tuple(r) for r in x.tolist()}) > 90
+    state, rounds = filters.greedy_scan(coded_frame(spark, x, 2), 0.5)  # 48 stretches
+    assert [i for r in state.collect() for i in r.kept] == [0] and rounds <= 4
+
+
+def test_given_alleles(spark):
+    held = frame(spark, HET)
+    assert stats.allele_freqs_per_var(held, min_num_samples=1, alleles=[0, 1]).count() == stats.allele_freqs_per_var(held, min_num_samples=1).count()
+    with pytest.raises(ValueError, match="alleles"):
+        stats.allele_freqs_per_var(held, alleles=[0])
