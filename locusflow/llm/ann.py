@@ -66,13 +66,15 @@ class GraphSettings:
 @dataclass(frozen=True)
 class SearchSettings:
     """pool: nodes kept for a query; open: expanded in a hop; entries: common starting nodes, as many
-    again of the longest; near, long: nodes that list a node and that it gets in return."""
+    again of the longest; near, long: nodes that list a node and that it gets in return; hub: queries
+    beyond which a node that many expand is split in parts of about as many."""
 
     pool: int = 256
     open: int = 64
     entries: int = 64
     near: int = 16
     long: int = 16
+    hub: int = 100_000
 
 
 #: Bytes of a packed vector beside its codes: the scale and the added component's shortfall.
@@ -284,10 +286,14 @@ def two_way_lists(graph: DataFrame, packed: DataFrame, s: SearchSettings = Searc
     """u and v: a node's own neighbours and, of the nodes that list it, the nearest and then the longest."""
     edges = graph.select("u", F.explode(F.arrays_zip("vs", "sims")).alias("e")).select("u", F.col("e.vs").alias("v"), F.col("e.sims").alias("sim"))
     back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim").join(packed.select(F.col("node").alias("v"), "short"), "v")
-    by_sim = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    by_length = Window.partitionBy("u").orderBy(F.desc("short"), "v")
-    ranked = back.withColumns({"r": F.row_number().over(by_sim), "l": F.row_number().over(by_length)})
-    return edges.select("u", "v").unionByName(ranked.where((F.col("r") <= s.near) | (F.col("l") <= s.long)).select("u", "v")).distinct()
+
+    def first(order: list, most: int) -> DataFrame:
+        """A rank limit of its own, which holds in each task before the rows of a node meet."""
+        ranked = back.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(*order)))
+        return ranked.where(F.col("r") <= most).select("u", "v")
+
+    near, long = first([F.desc("sim"), "v"], s.near), first([F.desc("short"), "v"], s.long)
+    return edges.select("u", "v").unionByName(near).unionByName(long).distinct()
 
 
 def _bucketed(lists: DataFrame, packed: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -317,6 +323,17 @@ def _numbers(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray
     return held.values.to_numpy(zero_copy_only=False), offsets
 
 
+def _split_hubs(table: DataFrame, frontier: DataFrame, hub: int) -> DataFrame:
+    """The frontier's rows with their nodes' lists; the rows of a node that more than hub queries expand are dealt out in parts."""
+    parts = frontier.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("parts")).where("parts > 1")
+    parts = materialise(parts, "hubs")  # a row for so many rows of the frontier
+    others = table.join(frontier.join(parts, "u", "left_anti").hint("shuffle_hash"), "u")
+    lists = table.join(parts, "u").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = frontier.join(parts, "u").withColumn("part", F.pmod(F.xxhash64("of"), F.col("parts").cast("long")).cast("int"))
+    columns = ["of", "q", "bar", "vs", "vecs"]
+    return others.select(*columns).unionByName(asked.drop("parts").join(lists.drop("parts"), ["u", "part"]).select(*columns))
+
+
 def search_graph(graph: DataFrame, packed: DataFrame, width: int, queries: DataFrame, s: SearchSettings = SearchSettings()) -> DataFrame:
     """node (of the query), ids: its pool after the last hop, best first. queries has the columns node and x."""
     spark = packed.sparkSession
@@ -324,8 +341,14 @@ def search_graph(graph: DataFrame, packed: DataFrame, width: int, queries: DataF
     starts = packed.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(s.entries).collect()
     starts += packed.orderBy(F.desc("short"), "node").limit(s.entries).collect()
     entries = {r.node: bytes(r.vec) for r in starts}
-    entry_ids = np.array(list(entries), np.int64)
-    entry_vectors = unpack_vectors(b"".join(entries.values()), width)[:, :-1]
+    # what the entries list is scored at the start, so that no hop sends all queries to the same few nodes
+    known = dict(entries)
+    for row in table.where(F.col("u").isin(list(entries))).select("vs", "vecs").collect() if entries else []:  # entries x a list's length
+        vecs = bytes(row.vecs)
+        known.update((v, vecs[k * width : (k + 1) * width]) for k, v in enumerate(row.vs))
+    start_ids = np.array(list(known), np.int64)
+    start_vectors = unpack_vectors(b"".join(known.values()), width)[:, :-1]
+    expanded = np.isin(start_ids, list(entries)).astype(np.int8)
 
     def pooled(ids: np.ndarray, sims: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((-done, ids, -sims))
@@ -342,9 +365,10 @@ def search_graph(graph: DataFrame, packed: DataFrame, width: int, queries: DataF
         for batch in batches:
             rows = []
             for node, q in zip(batch.column("node").to_pylist(), batch.column("q").to_pylist(), strict=True):
-                ids = np.concatenate([[node], entry_ids])
-                sims = np.concatenate([[np.inf], entry_vectors @ np.frombuffer(q, "<f4")])
-                rows.append(pooled(ids, sims, np.zeros(len(ids), np.int8)))
+                ids = np.concatenate([[node], start_ids])
+                sims = np.concatenate([[np.inf], start_vectors @ np.frombuffer(q, "<f4")])
+                done = np.concatenate([[expanded[start_ids == node].max(initial=0)], expanded]).astype(np.int8)
+                rows.append(pooled(ids, sims, done))
             yield stored(batch, rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,14 +416,18 @@ def search_graph(graph: DataFrame, packed: DataFrame, width: int, queries: DataF
         open_ = F.slice(F.filter(F.arrays_zip("ids", "done"), lambda e: e["done"] == 0), 1, s.open)
         bar = F.when(F.size("ids") >= s.pool, F.element_at("sims", -1)).otherwise(F.lit(-math.inf)).cast("float")
         frontier = materialise(state.select(F.col("node").alias("of"), "q", bar.alias("bar"), F.explode(open_).alias("e")).select("of", "q", "bar", F.col("e.ids").alias("u")), "frontier")
-        size = frontier.count()
+        asked = frontier.groupBy("u").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("size"), F.max("n").alias("most")).first()
+        size = asked.size or 0
         if not size:
             for done in (frontier, table):
                 discard(done)
             spark.sql(f"DROP TABLE {name}")
             return state.select("node", "ids")
         side = F.broadcast(frontier) if size * (4 * width + 32) <= BROADCAST_BYTES else frontier.hint("shuffle_hash")
-        met = table.join(side, "u").select("of", "q", "bar", "vs", "vecs").mapInArrow(score, "of long, vs array<long>, ps array<float>")
+        met = table.join(side, "u").select("of", "q", "bar", "vs", "vecs")
+        if size * (4 * width + 32) > BROADCAST_BYTES and asked.most > s.hub:
+            met = _split_hubs(table, frontier, s.hub)
+        met = met.mapInArrow(score, "of long, vs array<long>, ps array<float>")
         met = met.where(F.size("vs") > 0).groupBy("of").agg(F.flatten(F.collect_list("vs")).alias("vs"), F.flatten(F.collect_list("ps")).alias("ps"))
         joined = state.join(met, state.node == met["of"], "left").drop("of").withColumns({c: F.coalesce(c, e) for c, e in none.items()})
         after = materialise(joined.mapInArrow(advance, schema), f"search-{hop}")

@@ -555,6 +555,36 @@ def test_nearest(spark):
         assert all(abs(s - float(np.dot(by_id[q], by_id[i]))) < 1e-9 for i, s in listed)
 
 
+def test_rounds_improve_the_first_graph(spark):
+    """Two tables of small blocks find few neighbours; NN-descent finds the rest."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(1_200, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, x array<double>")
+    packed, width = ann.packed_nodes(nodes)
+    s = ann.GraphSettings(degree=12, tables=2, block=60)
+    products = x @ x.T
+    np.fill_diagonal(products, -np.inf)
+    wanted = [set(np.argsort(-p)[:12].tolist()) for p in products]
+    share = lambda lists: sum(len(set(r.vs) & wanted[r.u]) for r in lists.collect()) / (12 * len(x))
+    first = ann.first_graph(packed, width, len(x), s).withColumn("states", F.transform("vs", lambda _: F.lit(ann.NEW).cast("tinyint")))
+    before, after = share(ann.merge_lists(first, s, 0)), share(ann.nn_descent(packed, width, s))
+    assert before < 0.4 and after > 0.85, (before, after)
+
+
+def test_hubs_are_split_without_a_trace(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=8) * rng.uniform(0.3, 2)).tolist()) for i in range(500)]
+    held = vectors(spark, rows)
+    run = lambda settings: sorted(map(tuple, ann.nearest(held, held.where("vec_id % 5 = 0"), 10, graph_settings=GRAPH, search_settings=settings).collect()))
+    plain = run(SEARCH)
+    split, inner = [], ann._split_hubs
+    monkeypatch.setattr(ann, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(ann, "_split_hubs", lambda *a: split.append(1) or inner(*a))
+    assert run(ann.SearchSettings(pool=64, open=8, entries=8, near=6, long=6, hub=4)) == plain and split
+    assert run(SEARCH) == plain
+
+
 def test_nearest_edges(spark):
     for rows, wanted in (([], 0), ([(0, [1.0, 2.0])], 0), ([(0, [1.0]), (1, [1.0]), (2, [-1.0])], 2)):
         held = vectors(spark, rows)
