@@ -10,7 +10,7 @@ Columns: doc_id, file_no (files in order), first_in_file (ids before the documen
 n_tokens (end id included), token_ids.
 
 Null text counts as empty and becomes the end id alone. Rows with a null doc_id come first.
-Rows with equal doc_id follow each other in the order of their texts. An empty table gives an
+Rows with equal doc_id follow each other in the order of a digest of their texts. An empty table gives an
 empty store. Further columns of the input are ignored.
 """
 
@@ -64,10 +64,10 @@ def write_token_store(
             )
 
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row_no"))
-        .repartitionByRange(files, "doc_id", "text", "row_no")  # rows of one id, or without one, may be many
-        .sortWithinPartitions("doc_id", "text", "row_no")
-        .drop("row_no")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("row_no"))
+        .repartitionByRange(files, "doc_id", "digest", "row_no")  # rows of one id, or without one, may be many; the sample of keys holds no texts
+        .sortWithinPartitions("doc_id", "digest", "row_no")
+        .drop("digest", "row_no")
     )
     (
         ordered.mapInArrow(encode, STORE_SCHEMA)
