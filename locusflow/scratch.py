@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_scratch: dict[str, str] = {}
+_writing = threading.Lock()
+#: Of sessions with writes under way: how many, and the setting before the first.
+_writers: dict[int, tuple[int, str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -49,13 +53,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 @contextmanager
 def shuffles_end_with_queries(spark: SparkSession) -> Iterator[None]:
-    """A stored result is read again from its table, so the shuffle files behind it needn't stay on the executors' disks."""
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    """A stored result is read again from its table, so the shuffle files behind it needn't stay on the executors' disks.
+
+    The setting is the session's: the first thread that writes sets it, the last one puts it back.
+    """
+    key = id(spark._jsparkSession)
+    with _writing:
+        depth, before = _writers.get(key) or (0, spark.conf.get(CLEANUP))
+        _writers[key] = (depth + 1, before)
+        spark.conf.set(CLEANUP, "true")
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        with _writing:
+            depth, before = _writers.pop(key)
+            if depth > 1:
+                _writers[key] = (depth - 1, before)
+            else:
+                spark.conf.set(CLEANUP, before)
 
 
 def materialise(frame: DataFrame, label: str, **options: str) -> DataFrame:

@@ -242,3 +242,28 @@ def test_written_bgzip_reads_back(spark, tmp_path):
     vcf_format.write_bgzip(lines, str(tmp_path / "out"), block_bytes=300)
     held = vars_from_vcf(spark, str(tmp_path / "out"), split_bytes=400)
     assert [(r.var_id, r.id) for r in held.df.orderBy("var_id").collect()] == [(i, f"v{i}") for i in range(50)]
+
+
+def test_threads_share_the_setting_of_writes(spark):
+    import threading
+
+    from locusflow.scratch import CLEANUP, discard, materialise, shuffles_end_with_queries
+
+    before = spark.conf.get(CLEANUP)
+    seen, inside, leave = [], threading.Event(), threading.Event()
+
+    def other():
+        with shuffles_end_with_queries(spark):
+            inside.set()
+            leave.wait(60)
+            seen.append(spark.conf.get(CLEANUP))
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    inside.wait(60)
+    table = materialise(spark.range(5), "threads")
+    assert table.count() == 5
+    leave.set()
+    thread.join()
+    assert seen == ["true"] and spark.conf.get(CLEANUP) == before
+    discard(table)
