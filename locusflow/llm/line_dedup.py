@@ -12,10 +12,15 @@ banded bit-parallel edit distance on the texts themselves.
 A key that many entries share would give the square of their number of candidate pairs. At a
 budget of one edit such entries are met through their one-deletion variants instead, which only
 lines one edit apart share, and each is compared with the first of its group alone: all others of
-a group are then that near as well, so the same lines go. At larger budgets they are dealt out to
-pairs of blocks of bounded size; a task compares counts of characters first, which no edit changes
-by more than two, then distances until a line has met an earlier one that is near. Such a key
-costs the square of its lines in comparisons of counts, but sends no pairs.
+a group are then that near as well, so the same lines go. At larger budgets what the lines have
+beside the shared segment is cut again: within a key, lines that are near are near in the rest too,
+so the rest is cut into budget + 1 segments of its own, which make keys below the key, and so on
+until few entries share one. What all rests of a key have in common at their start and end is taken
+off first, so lines of one template are cut by what varies in them. Where at most `budget`
+characters are left, all entries of one length are near one another and meet the first alone; only
+longer or shifted ones are dealt out to pairs of blocks of bounded size, where a task compares
+counts of characters first, which no edit changes by more than two, then distances until a line has
+met an earlier one that is near.
 
 Blank lines always stay, and so do null texts. Lines shorter than the first class only go if
 repeated exactly. Rows that share doc_id and text are treated alike, as one document. A null
@@ -27,18 +32,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialise, ship_package, small
+from .common import BROADCAST_BYTES, discard, materialise, ship_package, small
 
 #: Classes of lines: the least length and the edits allowed from there on, three at most.
 BUDGETS = ((20, 1), (60, 2))
-#: Entries under a key that are still compared pair by pair; lines in a block of a key of more.
+#: Entries under a key that are still compared pair by pair; lines in a block of a key of more that can't be cut again.
 HOT, BLOCK = 32, 2_048
 #: Kinds of characters that are counted, and lines whose counts are compared with a block at once.
 KINDS, STEP = 32, 64
@@ -200,10 +205,7 @@ def _shared_keys(entries: DataFrame, budgets: Sequence[tuple[int, int]], hot: in
     twos = shared.where("n = 2").select("u", "v")
     more = materialise(shared.where("n > 2").select("key", "n"), "crowded-keys")
     members = materialise(keys.join(small(more, most), "key"), "shared-members")
-    groups = members.where(F.col("n") <= hot).groupBy("key").agg(F.collect_set(F.struct("id", "indexed")).alias("m"))
-    one = groups.select("m", F.explode("m").alias("x")).where("x.indexed = 1")
-    pairs = one.select(F.col("x.id").alias("u"), F.explode("m.id").alias("v")).where("u <> v")
-    pairs = twos.unionByName(pairs).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = twos.unionByName(_pairs_in(members.where(F.col("n") <= hot))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     crowded = members.where(F.col("n") > hot).withColumn("edits", F.pmod("key", F.lit(4)).cast("int"))
     return materialise(pairs, "line-pairs"), materialise(crowded, "hot-members")
 
@@ -243,7 +245,7 @@ def character_counts(lines: Sequence[str]) -> np.ndarray:
 
 
 def _block_links(members: DataFrame, texts: DataFrame, budgets: Sequence[tuple[int, int]], block: int) -> DataFrame:
-    """a_first, b_first: for each line of a hot key that has an earlier near one under it, one such pair a block pair."""
+    """a_first, b_first: for each line of a key that has an earlier near one of the other role under it, one such pair a block pair."""
     first = "struct<doc_id:bigint,doc_hash:bigint,place:int>"
     lines = members.join(texts.select(F.col("id").alias("of"), "first", "line"), F.col("id") == F.col("of"))
     lines = lines.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
@@ -265,7 +267,7 @@ def _block_links(members: DataFrame, texts: DataFrame, budgets: Sequence[tuple[i
             early = np.arange(late[-1] + 1)
             allowed = np.minimum(edits[late][:, None], edits[early][None, :])
             near = np.abs(counts[late][:, None, :] - counts[early][None, :, :]).sum(axis=2) <= 2 * allowed
-            near &= (early[None, :] < late[:, None]) & (indexed[late][:, None] | indexed[early][None, :])
+            near &= (early[None, :] < late[:, None]) & (indexed[late][:, None] != indexed[early][None, :])
             if apart:
                 near &= own[late][:, None] != own[early][None, :]
             for k, row in zip(late.tolist(), near, strict=True):
@@ -279,6 +281,124 @@ def _block_links(members: DataFrame, texts: DataFrame, budgets: Sequence[tuple[i
     return dealt.groupBy("key", "x", "y").applyInArrow(meet, f"a_first {first}, b_first {first}")
 
 
+def rests_of(line: str, keys: set[int], budgets: Sequence[tuple[int, int]] = BUDGETS) -> list[tuple[int, int, int, str]]:
+    """(key, indexed, length, rest) under those of a line's keys that are given.
+
+    rest: the line without the key's segment; length: that of the rest of the key's indexed lines.
+    """
+    from xxhash import xxh64_intdigest
+
+    raw = line.encode("utf-32-le", "surrogatepass")
+    n_index, plan = _key_plan(len(line), tuple(budgets))
+    out = set()
+    for k, (start, end, seed, edits) in enumerate(plan):
+        key = (xxh64_intdigest(raw[start:end], seed) & ~3 | edits) - 2**63
+        if key in keys:
+            out.add((key, int(k < n_index), (seed >> 4) - (end - start) // 4, line[: start // 4] + line[end // 4 :]))
+    return sorted(out)
+
+
+def cut_rest(key: int, indexed: int, length: int, rest: str) -> list[tuple[int, int, int, str]]:
+    """The same one level down: keys of the segments of a rest, below its key."""
+    from xxhash import xxh64_intdigest
+
+    edits, more = (key + 2**63) & 3, len(rest) - length
+    raw = rest.encode("utf-32-le", "surrogatepass")
+    out = set()
+    for i, (at, size) in enumerate(segments(length, edits)):
+        low = max(0, at - i, at + more - (edits - i))
+        high = min(len(rest) - size, at + i, at + more + (edits - i))
+        for k in range(low, high + 1):
+            below = xxh64_intdigest(raw[4 * k : 4 * (k + size)], (key + i * _BASE) % 2**64) & ~3 | edits
+            out.add((below - 2**63, int(indexed and k == at), length - size, rest[:k] + rest[k + size :]))
+    return sorted(out)
+
+
+_RESTS = "key long, id long, indexed int, length int, rest string"
+_REST_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+_REST_NAMES = [c.split()[0] for c in _RESTS.split(", ")]
+
+
+def _rest_batch(rows: list[tuple[int, int, int, int, str]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in _REST_NAMES]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _REST_KINDS, strict=True)], _REST_NAMES)
+
+
+def _first_rests(texts: DataFrame, crowded: DataFrame, budgets: Sequence[tuple[int, int]]) -> DataFrame:
+    keys = crowded.groupBy(F.col("id").alias("of")).agg(F.collect_set("key").alias("keys"))  # a line has few keys
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = zip(*(batch.column(c).to_pylist() for c in ("id", "line", "keys")), strict=True)
+            yield _rest_batch([(key, id_, *found) for id_, line, held in lines for key, *found in rests_of(line, set(held), budgets)])
+
+    return texts.join(keys, F.col("id") == F.col("of")).select("id", "line", "keys").mapInArrow(make, _RESTS)
+
+
+def _crowds(rests: DataFrame) -> DataFrame:
+    """key, n, length, head and tail (the characters that all rests share at their ends) of keys under which lines can meet."""
+    turned = F.reverse("rest")
+    counted = rests.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.max("length").alias("length"), F.max("indexed").alias("any_indexed"), (F.min("id") < F.max("id")).alias("several"),
+        F.min("rest").alias("a"), F.max("rest").alias("b"), F.min(turned).alias("c"), F.max(turned).alias("d"), F.min(F.length("rest")).alias("least"),
+    )
+    schema = "key long, n long, length int, head int, tail int"
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, c, d, least = (batch.column(x).to_pylist() for x in ("a", "b", "c", "d", "least"))
+            head = [_common(x, y, n) for x, y, n in zip(a, b, least, strict=True)]
+            tail = [_common(x, y, n - h) for x, y, n, h in zip(c, d, least, head, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("key", "n", "length")), pa.array(head, pa.int32()), pa.array(tail, pa.int32())], ["key", "n", "length", "head", "tail"])
+
+    return counted.where("several and any_indexed = 1").mapInArrow(shared, schema)
+
+
+def _pairs_in(members: DataFrame) -> DataFrame:
+    """u, v of the entries under keys of few members, one of them indexed."""
+    groups = members.groupBy("key").agg(F.collect_set(F.struct("id", "indexed")).alias("m"))
+    one = groups.select("m", F.explode("m").alias("x")).where("x.indexed = 1")
+    return one.select(F.col("x.id").alias("u"), F.explode("m.id").alias("v")).where("u <> v")
+
+
+def _cut_crowds(texts: DataFrame, crowded: DataFrame, budgets: Sequence[tuple[int, int]], hot: int, most: int) -> tuple[list[DataFrame], DataFrame]:
+    """Candidate pairs (u, v) under hot keys, level by level, and members (key, n, id, indexed) that must meet in blocks.
+
+    Each level takes a share of one in budget + 1 off what is left of the lines, so levels follow
+    the logarithm of their length; rows of a level are a fixed number times those above it.
+    """
+    rests = materialise(_first_rests(texts, crowded, budgets), "cut-rests", compression="zstd")
+    pairs, ends = [], []
+    while True:
+        crowds = materialise(_crowds(rests), "cut-crowds")
+        if crowds.isEmpty():
+            break
+        members = rests.drop("length").join(small(crowds, most), "key")
+        pairs.append(materialise(_pairs_in(members.where(F.col("n") <= hot)), "cut-pairs"))
+        left = F.col("length") - F.col("head") - F.col("tail")
+        edits = F.pmod("key", F.lit(4)).cast("int")
+        held = members.where(F.col("n") > hot)
+        ends.append(materialise(held.where(left <= edits).groupBy("key", "id").agg(F.max("n").alias("n"), F.max("indexed").alias("indexed")), "cut-ends"))
+        go = held.where(left > edits).select("key", "id", "indexed", left.alias("length"), F.expr("substring(rest, head + 1, length(rest) - head - tail)").alias("rest"))
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2_000):
+                    rows = zip(*(c.to_pylist() for c in batch.slice(at, 2_000).columns), strict=True)
+                    yield _rest_batch([(below, id_, *found) for key, id_, *held in rows for below, *found in cut_rest(key, *held)])
+
+        after = materialise(go.mapInArrow(cut, _RESTS), "cut-rests", compression="zstd")
+        discard(rests)
+        rests = after
+    ended = reduce(DataFrame.unionByName, ends) if ends else rests.select("key", "id", F.lit(0).cast("long").alias("n"), "indexed")
+    firsts = texts.select(F.col("id").alias("of"), "first")
+    same = ended.where("indexed = 1").join(firsts, F.col("id") == F.col("of"))
+    heads = same.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("first", "id")).alias("head"))
+    pairs.append(materialise(same.join(heads, F.col("key") == F.col("k")).select(F.col("id").alias("u"), F.col("head.id").alias("v")).where("u <> v"), "cut-pairs"))
+    mixed = ended.groupBy(F.col("key").alias("k")).agg(F.min("indexed").alias("lo"), F.max("indexed").alias("hi")).where("lo < hi")
+    return pairs, materialise(ended.join(mixed, F.col("key") == F.col("k"), "left_semi"), "cut-blocks")
+
+
 def near_links(entries: DataFrame, budgets: Sequence[tuple[int, int]] = BUDGETS, hot: int = HOT, block: int = BLOCK, most: int = BROADCAST_BYTES) -> DataFrame:
     """Pairs within the budget: a_first, b_first, the places of the first lines of both kinds.
 
@@ -293,6 +413,11 @@ def near_links(entries: DataFrame, budgets: Sequence[tuple[int, int]] = BUDGETS,
     varied = crowded.where("edits = 1").select(F.col("id").alias("u")).distinct()
     if not varied.isEmpty():
         pairs = pairs.unionByName(_hot_pairs(texts, varied)).distinct()
+    blocked, cut = None, crowded.where("edits > 1")
+    if not cut.isEmpty():
+        more, blocked = _cut_crowds(texts, cut, budgets, hot, most)
+        below = reduce(DataFrame.unionByName, more).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        pairs = materialise(pairs.unionByName(below).distinct(), "line-pairs")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,8 +429,7 @@ def near_links(entries: DataFrame, budgets: Sequence[tuple[int, int]] = BUDGETS,
     held = pairs.join(sides[0], "u").join(sides[1], "v").select("a_first", "a_line", "b_first", "b_line")
     first = "struct<doc_id:bigint,doc_hash:bigint,place:int>"
     links = held.mapInArrow(compare, f"a_first {first}, b_first {first}")
-    blocked = crowded.where("edits > 1")
-    return links if blocked.isEmpty() else links.unionByName(_block_links(blocked, texts, budgets, block))
+    return links if blocked is None or blocked.isEmpty() else links.unionByName(_block_links(blocked, texts, budgets, block))
 
 
 def kept_lines(docs: DataFrame, budgets: Sequence[tuple[int, int]] = BUDGETS, hot: int = HOT, block: int = BLOCK, most: int = BROADCAST_BYTES) -> DataFrame:

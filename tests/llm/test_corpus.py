@@ -138,6 +138,63 @@ def test_line_kernels():
                 assert {*ia} & {*ib, *pb} or {*ib} & {*pa}
 
 
+def test_cut_rests_keep_near_lines_together():
+    rng = random.Random(4)
+    budgets = ((4, 2),)
+    for _ in range(2000):
+        a = "".join(rng.choice("ab") for _ in range(rng.randint(6, 14)))
+        a, b = sorted((a, changed(rng, a, 2)), key=len)
+        if a == b or distance(a, b) > 2 or len(a) < 4:
+            continue
+        sides = [(x, *line_dedup.segment_keys(x, budgets)) for x in (a, b)]
+        indexed, other = ([*line_dedup.rests_of(x, {*i, *p}, budgets)] for x, i, p in sides)
+        indexed = [r for r in indexed if r[1]]
+        while True:
+            shared = {r[0] for r in indexed} & {r[0] for r in other}
+            assert shared, (a, b)
+            indexed, other = ([r for r in side if r[0] in shared] for side in (indexed, other))
+            if any(r[2] <= 2 for r in indexed):
+                break
+            indexed, other = [c for r in indexed for c in line_dedup.cut_rest(*r) if c[1]], [c for r in other for c in line_dedup.cut_rest(*r)]
+
+
+@pytest.mark.parametrize("hot", [3, 12])
+def test_line_dedup_of_templates(spark, hot):
+    """Lines of a template that differ in a number, in its length, in two places, in their last words."""
+    rng = random.Random(hot)
+    lines = [f"{FILLER[:60]} number {rng.randint(1, 3_000)} of this batch" for _ in range(120)]
+    lines += [f"{rng.randint(0, 99):02d} {FILLER[:70]} {rng.randint(0, 99):02d}" for _ in range(80)]
+    lines += [FILLER[:66] + " " + "".join(rng.choice("abc") for _ in range(5)) for _ in range(80)]
+    lines += [changed(rng, FILLER[:75], rng.randint(0, 4)) for _ in range(60)] + ["=-" * k for k in range(28, 60)]
+    wanted = deduped(lines)
+    report = collected(line_dedup.line_report(documents(spark, lines), hot=hot, block=16), "doc_id")
+    for i, (_, kept) in enumerate(wanted):
+        assert report[i].n_kept == kept, lines[i]
+
+
+def test_work_under_a_hot_key_follows_its_lines(spark, monkeypatch):
+    """Rows sent and pairs compared for one template: four times the lines, about four times the work."""
+    rows = {}
+    store = line_dedup.materialise
+
+    def counted(frame, label, **options):
+        held = store(frame, label, **options)
+        if label.startswith("cut-") or label == "line-pairs":
+            rows[label] = rows.get(label, 0) + held.count()
+        return held
+
+    monkeypatch.setattr(line_dedup, "materialise", counted)
+    rng = random.Random(6)
+    work = []
+    for n in (1_000, 4_000):
+        rows.clear()
+        lines = [FILLER[:70] + " " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30)) for _ in range(n)]
+        assert sum(r.n_kept for r in line_dedup.line_report(documents(spark, lines)).collect()) == n
+        assert rows["cut-blocks"] == 0 and rows["cut-rests"] < 60 * n
+        work.append(sum(rows.values()))
+    assert work[1] < 5 * work[0]
+
+
 def test_line_edges(spark):
     long = "y" * 300_000
     docs = documents(spark, [long, long + "z", None, "", "\n\n", "same line here for everyone", "same line here for everyone"], [1, 2, 3, 4, 5, None, None])
