@@ -12,15 +12,15 @@ banded bit-parallel edit distance on the texts themselves.
 A key that many entries share would give the square of their number of candidate pairs. At a
 budget of one edit such entries are met through their one-deletion variants instead, which only
 lines one edit apart share, and each is compared with the first of its group alone: all others of
-a group are then that near as well, so the same lines go. At larger budgets what the lines have
-beside the shared segment is cut again: within a key, lines that are near are near in the rest too,
-so the rest is cut into budget + 1 segments of its own, which make keys below the key, and so on
-until few entries share one. What all rests of a key have in common at their start and end is taken
-off first, so lines of one template are cut by what varies in them. Where at most `budget`
-characters are left, all entries of one length are near one another and meet the first alone; only
-longer or shifted ones are dealt out to pairs of blocks of bounded size, where a task compares
-counts of characters first, which no edit changes by more than two, then distances until a line has
-met an earlier one that is near.
+a group are then that near as well, so the same lines go. At larger budgets a key's lines meet in
+one block of bounded size, where a task compares counts of characters first, which no edit changes
+by more than two, then distances until a line has met an earlier one that is near. If a key has
+more lines than a block, what they have beside the shared segment is cut again: within a key, lines
+that are near are near in the rest too, so the rest is cut into budget + 1 segments of its own,
+which make keys below the key, and so on until a block holds them. What all rests of a key have in
+common at their start and end is taken off first, so lines of one template are cut by what varies
+in them. Where at most `budget` characters are left, all entries of one length are near one another
+and meet the first alone; longer or shifted ones are dealt out to pairs of blocks.
 
 Blank lines always stay, and so do null texts. Lines shorter than the first class only go if
 repeated exactly. Rows that share doc_id and text are treated alike, as one document. A null
@@ -245,7 +245,7 @@ def character_counts(lines: Sequence[str]) -> np.ndarray:
 
 
 def _block_links(members: DataFrame, texts: DataFrame, budgets: Sequence[tuple[int, int]], block: int) -> DataFrame:
-    """a_first, b_first: for each line of a key that has an earlier near one of the other role under it, one such pair a block pair."""
+    """a_first, b_first: for each line of a key that has an earlier near one under it, one such pair a block pair."""
     first = "struct<doc_id:bigint,doc_hash:bigint,place:int>"
     lines = members.join(texts.select(F.col("id").alias("of"), "first", "line"), F.col("id") == F.col("of"))
     lines = lines.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
@@ -267,7 +267,7 @@ def _block_links(members: DataFrame, texts: DataFrame, budgets: Sequence[tuple[i
             early = np.arange(late[-1] + 1)
             allowed = np.minimum(edits[late][:, None], edits[early][None, :])
             near = np.abs(counts[late][:, None, :] - counts[early][None, :, :]).sum(axis=2) <= 2 * allowed
-            near &= (early[None, :] < late[:, None]) & (indexed[late][:, None] != indexed[early][None, :])
+            near &= (early[None, :] < late[:, None]) & (indexed[late][:, None] | indexed[early][None, :])
             if apart:
                 near &= own[late][:, None] != own[early][None, :]
             for k, row in zip(late.tolist(), near, strict=True):
@@ -361,8 +361,8 @@ def _pairs_in(members: DataFrame) -> DataFrame:
     return one.select(F.col("x.id").alias("u"), F.explode("m.id").alias("v")).where("u <> v")
 
 
-def _cut_crowds(texts: DataFrame, crowded: DataFrame, budgets: Sequence[tuple[int, int]], hot: int, most: int) -> tuple[list[DataFrame], DataFrame]:
-    """Candidate pairs (u, v) under hot keys, level by level, and members (key, n, id, indexed) that must meet in blocks.
+def _cut_crowds(texts: DataFrame, crowded: DataFrame, budgets: Sequence[tuple[int, int]], hot: int, block: int, most: int) -> tuple[list[DataFrame], DataFrame]:
+    """Candidate pairs (u, v) under keys of more than a block, level by level, and members (key, n, id, indexed) that must meet in blocks.
 
     Each level takes a share of one in budget + 1 off what is left of the lines, so levels follow
     the logarithm of their length; rows of a level are a fixed number times those above it.
@@ -378,8 +378,8 @@ def _cut_crowds(texts: DataFrame, crowded: DataFrame, budgets: Sequence[tuple[in
         left = F.col("length") - F.col("head") - F.col("tail")
         edits = F.pmod("key", F.lit(4)).cast("int")
         held = members.where(F.col("n") > hot)
-        ends.append(materialise(held.where(left <= edits).groupBy("key", "id").agg(F.max("n").alias("n"), F.max("indexed").alias("indexed")), "cut-ends"))
-        go = held.where(left > edits).select("key", "id", "indexed", left.alias("length"), F.expr("substring(rest, head + 1, length(rest) - head - tail)").alias("rest"))
+        ends.append(materialise(held.where((F.col("n") <= block) | (left <= edits)).groupBy("key", "id").agg(F.max("n").alias("n"), F.max("indexed").alias("indexed")), "cut-ends"))
+        go = held.where((F.col("n") > block) & (left > edits)).select("key", "id", "indexed", left.alias("length"), F.expr("substring(rest, head + 1, length(rest) - head - tail)").alias("rest"))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -390,13 +390,15 @@ def _cut_crowds(texts: DataFrame, crowded: DataFrame, budgets: Sequence[tuple[in
         after = materialise(go.mapInArrow(cut, _RESTS), "cut-rests", compression="zstd")
         discard(rests)
         rests = after
-    ended = reduce(DataFrame.unionByName, ends) if ends else rests.select("key", "id", F.lit(0).cast("long").alias("n"), "indexed")
+    every = reduce(DataFrame.unionByName, ends) if ends else rests.select("key", "id", F.lit(0).cast("long").alias("n"), "indexed")
+    ended = every.where(F.col("n") > block)
     firsts = texts.select(F.col("id").alias("of"), "first")
     same = ended.where("indexed = 1").join(firsts, F.col("id") == F.col("of"))
     heads = same.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("first", "id")).alias("head"))
     pairs.append(materialise(same.join(heads, F.col("key") == F.col("k")).select(F.col("id").alias("u"), F.col("head.id").alias("v")).where("u <> v"), "cut-pairs"))
     mixed = ended.groupBy(F.col("key").alias("k")).agg(F.min("indexed").alias("lo"), F.max("indexed").alias("hi")).where("lo < hi")
-    return pairs, materialise(ended.join(mixed, F.col("key") == F.col("k"), "left_semi"), "cut-blocks")
+    blocks = every.where(F.col("n") <= block).unionByName(ended.join(mixed, F.col("key") == F.col("k"), "left_semi"))
+    return pairs, materialise(blocks, "cut-blocks")
 
 
 def near_links(entries: DataFrame, budgets: Sequence[tuple[int, int]] = BUDGETS, hot: int = HOT, block: int = BLOCK, most: int = BROADCAST_BYTES) -> DataFrame:
@@ -413,9 +415,11 @@ def near_links(entries: DataFrame, budgets: Sequence[tuple[int, int]] = BUDGETS,
     varied = crowded.where("edits = 1").select(F.col("id").alias("u")).distinct()
     if not varied.isEmpty():
         pairs = pairs.unionByName(_hot_pairs(texts, varied)).distinct()
-    blocked, cut = None, crowded.where("edits > 1")
+    wide = crowded.where("edits > 1")
+    blocked, cut = wide.where(F.col("n") <= block).select("key", "n", "id", "indexed"), wide.where(F.col("n") > block)
     if not cut.isEmpty():
-        more, blocked = _cut_crowds(texts, cut, budgets, hot, most)
+        more, below = _cut_crowds(texts, cut, budgets, hot, block, most)
+        blocked = blocked.unionByName(below)
         below = reduce(DataFrame.unionByName, more).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         pairs = materialise(pairs.unionByName(below).distinct(), "line-pairs")
 
@@ -429,7 +433,7 @@ def near_links(entries: DataFrame, budgets: Sequence[tuple[int, int]] = BUDGETS,
     held = pairs.join(sides[0], "u").join(sides[1], "v").select("a_first", "a_line", "b_first", "b_line")
     first = "struct<doc_id:bigint,doc_hash:bigint,place:int>"
     links = held.mapInArrow(compare, f"a_first {first}, b_first {first}")
-    return links if blocked is None or blocked.isEmpty() else links.unionByName(_block_links(blocked, texts, budgets, block))
+    return links if blocked.isEmpty() else links.unionByName(_block_links(blocked, texts, budgets, block))
 
 
 def kept_lines(docs: DataFrame, budgets: Sequence[tuple[int, int]] = BUDGETS, hot: int = HOT, block: int = BLOCK, most: int = BROADCAST_BYTES) -> DataFrame:
