@@ -333,6 +333,12 @@ def _vcf_header(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(header,)], "value string").coalesce(1)
 
 
+def _vcf_text(spark: SparkSession, d: str) -> DataFrame:
+    """Header and records by var_id, as in a sorted VCF: the table's files are read in no order of their own."""
+    held = variants(spark, d)
+    return _vcf_header(spark).unionAll(_vcf_lines(held.with_df(held.df.orderBy("var_id"))))
+
+
 def vcf_scan(spark, d):
     """The variants written as VCF parts and read back; var_id is the record's place."""
     path = scratch_path(spark, "variants-vcf")
@@ -343,8 +349,7 @@ def vcf_scan(spark, d):
 def vcf_bgzip_scan(spark, d):
     """The same from files of bgzip blocks, read in small splits by the data source."""
     path = scratch_path(spark, "variants-bgzip")
-    text = _vcf_header(spark).unionAll(_vcf_lines(variants(spark, d)))
-    vcf_format.write_bgzip(text, path, block_bytes=4_096)
+    vcf_format.write_bgzip(_vcf_text(spark, d), path, block_bytes=4_096)
     return _vcf_columns(vcf.vars_from_vcf(spark, path, split_bytes=8_192))
 
 
