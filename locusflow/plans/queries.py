@@ -342,7 +342,7 @@ def _vcf_text(spark: SparkSession, d: str) -> DataFrame:
 def vcf_scan(spark, d):
     """The variants written as VCF parts and read back; var_id is the record's place."""
     path = scratch_path(spark, "variants-vcf")
-    _vcf_header(spark).unionAll(_vcf_lines(variants(spark, d))).write.text(path)
+    _vcf_text(spark, d).write.text(path)
     return _vcf_columns(vcf.vars_from_vcf(spark, path))
 
 

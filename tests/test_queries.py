@@ -38,7 +38,7 @@ def test_same_as_sql(spark, db, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the shared test tables")
-@pytest.mark.parametrize("name", ["vcf_bgzip_scan"])
+@pytest.mark.parametrize("name", ["vcf_scan", "vcf_bgzip_scan"])
 def test_places_do_not_depend_on_files(spark, tmp_path, name):
     """Spark reads the largest file first: the table's rows don't come by vec_id."""
     table = spark.read.parquet(f"{DATA}/embeddings.parquet")
