@@ -211,6 +211,21 @@ def test_euclid_and_forms(spark):
         dists.Distances.from_vector(spark, [0.5, 0.75, 0.3], ["a"])
 
 
+def test_euclidean_blocks(spark):
+    """Blocks meet without copies of their rows; null vectors have pairs of no distance."""
+    values = np.random.default_rng(3).normal(size=(41, 6))
+    rows = spark.createDataFrame([(k, None if k == 7 else v.tolist()) for k, v in enumerate(values)], "id long, features array<double>")
+    found = dists.euclidean_pairs(rows, block=5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    held = {(r.i, r.j): r.dist for r in found.collect()}
+    assert len(held) == found.count() == 41 * 40 / 2 and all(i < j for i, j in held)
+    for (i, j), dist in held.items():
+        assert dist is None if 7 in (i, j) else abs(dist - np.linalg.norm(values[i] - values[j])) < 1e-12
+    with pytest.raises(Exception, match="different lengths"):
+        dists.euclidean_pairs(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], "id int, features array<double>")).collect()
+
+
 def test_dest_is_symmetric_and_null_when_few(spark):
     rng = np.random.default_rng(1)
     held = frame(spark, rng.integers(0, 3, (4, 12, 2)))
