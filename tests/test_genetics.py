@@ -393,6 +393,28 @@ def test_matrix_cells_on_demand(spark):
     assert near == {k: v for k, v in whole.items() if v[1] is not None and v[1] <= 20}
 
 
+def crowd(spark, n=60):
+    gts = np.random.default_rng(12).integers(-1, 3, (n, 7, 2))
+    info = {"chrom": [None if i % 11 == 0 else f"c{i % 3}" for i in range(n)], "pos": [None if i % 13 == 0 else 10 * i for i in range(n)]}
+    return frame(spark, gts, vars_info=info), info
+
+
+def test_rows_of_the_matrix_do_not_store_it(spark):
+    """What is stored is a copy of each variant; only blocks with the rows meet the others, without a shuffle."""
+    held, _ = crowd(spark)
+    matrix = ld.linkage_matrix(held, None, block=7)
+    assert matrix.blocks.agg(F.sum(F.size("var_id"))).first()[0] == 60 and matrix.blocks.count() > 5
+    some = matrix.cells(rows=[3, 44])
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    whole = {(r.var_id1, r.var_id2): r for r in matrix.cells().collect()}
+    assert len(whole) == 3600 and {(r.var_id1, r.var_id2): r for r in some.collect()} == {k: v for k, v in whole.items() if k[0] in (3, 44)}
+    tile = matrix.tiles.where("a < b").first()
+    r = np.frombuffer(tile.r).reshape(len(tile.ids_a), len(tile.ids_b))
+    assert [[whole[i, j].r2 for j in tile.ids_b] for i in tile.ids_a] == np.where(np.isnan(r), None, r).tolist()
+    assert len(tile.pos_b) == len(tile.chroms_b) == len(tile.ids_b)
+
+
 def test_sample_is_of_lowest_digests(spark):
     import hashlib
 
