@@ -5,9 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from locusflow import scratch
 from locusflow.frame import VariantFrame
 from locusflow.functions import genotypes as G
-from locusflow.operators import dists, filters, ld, ordination, stats
+from locusflow.operators import blocks, dists, filters, ld, ordination, stats
 from locusflow.operators.pipeline import Pipeline
 from locusflow.plans import queries as genetics_queries
 
@@ -415,6 +416,31 @@ def test_rows_of_the_matrix_do_not_store_it(spark):
     assert len(tile.pos_b) == len(tile.chroms_b) == len(tile.ids_b)
 
 
+@pytest.mark.parametrize(("rows", "columns"), [(1_000, 1_000), (3, 200_000), (70_000, 1), (0, 5), (5, 0)])
+def test_cells_are_made_by_slices(rows, columns):
+    """However large two blocks are, a task holds so many of their pairs."""
+    cuts = blocks.slices(rows, columns)
+    assert [k for c in cuts for k in range(rows)[c]] == list(range(rows))
+    assert all(len(range(rows)[c]) * columns <= blocks.PAIRS + columns for c in cuts)
+
+
+def test_whole_matrix_is_not_stored(spark, monkeypatch):
+    """The cells of the whole matrix come from blocks of variants: no stored table has rows of tiles."""
+    stored = []
+    for module in (ld, blocks):
+        monkeypatch.setattr(module, "materialise", lambda f, label, real=scratch.materialise, **o: stored.append(label) or real(f, label, **o))
+    held, info = crowd(spark)
+    found = ld.calc_rogers_huff_r2_matrix(held, check_no_mafs_above=None).collect()
+    assert sorted(stored) == ["ld-blocks", "ld-coded"]
+    coded = {r.var_id: r.coded for r in ld.coded_variants(held).collect()}
+    assert len({(r.var_id1, r.var_id2) for r in found}) == len(found) == 3600
+    for r in found:
+        one, two, (i, j) = coded[r.var_id1], coded[r.var_id2], (r.var_id1, r.var_id2)
+        close([r.r2], [numpy_r(one, two) if np.std(one) and np.std(two) else None])
+        near = info["chrom"][i] is not None and info["chrom"][i] == info["chrom"][j] and None not in (info["pos"][i], info["pos"][j])
+        assert r.dist_in_bp == (abs(i - j) * 10 if near else None)
+
+
 def test_sample_is_of_lowest_digests(spark):
     import hashlib
 
