@@ -416,6 +416,26 @@ def test_rows_of_the_matrix_do_not_store_it(spark):
     assert len(tile.pos_b) == len(tile.chroms_b) == len(tile.ids_b)
 
 
+def test_pairs_meet_without_copies(spark):
+    """Each pair once, from blocks that meet where they are stored; populations meet only their own variants."""
+    held, info = crowd(spark)
+    pairs = ld.calc_pairwise_rogers_huff_r2(held, check_no_mafs_above=None, block=7)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    found = pairs.collect()
+    assert sorted((r.var_id1, r.var_id2) for r in found) == [(i, j) for i in range(60) for j in range(i + 1, 60)]
+    coded = {r.var_id: r.coded for r in ld.coded_variants(held).collect()}
+    for r in found:
+        one, two = coded[r.var_id1], coded[r.var_id2]
+        close([r.r2], [numpy_r(one, two) if np.std(one) and np.std(two) else None])
+        places = [info[k][i] for k, i in (("chrom", r.var_id1), ("pos", r.var_id1), ("chrom", r.var_id2), ("pos", r.var_id2))]
+        assert [r.chrom1, r.pos1, r.chrom2, r.pos2] == places
+        assert r.dist_in_bp == (abs(r.pos1 - r.pos2) if r.chrom1 == r.chrom2 and None not in places else None)
+    pops = {"x": held.samples[:4], "y": held.samples[3:]}
+    far, near = (ld.get_ld_and_dist_for_pops(held, pops, max_dist=m, max_allowed_maf=1.0, max_num_measures_to_keep=None).collect() for m in (None, 10_000))
+    assert sorted(far) == sorted(near) and {r["pop"] for r in far} == {"x", "y"}
+
+
 @pytest.mark.parametrize(("rows", "columns"), [(1_000, 1_000), (3, 200_000), (70_000, 1), (0, 5), (5, 0)])
 def test_cells_are_made_by_slices(rows, columns):
     """However large two blocks are, a task holds so many of their pairs."""
