@@ -227,6 +227,31 @@ def test_euclidean_blocks(spark):
         dists.euclidean_pairs(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], "id int, features array<double>")).collect()
 
 
+def bytes_a_row(frame, path):
+    """What each row takes on disk as Spark writes it."""
+    frame.write.parquet(str(path))
+    return sum(f.stat().st_size for f in path.glob("*.parquet")) / frame.sparkSession.read.parquet(str(path)).count()
+
+
+@pytest.mark.parametrize("values", [[], [2.5], [0.5, np.nan, 0.25, 0.0, 0.5, np.inf], np.random.default_rng(0).random(150_000)])
+def test_places_by_value(values):
+    """Each place once, the least value first, NaN last."""
+    held = np.array(values, float)
+    cuts = list(blocks.by_value(held))
+    places = np.concatenate([*cuts, np.zeros(0, np.int64)])
+    assert sorted(places.tolist()) == list(range(len(held))) and all(len(c) <= blocks.PAIRS for c in cuts)
+    assert np.array_equal(np.round(held[places], 6), np.round(np.sort(held), 6), equal_nan=True)
+
+
+def test_written_distances_take_little_disk(spark, tmp_path):
+    """Pairs of two blocks come by distance, so that equal ones stand together when they are written."""
+    v = np.random.default_rng(8).normal(size=(2_000, 16))
+    rows = spark.createDataFrame([(k, (x / np.linalg.norm(x)).tolist()) for k, x in enumerate(v)], "id long, features array<double>")
+    found = dists.euclidean_pairs(rows, block=2_000).withColumn("dist", F.round("dist", 5))
+    assert bytes_a_row(found, tmp_path / "pairs") < 5
+    assert found.count() == 2_000 * 1_999 / 2
+
+
 def test_dest_is_symmetric_and_null_when_few(spark):
     rng = np.random.default_rng(1)
     held = frame(spark, rng.integers(0, 3, (4, 12, 2)))
