@@ -486,6 +486,19 @@ def test_whole_matrix_is_not_stored(spark, monkeypatch):
         assert r.dist_in_bp == (abs(i - j) * 10 if near else None)
 
 
+def by_sums(spark, n=1_500):
+    """Variants of 32 samples on ten chromosomes; neighbours have different sums."""
+    gts = np.random.default_rng(21).choice([0, 0, 0, 1, 2], (n, 32, 2))
+    return frame(spark, gts, vars_info={"chrom": [f"c{i * 7 % 10}" for i in range(n)], "pos": [100 * i + 1 for i in range(n)]})
+
+
+def test_written_matrix_takes_little_disk(spark, tmp_path):
+    """Variants of equal sums stand in the same blocks, whose cells have few different values; columns repeat in whole bytes."""
+    cells = ld.linkage_matrix(by_sums(spark), None, block=250).cells().withColumn("r2", F.round("r2", 6))
+    assert bytes_a_row(cells, tmp_path / "cells") < 3.2
+    assert cells.count() == 1_500 * 1_500
+
+
 def test_sample_is_of_lowest_digests(spark):
     import hashlib
 
