@@ -2,6 +2,7 @@ import os
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -499,6 +500,17 @@ def test_written_matrix_takes_little_disk(spark, tmp_path):
     assert cells.count() == 1_500 * 1_500
 
 
+def test_written_pairs_take_little_disk(spark, tmp_path):
+    """Each pair once, with the columns of a block's later variants repeated in whole bytes."""
+    pairs = ld.calc_pairwise_rogers_huff_r2(by_sums(spark, 2_000), check_no_mafs_above=None, block=1_000).withColumn("r2", F.round("r2", 6))
+    assert bytes_a_row(pairs, tmp_path / "pairs") < 4
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "pairs").glob("*.parquet")]
+    columns = [m.row_group(g).column(k) for m in files for g in range(m.num_row_groups) for k in range(m.num_columns)]
+    assert sum(c.total_compressed_size for c in columns if c.path_in_schema in ("var_id2", "pos2")) / sum(m.num_rows for m in files) < 0.6
+    assert pairs.where("var_id1 < var_id2").select("var_id1", "var_id2").distinct().count() == pairs.count() == 2_000 * 1_999 / 2
+
+
+
 def test_sample_is_of_lowest_digests(spark):
     import hashlib
 
